@@ -87,13 +87,13 @@ def project_monthly_batch(d: Domain) -> DataFrame:
 
 
 @query("bias_correction", f"""
-    select p.scenario_id, p."Year", {sig_sql('p."Total_Salary" * coalesce(f.factor, 1)')} as "Total_Salary"
+    select p.scenario_id, p."Year", {sig_sql('p."Total_Salary" * coalesce(f.factor, 1)', 9)} as "Total_Salary"
     from v_projected p left join v_factor f on p.entity = f.entity""")
 def bias(d: Domain) -> DataFrame:
     model = d.yearly_formula()
     yearly = projection.project_yearly(d.scenarios(), model)
     adjusted = bias_correction(yearly, d.historical(), model, ["Total_Salary"], ["entity"])
-    return adjusted.select("scenario_id", "Year", sig(F.col("Total_Salary")).alias("Total_Salary"))
+    return adjusted.select("scenario_id", "Year", sig(F.col("Total_Salary"), 9).alias("Total_Salary"))
 
 
 @query("backtest", f"""
@@ -106,7 +106,7 @@ def backtest(d: Domain) -> DataFrame:
 
 
 @query("predict_batch", f"""
-    select c.scenario_id as id, c.user_id, p."Year", {sig_sql('p."Total_Salary" * coalesce(f.factor, 1)')} as "Total_Salary",
+    select c.scenario_id as id, c.user_id, p."Year", {sig_sql('p."Total_Salary" * coalesce(f.factor, 1)', 9)} as "Total_Salary",
       p."End_Employees", round(m.r2, 4) as monthly_r2
     from v_checked_requests c join v_projected p using (scenario_id) left join v_factor f on p.entity = f.entity,
       (select 1 - avg((actual - predicted) * (actual - predicted)) / var_pop(actual) as r2 from v_compared) m
@@ -119,6 +119,6 @@ def predict(d: Domain) -> DataFrame:
     stored = keep_history(done, d.users(), workspace(d.spark, "predictions"))
     rows = parse_result(stored).withColumn("p", F.explode("result.predictions"))
     return rows.select(
-        "id", "user_id", "p.Year", sig(F.col("p.Total_Salary")).alias("Total_Salary"), "p.End_Employees",
+        "id", "user_id", "p.Year", sig(F.col("p.Total_Salary"), 9).alias("Total_Salary"), "p.End_Employees",
         F.col("result.metrics.monthly_r2").alias("monthly_r2"),
     )

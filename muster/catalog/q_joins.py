@@ -90,10 +90,10 @@ def fk_orphans(d: Domain) -> DataFrame:
 
 
 @query("apply_scalar", f"""
-    select scenario_id, "Year", {sig_sql('"Total_Salary" * factor')} as "Total_Salary" from v_projected,
+    select scenario_id, "Year", {sig_sql('"Total_Salary" * factor', 9)} as "Total_Salary" from v_projected,
       (select 1 - avg(case when actual > 0 then (predicted - actual) / actual else 0.0::double end) as factor from v_compared)""")
 def apply_scalar(d: Domain) -> DataFrame:
     model = d.yearly_formula()
     yearly = project_yearly(d.scenarios(), model)
     adjusted = joins.apply_factor(yearly, bias_factor(d.historical(), model), ["Total_Salary"])
-    return adjusted.select("scenario_id", "Year", sig(F.col("Total_Salary")).alias("Total_Salary"))
+    return adjusted.select("scenario_id", "Year", sig(F.col("Total_Salary"), 9).alias("Total_Salary"))

@@ -15,16 +15,20 @@ from muster.plans.training import Training
 from muster.session import workspace
 from muster.sources import models
 
+# Boosting is sequential: the registered queries fit this many rounds over the whole tables, the specs
+# keep the full counts, which a training job uses.
+ROUNDS = 20
+
 _SAVED: dict[tuple[str, str, str], str] = {}
 
 
 def _train(d: Domain, name: str) -> Training:
     if name == "yearly":
-        return training.train_yearly(d.yearly_training(), GBT_YEARLY)
+        return training.train_yearly(d.yearly_training(), GBT_YEARLY.with_params(maxIter=ROUNDS))
     if name == "monthly":
-        return training.train_holdout(d.monthly_training(), GBT_MONTHLY)
+        return training.train_holdout(d.monthly_training(), GBT_MONTHLY.with_params(maxIter=ROUNDS))
     if name == "export":
-        return training.train_holdout(d.export_training(), GBT_EXPORT)
+        return training.train_holdout(d.export_training(), GBT_EXPORT.with_params(maxIter=ROUNDS))
     spec = {"forest": FOREST, "linear": LINEAR}[name]
     return training.train_holdout(d.merged_inner(), spec, chronological=False)
 

@@ -114,8 +114,8 @@ def _flat_metrics(d: Domain) -> DataFrame:
 
 
 @query("metrics_load", f"""
-    select round(r2, 4) as monthly_r2, {sig_sql('mse')} as monthly_mse, {sig_sql('sqrt(mse)')} as monthly_rmse,
-      {sig_sql('mae')} as monthly_mae, round(r2, 4) as yearly_r2, {sig_sql('mse')} as yearly_mse from ({_STATS})""")
+    select round(r2, 4) as monthly_r2, {sig_sql('mse')} as monthly_mse, {sig_sql('round(sqrt(mse), 2)')} as monthly_rmse,
+      {sig_sql('round(mae, 2)')} as monthly_mae, round(r2, 4) as yearly_r2, {sig_sql('mse')} as yearly_mse from ({_STATS})""")
 def metrics_load(d: Domain) -> DataFrame:
     path = workspace(d.spark, "metrics")
     described = _metrics(d).select(

@@ -43,9 +43,9 @@ def with_views(body: str) -> str:
     return f"WITH RECURSIVE {', '.join(views)} {body}" if views else body
 
 
-def sig(c: Column) -> Column:
-    """Twelve significant digits: sums of doubles differ in their last bits between engines."""
-    return F.format_string("%.11e", c).cast("double")
+def sig(c: Column, digits: int = 12) -> Column:
+    """Significant digits only: sums of doubles differ in their last bits between engines."""
+    return F.format_string(f"%.{digits - 1}e", c).cast("double")
 
 
 def plain(df: DataFrame) -> DataFrame:

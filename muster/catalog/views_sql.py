@@ -8,8 +8,8 @@ def money(x: str) -> str:
     return f"cast(printf('%.2f', {x}) as double)"
 
 
-def sig(x: str) -> str:
-    return f"cast(printf('%.11e', {x}) as double)"
+def sig(x: str, digits: int = 12) -> str:
+    return f"cast(printf('%.{digits - 1}e', {x}) as double)"
 
 
 WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"

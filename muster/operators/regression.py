@@ -7,6 +7,7 @@ other, whatever the cluster.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -22,6 +23,9 @@ from muster.schemas import EXPORT_FEATURES, MONTHLY_FEATURES, TARGET, YEARLY_FEA
 from muster.session import checkpoint_dir
 
 
+ROWS_PER_TASK = 20_000
+
+
 @dataclass(frozen=True)
 class ModelSpec:
     """What to fit: engine kind, estimator, features (empty = all but the target) and parameters."""
@@ -37,9 +41,10 @@ class ModelSpec:
 
 # Hyper-parameters of the salary models. MLlib has no L1/L2 penalty for trees and draws
 # its feature subset per node; minInstancesPerNode is the minimum child weight for squared error.
+# maxMemoryInMB lets a forest split a whole level in one pass over the data.
 LINEAR = ModelSpec("monthly", LinearRegression, (), {"solver": "normal", "regParam": 0.0})
 FOREST = ModelSpec("monthly", RandomForestRegressor, (), {
-    "numTrees": 200, "maxDepth": 30, "featureSubsetStrategy": "all", "seed": 42,
+    "numTrees": 200, "maxDepth": 30, "featureSubsetStrategy": "all", "seed": 42, "maxMemoryInMB": 1024,
 })
 GBT_MONTHLY = ModelSpec("monthly", GBTRegressor, MONTHLY_FEATURES, {
     "maxIter": 800, "stepSize": 0.05, "maxDepth": 5, "minInstancesPerNode": 2,
@@ -101,12 +106,14 @@ def fit(train: DataFrame, spec: ModelSpec, scale_on: DataFrame | None = None) ->
     features = list(spec.features) or other_columns(train)
     rows = train.select(*features, F.col(TARGET).cast("double").alias(TARGET)).persist()
     try:
+        # Trees run several jobs per level or round: small frames should not pay for empty tasks.
+        packed = rows.coalesce(max(1, math.ceil(rows.count() / ROWS_PER_TASK)))
         stages = [
             scaling_stage(rows if scale_on is None else scale_on, features),
             VectorAssembler(inputCols=[f"scaled_{c}" for c in features], outputCol="features"),
             spec.estimator(featuresCol="features", labelCol=TARGET, **spec.params),
         ]
-        return TrainedModel(spec.kind, Pipeline(stages=stages).fit(rows), features)
+        return TrainedModel(spec.kind, Pipeline(stages=stages).fit(packed), features)
     finally:
         rows.unpersist()
 
