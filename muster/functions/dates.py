@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from muster.functions.text import strip
 
-_DAY = "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
+_DAY = "^(?!0000)[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
 
 
 def parse_date(x: str) -> str:
