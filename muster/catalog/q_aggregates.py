@@ -120,10 +120,7 @@ _SUMS = "(select entity, sum(actual) as a, sum(predicted) as p, count(*) as n fr
       union all select entity, 'AVERAGE', a / n, p / n, (p - a) / n, mape from {_SUMS} join (
         select entity, {money_sql('avg(pct_error)')} as mape from v_errors group by entity) using (entity))""")
 def backtest_footer(d: Domain) -> DataFrame:
-    compared = d.compared()
-    footer = scoring.backtest_footer(
-        scoring.backtest_rows(compared), scoring.backtest_metrics(compared, ["entity"]), ["entity"]
-    )
+    footer = scoring.backtest_footer(d.compared(), ["entity"])
     return footer.select(
         "entity", "line", *[F.round(c, 2).alias(c) for c in ("actual", "predicted", "difference")],
         F.round("error_percent", 6).alias("error_percent"),

@@ -54,7 +54,7 @@ _SPLIT = f"""
 
 @query("project_monthly_split", _SPLIT)
 def project_monthly_split(d: Domain) -> DataFrame:
-    monthly = projection.monthly_split(projection.project_yearly(d.scenarios(), d.yearly_formula()))
+    monthly = projection.monthly_split(projection.project_yearly(scenarios.spread(d.scenarios()), d.yearly_formula()))
     return monthly.select("scenario_id", "Year", "Month", "Month_Name", "Predicted_Salary", "Employees")
 
 
@@ -62,7 +62,7 @@ def project_monthly_split(d: Domain) -> DataFrame:
     select scenario_id, "Year", "Month", {money_sql('prediction')} as "Predicted_Salary",
       cast(round_even(nbemp, 0) as bigint) as "Employees" from v_monthly_scored""")
 def project_monthly_model(d: Domain) -> DataFrame:
-    monthly, _ = projection.project_monthly(d.scenarios(), d.monthly_formula())
+    monthly, _ = projection.project_monthly(scenarios.spread(d.scenarios()), d.monthly_formula())
     return monthly.select("scenario_id", "Year", "Month", "Predicted_Salary", "Employees")
 
 
@@ -71,7 +71,7 @@ def project_monthly_model(d: Domain) -> DataFrame:
       cast(round_even(max(case when "Month" = 12 then lft end), 0) as bigint) as "End_Employees"
     from v_monthly_scored group by 1, 2""")
 def project_monthly_totals(d: Domain) -> DataFrame:
-    _, yearly = projection.project_monthly(d.scenarios(), d.monthly_formula())
+    _, yearly = projection.project_monthly(scenarios.spread(d.scenarios()), d.monthly_formula())
     return yearly.select("scenario_id", "Year", "Total_Salary", "End_Employees")
 
 
@@ -82,7 +82,7 @@ def project_monthly_totals(d: Domain) -> DataFrame:
       max(case when t % 12 = 11 then lft end) as employees_end_of_year
     from v_batch_walk, v_monthly_line group by 1, 2""")
 def project_monthly_batch(d: Domain) -> DataFrame:
-    out = projection.project_monthly_batch(d.scenarios(), d.monthly_formula())
+    out = projection.project_monthly_batch(scenarios.spread(d.scenarios()), d.monthly_formula())
     return out.select("scenario_id", "Year", "total_yearly_salary", "avg_monthly_salary", "employees_end_of_year")
 
 

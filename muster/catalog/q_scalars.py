@@ -117,7 +117,7 @@ def display_row(d: Domain) -> DataFrame:
 @query("month_name", """
     select entity, "Year", "Month", monthname(make_date("Year", "Month", 1)) as "Month_Name" from v_monthly_salary""")
 def month_names(d: Domain) -> DataFrame:
-    name = F.expr(month_name("Year", "Month"))
+    name = F.expr(month_name("Month"))
     return d.monthly_salary().select("entity", "Year", "Month", name.alias("Month_Name"))
 
 

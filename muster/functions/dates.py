@@ -13,8 +13,16 @@ def parse_date(x: str) -> str:
     return f"CASE WHEN {s} RLIKE '{_DAY}' THEN try_to_date({s}, 'yyyy-M-d') END"
 
 
-def month_name(year: str, month: str) -> str:
-    return f"date_format(make_date({year}, {month}, 1), 'MMMM')"
+# English month names.
+MONTHS = [
+    "January", "February", "March", "April", "May", "June",
+    "July", "August", "September", "October", "November", "December",
+]
+
+
+def month_name(month: str) -> str:
+    names = ", ".join(f"'{m}'" for m in MONTHS)
+    return f"element_at(array({names}), cast({month} AS INT))"
 
 
 def period_label(year: str, month: str) -> str:

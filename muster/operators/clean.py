@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,18 @@ YEAR_HEADERS = ("dep_annee", "annee", "year")
 MONTH_HEADERS = ("dep_mois", "mois", "month")
 
 
+def computed(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Set columns to SQL expressions that are evaluated once per row, whatever is filtered later.
+
+    A filter on a projected column is normally rewritten into the column's expression and pushed
+    below the projection. For parsed text that means parsing again in every predicate. The values
+    are emitted by a one-row generator here, which filters are not pushed through.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    values = F.struct(*[F.expr(sql).alias(name) for name, sql in columns.items()])
+    return df.select(*kept, F.inline(F.array(values)))
+
+
 def normalize_keys(df: DataFrame) -> DataFrame:
     """Rename any spelling of the period headers to ``Year`` / ``Month`` (schema only, no job)."""
     renames = {}
@@ -29,7 +41,7 @@ def normalize_keys(df: DataFrame) -> DataFrame:
 def coerce_keys(df: DataFrame, keys: Iterable[str] = ("Year", "Month")) -> DataFrame:
     """Text keys to whole numbers; rows whose key is no number are dropped."""
     keys = list(keys)
-    return df.withColumns({k: F.expr(parse_key(k)) for k in keys}).dropna(subset=keys)
+    return computed(df, {k: parse_key(k) for k in keys}).dropna(subset=keys)
 
 
 def coerce_values(df: DataFrame, values: Iterable[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions import blank_to_null, parse_date, parse_float, parse_int, sanitize
+from muster.operators.clean import computed
 from muster.schemas import EMPLOYEES
 
 TEXT = ["grade", "corps", "situation_familiale"]
@@ -39,12 +40,11 @@ def validate_forms(forms: DataFrame, editing: bool = False) -> DataFrame:
     fields = ["first_name", "last_name", "birth_date", *WHOLE, *TEXT, *AMOUNTS, "nombre_enfants", *days]
     if not editing:
         fields.append("matricule")
-    # Sanitised text in one projection, parsed values in the next, so neither is evaluated per rule.
     raw = forms.withColumns({f"raw_{c}": F.expr(sanitize(c)) for c in fields})
 
     parsers = dict.fromkeys([*WHOLE, "nombre_enfants", "matricule"], parse_int)
     parsers |= dict.fromkeys(AMOUNTS, parse_float) | dict.fromkeys(["birth_date", *days], parse_date)
-    parsed = raw.withColumns({c: F.expr(parsers[c](f"raw_{c}")) for c in fields if c in parsers})
+    parsed = computed(raw, {c: parsers[c](f"raw_{c}") for c in fields if c in parsers})
 
     def bad(c: str) -> tuple[Column, str]:
         return _bad(F.col(f"raw_{c}"), F.col(c)), f"Invalid {c}"

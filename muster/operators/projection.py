@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 from typing import Protocol
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions import half_even, money, month_name, period_label
@@ -46,9 +45,9 @@ class LinearFormula:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         fitted = self.coefficients.select(F.struct("intercept", *self.features).alias("fit"))
-        terms = [F.col(c) * fitted.scalar().getField(c) for c in self.features]
-        total = reduce(Column.__add__, terms) + fitted.scalar().getField("intercept")
-        return rows.withColumn("prediction", total)
+        total = " + ".join([*[f"{c} * _fit.{c}" for c in self.features], "_fit.intercept"])
+        scored = rows.withColumn("_fit", fitted.scalar()).withColumn("prediction", F.expr(total))
+        return scored.drop("_fit")
 
 
 @dataclass(frozen=True)
@@ -130,55 +129,60 @@ def monthly_split(yearly: DataFrame) -> DataFrame:
     kept = [c for c in yearly.columns if c not in ("employees", "salary", "Total_Salary", "End_Employees")]
     return expand_months(yearly).select(
         *kept, "Month",
-        F.expr(f"{month_name('Year', 'Month')} AS Month_Name"),
+        F.expr(f"{month_name('Month')} AS Month_Name"),
         F.expr(f"{money('salary / 12')} AS Predicted_Salary"),
         F.expr(f"{half_even(employees)} AS Employees"),
     )
 
 
-def monthly_walk(scenarios: DataFrame, floor: float, monthly_departures: Column) -> DataFrame:
+def monthly_walk(scenarios: DataFrame, floor: int, monthly_departures: str) -> DataFrame:
     """One row per scenario month with the month's headcount and the monthly model's features.
 
     Hires arrive in January, departures leave every month and the count never falls below ``floor``.
-    The walk is a fold over the scenario's own months (at most 252), in the order a planner would add
-    them up, so half-way roundings fall the same way; no row leaves its task.
+    A year's opening counts are folded over the scenario's own years (at most 21), the twelve months
+    are written out, and both subtract month by month as a planner would, so half-way roundings fall
+    the same way. No row leaves its task.
     """
-    hires = F.col("recruitments").cast("double")
-    leave = monthly_departures.cast("double")
-    months = F.sequence(F.lit(0), (F.col("end_year") - F.col("start_year") + 1) * 12 - 1)
-    zero = F.struct(
-        F.col("initial_employees").cast("double").alias("level"),
-        F.lit(0.0).alias("net"),
-        F.array().cast("array<struct<at:bigint,nbemp:double,net:double,left:double>>").alias("path"),
+    def after(opening: str, months: int) -> str:
+        """Headcount left after that many of the year's months."""
+        left = f"({opening} + recruitments)"
+        for _ in range(months):
+            left = f"greatest({floor}D, {left} - nb_departures)"
+        return left
+
+    opening = (
+        "aggregate(sequence(start_year, end_year), array(cast(initial_employees AS DOUBLE)),"
+        f" (acc, y) -> array_append(acc, {after('element_at(acc, -1)', 12)}))"
+    )
+    yearly = scenarios.withColumn("nb_departures", F.expr(f"cast({monthly_departures} AS DOUBLE)"))
+    yearly = yearly.select("*", F.expr(f"posexplode(slice({opening}, 1, cast(end_year - start_year + 1 AS INT)))"))
+
+    # left_m: staff after month m; net_m: net change of the year so far.
+    steps = {"left_0": "col + recruitments", "net_0": "cast(recruitments AS DOUBLE)"}
+    for m in range(1, 13):
+        steps[f"left_{m}"] = f"greatest({floor}D, left_{m - 1} - nb_departures)"
+        steps[f"net_{m}"] = f"net_{m - 1} - nb_departures"
+    months = ", ".join(
+        f"named_struct('Month', {m}, 'nbemp', greatest({floor}D, left_{m - 1}),"
+        f" 'cumulative_net_change', net_{m}, 'left', left_{m})"
+        for m in range(1, 13)
+    )
+    return (
+        yearly.selectExpr("*", *[f"{sql} AS {name}" for name, sql in steps.items()])
+        .selectExpr(
+            *scenarios.columns, "nb_departures", "cast(start_year + pos AS INT) AS Year",
+            "cast(recruitments AS DOUBLE) AS cumulative_recruitments", f"inline(array({months}))",
+        )
     )
-
-    def month(acc: Column, at: Column) -> Column:
-        january = at % 12 == 0
-        level = F.when(january, acc["level"] + hires).otherwise(acc["level"])
-        net = F.when(january, hires - leave).otherwise(acc["net"] + (F.lit(0.0) - leave))
-        left = F.greatest(F.lit(float(floor)), level - leave)
-        row = F.struct(at.alias("at"), level.alias("nbemp"), net.alias("net"), left.alias("left"))
-        return F.struct(left.alias("level"), net.alias("net"), F.array_append(acc["path"], row).alias("path"))
-
-    path = F.aggregate(months, zero, month, lambda acc: acc["path"])
-    rows = scenarios.withColumn("nb_departures", leave).withColumn("_m", F.explode(path))
-    return rows.withColumns({
-        "Year": (F.col("start_year") + F.floor(F.col("_m.at") / 12)).cast("int"),
-        "Month": (F.col("_m.at") % 12 + 1).cast("int"),
-        "nbemp": F.greatest(F.lit(float(floor)), F.col("_m.nbemp")),
-        "cumulative_recruitments": hires,
-        "cumulative_net_change": F.col("_m.net"),
-        "left": F.col("_m.left"),
-    }).drop("_m")
 
 
 def project_monthly(scenarios: DataFrame, model: Predictor) -> tuple[DataFrame, DataFrame]:
     """Fallback engine: the model scores every month. Returns (monthly, yearly) projections."""
-    walk = monthly_walk(scenarios, floor=1, monthly_departures=F.col("departures") / 12)
+    walk = monthly_walk(scenarios, floor=1, monthly_departures="departures / 12")
     scored = score(walk, model)
     monthly = scored.select(
         *scenarios.columns, "Year", "Month",
-        F.expr(f"{month_name('Year', 'Month')} AS Month_Name"),
+        F.expr(f"{month_name('Month')} AS Month_Name"),
         F.expr(f"{money('prediction')} AS Predicted_Salary"),
         F.expr(f"{half_even('nbemp')} AS Employees"),
     )
@@ -192,7 +196,7 @@ def project_monthly(scenarios: DataFrame, model: Predictor) -> tuple[DataFrame,
 
 def project_monthly_batch(scenarios: DataFrame, model: Predictor) -> DataFrame:
     """Training-side variant: ``departures`` is per month, the floor is 0, headcount stays exact."""
-    scored = score(monthly_walk(scenarios, floor=0, monthly_departures=F.col("departures")), model)
+    scored = score(monthly_walk(scenarios, floor=0, monthly_departures="departures"), model)
     return _year_totals(scored, scenarios.columns).select(
         *scenarios.columns, "Year",
         F.expr(f"{money('salary')} AS total_yearly_salary"),

@@ -76,11 +76,10 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         *[F.stddev_pop(c).alias(f"dev_{c}") for c in columns],
     ).alias("s"))
 
-    def scaled(c: str):
-        deviation = stats.scalar().getField(f"dev_{c}")
-        return (F.col(c) - stats.scalar().getField(f"mean_{c}")) / F.when(deviation == 0, 1.0).otherwise(deviation)
-
-    return df.withColumns({c: scaled(c) for c in columns})
+    scaled = {
+        c: F.expr(f"({c} - _s.mean_{c}) / CASE WHEN _s.dev_{c} = 0 THEN 1D ELSE _s.dev_{c} END") for c in columns
+    }
+    return df.withColumn("_s", stats.scalar()).withColumns(scaled).drop("_s")
 
 
 def scaling_stage(train: DataFrame, features: Sequence[str]) -> SQLTransformer:

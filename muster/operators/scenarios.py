@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions import parse_int
+from muster.operators.clean import computed
 from muster.operators.intake import first_failure
 from muster.schemas import MAX_SPAN_YEARS, SCENARIO_FIELDS
 
@@ -21,7 +22,7 @@ def missing_fields(requests: DataFrame) -> DataFrame:
 
 def parse_ints(requests: DataFrame) -> DataFrame:
     """The five fields as whole numbers; ``numeric`` is false if any cannot be read."""
-    parsed = requests.withColumns({c: F.expr(parse_int(c)) for c in SCENARIO_FIELDS})
+    parsed = computed(requests, {c: parse_int(c) for c in SCENARIO_FIELDS})
     numeric = F.lit(True)
     for c in SCENARIO_FIELDS:
         numeric = numeric & F.col(c).isNotNull()
@@ -63,6 +64,17 @@ def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter("ok").drop("ok", "message"), checked.filter("NOT ok").drop("ok")
 
 
+def spread(scenarios: DataFrame) -> DataFrame:
+    """Hand scenarios out to every core before they are expanded.
+
+    A scenario is one short row and becomes up to 252; a table of them read from one file would be
+    expanded by one task.
+    """
+    spark = scenarios.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return scenarios.repartition(tasks, "scenario_id")
+
+
 def expand_years(scenarios: DataFrame, name: str = "Year") -> DataFrame:
     years = F.sequence(F.col("start_year"), F.col("end_year")).cast("array<int>")
     return scenarios.withColumn(name, F.explode(years))

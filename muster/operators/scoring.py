@@ -69,12 +69,15 @@ def backtest_metrics(compared: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def backtest_footer(rows: DataFrame, metrics: DataFrame, by: Sequence[str]) -> DataFrame:
-    """TOTAL and AVERAGE lines under the (rounded) comparison table."""
-    sums = rows.groupBy(*by).agg(
-        F.sum("actual").alias("actual"), F.sum("predicted").alias("predicted"),
+def backtest_footer(compared: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """TOTAL and AVERAGE lines under the comparison table: sums of its rounded figures, and the MAPE
+    of the unrounded ones, from one aggregate."""
+    sums = backtest_errors(compared).groupBy(*by).agg(
+        F.sum(F.expr(money("actual"))).alias("actual"),
+        F.sum(F.expr(money("predicted"))).alias("predicted"),
+        F.expr(money("avg(error_percent)")).alias("mape"),
         F.count("*").alias("n"),
-    ).join(metrics.select(*by, "mape"), list(by))
+    )
     difference = F.col("predicted") - F.col("actual")
     total_error = F.try_divide(F.abs(difference), F.col("actual")) * 100
     total = sums.select(
@@ -116,9 +119,9 @@ def residuals(df: DataFrame) -> DataFrame:
 
 
 def residual_histogram(df: DataFrame, bins: int = 30) -> DataFrame:
-    """Equal-width counts of ``residual``; the last bin is closed. Bounds are scalar subqueries."""
+    """Equal-width counts of ``residual``; the last bin is closed. The bounds are one scalar subquery."""
     bounds = df.agg(F.struct(F.min("residual").alias("lo"), F.max("residual").alias("hi")).alias("b"))
-    lo, hi = bounds.scalar().getField("lo"), bounds.scalar().getField("hi")
-    at = F.floor((F.col("residual") - lo) / F.nullif(hi - lo, F.lit(0.0)) * bins)
-    placed = df.select(F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).alias("bin"))
+    at = f"floor((residual - _b.lo) / nullif(_b.hi - _b.lo, 0D) * {bins})"
+    bounded = df.select("residual").withColumn("_b", bounds.scalar())
+    placed = bounded.select(F.expr(f"least(coalesce({at}, 0), {bins - 1})").alias("bin"))
     return placed.groupBy("bin").agg(F.count("*").alias("rows"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 
 from muster.operators.joins import apply_factor
 from muster.operators.projection import Predictor, project
-from muster.operators.scenarios import check_requests, split
+from muster.operators.scenarios import check_requests, split, spread
 from muster.plans.backtest import bias_factor
 from muster.schemas import SCENARIO_FIELDS
 from muster.sources.documents import result_json
@@ -34,7 +34,7 @@ def predict_batch(
     (``user_id``) pass through.
     """
     accepted, refused = split(check_requests(requests))
-    monthly, yearly = project(accepted, model)
+    monthly, yearly = project(spread(accepted), model)
     factor = bias_factor(history, model, by)
     monthly = apply_factor(monthly, factor, ["Predicted_Salary"], by)
     yearly = apply_factor(yearly, factor, ["Total_Salary"], by)

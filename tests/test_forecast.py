@@ -147,7 +147,7 @@ def test_monthly_engines_equal_the_plain_walk(spark):
 
 def test_monthly_features(spark):
     df = spark.createDataFrame([(1, 2021, 2022, 24, 30, 2)], FIELDS)
-    walk = projection.monthly_walk(df, 1, F.col("departures") / 12).orderBy("Year", "Month")
+    walk = projection.monthly_walk(df, 1, "departures / 12").orderBy("Year", "Month")
     got = rows(walk.select("Year", "Month", "nbemp", "cumulative_net_change", "nb_departures", "cumulative_recruitments"))
     want = [
         (y, m, seen, net, 2.5, 24.0) for y, m, seen, net, _, _ in monthly_by_hand(2021, 2022, 24, 30 / 12, 2, 1, 1, 0)
