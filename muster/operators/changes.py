@@ -8,12 +8,10 @@ becomes a large group. Every function returns the new snapshot.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.operators.intake import accepted, edit_guard, validate_terminations
+from muster.operators.intake import accepted, first_valid_exits
 from muster.schemas import EMPLOYEES
 
 COLUMNS = EMPLOYEES.fieldNames()
@@ -40,16 +38,17 @@ def apply_full_update(employees: DataFrame, validated: DataFrame) -> DataFrame:
     Terminated employees are closed to edits. An edit may itself set ``date_left``; the edits after
     the first such one are refused.
     """
-    edits = edit_guard(accepted(validated), employees)
     values = F.struct("seq", *EDITABLE)
     closing = F.when(F.col("date_left").isNotNull(), F.col("seq"))
-    last = edits.groupBy("matricule").agg(
+    last = accepted(validated).groupBy("matricule").agg(
         F.coalesce(
             # min_by / max_by skip rows whose ordering value is NULL.
             F.min_by(values, closing), F.max_by(values, "seq")
         ).alias("edit")
     )
-    return _overlay(employees, last, {c: F.col(f"edit.{c}") for c in EDITABLE}, F.col("edit").isNotNull())
+    edited = F.col("edit").isNotNull() & F.col("date_left").isNull()
+    new = [F.when(edited, F.col(f"edit.{c}")).otherwise(F.col(c)).alias(c) for c in EDITABLE]
+    return employees.join(last, "matricule", "left").select("matricule", *new).select(*COLUMNS)
 
 
 def apply_partial_update(employees: DataFrame, patches: DataFrame) -> DataFrame:
@@ -83,8 +82,8 @@ def apply_terminations(
 ) -> DataFrame:
     """Set ``date_left``. Unchecked, any date counts, the last one wins and none means today."""
     if checked:
-        valid = validate_terminations(requests, employees).filter(F.col("reason").isNull())
-        dates = valid.groupBy("matricule").agg(F.first("date_left").alias("new_date_left"))
+        exits = first_valid_exits(requests, employees)
+        dates = exits.select("matricule", F.col("end_date").alias("new_date_left"))
     else:
         day = F.coalesce(F.col("date_left"), F.current_date() if today is None else today)
         dates = requests.groupBy("matricule").agg(F.max_by(day, "seq").alias("new_date_left"))
@@ -97,13 +96,3 @@ def apply_terminations(
 
 def apply_deletes(employees: DataFrame, keys: DataFrame) -> DataFrame:
     return employees.join(keys.select("matricule"), "matricule", "left_anti")
-
-
-def _overlay(
-    employees: DataFrame, changes: DataFrame, new: Mapping[str, Column], changed: Column,
-) -> DataFrame:
-    joined = employees.join(changes, "matricule", "left")
-    columns: Sequence[Column] = [
-        F.when(changed, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in COLUMNS
-    ]
-    return joined.select(*columns)

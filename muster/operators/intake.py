@@ -85,38 +85,45 @@ def rejected(validated: DataFrame) -> DataFrame:
     return validated.filter(F.col("reason").isNotNull())
 
 
+def _read_requests(requests: DataFrame) -> DataFrame:
+    raw = requests.withColumn("raw_date_left", F.expr(sanitize("date_left"))).drop("date_left")
+    return computed(raw, {"date_left": parse_date("raw_date_left")})
+
+
+def first_valid_exits(requests: DataFrame, employees: DataFrame) -> DataFrame:
+    """Per employee the first request (by ``seq``) that may end the employment, and its date.
+
+    Requests are reduced to one row per employee and day before they meet the employees, so an
+    employee with any number of requests brings no more rows than there are days.
+    """
+    days = _read_requests(requests).dropna(subset=["date_left"])
+    firsts = days.groupBy("matricule", "date_left").agg(F.min("seq").alias("seq"))
+    present = employees.filter("date_left IS NULL").select("matricule", "date_joined")
+    valid = firsts.join(present, "matricule").filter("date_joined IS NULL OR date_left >= date_joined")
+    return valid.groupBy("matricule").agg(
+        F.min("seq").alias("end_seq"), F.min_by("date_left", "seq").alias("end_date")
+    )
+
+
 def validate_terminations(requests: DataFrame, employees: DataFrame) -> DataFrame:
     """``reason`` per termination request (``seq``, ``matricule``, ``date_left`` as text).
 
     Requests of one employee count in ``seq`` order: the first valid one ends the employment, the
-    ones after it find the employee already terminated. That first one is a grouped minimum, so an
-    employee with any number of requests needs no ordered window.
+    ones after it find the employee already terminated. What is known per employee is put together
+    first; the requests join it once, as the last step, where a hot employee can be split.
     """
-    people = employees.select(
+    known = employees.select(
         "matricule", "date_joined", F.col("date_left").alias("left_before"), F.lit(True).alias("known")
-    )
-    asked = (
-        requests.withColumn("raw_date_left", F.expr(sanitize("date_left")))
-        .withColumn("date_left", F.expr(parse_date("raw_date_left")))
-        .join(people, "matricule", "left")
-        .withColumn("reason", first_failure(
-            (F.col("known").isNull(), "Employee not found"),
-            (F.col("left_before").isNotNull(), "Employee is already terminated"),
-            (F.col("raw_date_left") == "", "Termination date is required"),
-            (F.col("date_left").isNull(), "Invalid date_left"),
-            (F.col("date_left") < F.col("date_joined"), "Termination date cannot be before hire date"),
-        ))
-    )
-    ends = (
-        asked.filter(F.col("reason").isNull())
-        .groupBy("matricule").agg(F.min("seq").alias("end_seq"))
-    )
-    late = F.col("seq") > F.col("end_seq")
-    return (
-        asked.join(ends, "matricule", "left")
-        .withColumn("reason", F.when(late, "Employee is already terminated").otherwise(F.col("reason")))
-        .select("seq", "matricule", "date_left", "reason")
-    )
+    ).join(first_valid_exits(requests, employees), "matricule", "left")
+    gone = F.col("left_before").isNotNull() | (F.col("seq") > F.col("end_seq"))
+    asked = _read_requests(requests).join(known, "matricule", "left")
+    return asked.withColumn("reason", first_failure(
+        (F.col("known").isNull(), "Employee not found"),
+        (gone, "Employee is already terminated"),
+        (F.col("raw_date_left") == "", "Termination date is required"),
+        (F.col("date_left").isNull(), "Invalid date_left"),
+        (F.col("date_left") < F.col("date_joined"), "Termination date cannot be before hire date"),
+    )).select("seq", "matricule", "date_left", "reason")
 
 
 def edit_guard(edits: DataFrame, employees: DataFrame) -> DataFrame:

@@ -82,17 +82,17 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> D
     return keys.filter("key IS NOT NULL").join(parents, "key", "left_anti")
 
 
+def attach_factor(df: DataFrame, factor: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``factor`` (1 where there is none). Without ``by`` the one-row factor is a scalar subquery,
+    with ``by`` an equi-join to one row per entity."""
+    if by:
+        return df.join(factor, list(by), "left").fillna(1.0, subset=["factor"])
+    return df.withColumn("factor", F.coalesce(factor.select("factor").scalar(), F.lit(1.0)))
+
+
 def apply_factor(
     predictions: DataFrame, factor: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
 ) -> DataFrame:
-    """Multiply ``columns`` by ``factor``; where there is none they stay as they are.
-
-    Without ``by`` the one-row factor is a scalar subquery (no join). With ``by`` it is an equi-join
-    to one row per entity.
-    """
-    if by:
-        joined = predictions.join(factor, list(by), "left")
-        value = F.coalesce(F.col("factor"), F.lit(1.0))
-        return joined.withColumns({c: F.col(c) * value for c in columns}).drop("factor")
-    value = F.coalesce(factor.select("factor").scalar(), F.lit(1.0))
-    return predictions.withColumns({c: F.col(c) * value for c in columns})
+    """Multiply ``columns`` by ``factor``; where there is none they stay as they are."""
+    scaled = {c: F.col(c) * F.col("factor") for c in columns}
+    return attach_factor(predictions, factor, by).withColumns(scaled).drop("factor")

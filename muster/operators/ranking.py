@@ -34,8 +34,9 @@ def number_rows(
     Keys of up to ``hot_rows`` rows are numbered by an ordinary window. A key above that would be
     sorted by one task, so its rows are spread by a range sort over (key, order) instead, and each
     row's position is its place in its piece plus the rows of the earlier pieces. The sorted rows
-    are checkpointed, so a lost executor cannot shift the pieces between the two reads. There is one
-    piece per hot key and partition boundary, so the table of pieces stays small.
+    are checkpointed, so a lost executor cannot shift the pieces between the two reads. Two tables are
+    broadcast, both bounded: at most one hot key per ``hot_rows`` rows, and at most one piece per hot
+    key plus one per partition boundary.
     """
     counts = df.groupBy(by).agg(F.count("*").alias("_rows"))
     hot = counts.filter(F.col("_rows") > hot_rows).select(by)
@@ -43,13 +44,13 @@ def number_rows(
     if hot.isEmpty():
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
 
-    cold_rows = df.join(hot, by, "left_anti").withColumn(
+    cold_rows = df.join(F.broadcast(hot), by, "left_anti").withColumn(
         name, F.row_number().over(window).cast("bigint")
     )
     checkpoint_dir(df.sparkSession)
     pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = (
-        df.join(hot, by, "left_semi")
+        df.join(F.broadcast(hot), by, "left_semi")
         .repartitionByRange(pieces, F.col(by), *order)
         .sortWithinPartitions(F.col(by), *order)
         .withColumns({"_piece": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
@@ -62,7 +63,7 @@ def number_rows(
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .drop("_n")
     )
-    hot_numbered = placed.join(starts, [by, "_piece"]).withColumn(
+    hot_numbered = placed.join(F.broadcast(starts), [by, "_piece"]).withColumn(
         name, F.col("_at") - F.col("_first") + F.col("_before") + 1
     )
     columns = [*df.columns, name]

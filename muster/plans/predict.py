@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from muster.operators.joins import apply_factor
+from muster.operators.joins import attach_factor
 from muster.operators.projection import Predictor, project
 from muster.operators.scenarios import check_requests, split, spread
 from muster.plans.backtest import bias_factor
@@ -26,7 +28,7 @@ class Predictions:
 
 def predict_batch(
     requests: DataFrame, history: DataFrame, model: Predictor, metrics: DataFrame,
-    by: tuple[str, ...] = ("entity",),
+    by: Sequence[str] = ("entity",),
 ) -> Predictions:
     """Check, project, correct for bias and assemble results for every request.
 
@@ -34,10 +36,12 @@ def predict_batch(
     (``user_id``) pass through.
     """
     accepted, refused = split(check_requests(requests))
-    monthly, yearly = project(spread(accepted), model)
-    factor = bias_factor(history, model, by)
-    monthly = apply_factor(monthly, factor, ["Predicted_Salary"], by)
-    yearly = apply_factor(yearly, factor, ["Total_Salary"], by)
+    # The factor joins the short scenario rows, not their periods, and the scenarios are handed out by
+    # their own key after it: an organisation with most of the scenarios does not stay in one task.
+    factored = attach_factor(accepted, bias_factor(history, model, by), by)
+    monthly, yearly = project(spread(factored), model)
+    monthly = monthly.withColumn("Predicted_Salary", F.expr("Predicted_Salary * factor")).drop("factor")
+    yearly = yearly.withColumn("Total_Salary", F.expr("Total_Salary * factor")).drop("factor")
     documents = result_json(yearly, flatten_metrics(metrics), accepted.columns)
     return Predictions(monthly, yearly, refused, documents)
 
