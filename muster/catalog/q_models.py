@@ -9,7 +9,7 @@ from muster.catalog.domain import Domain
 from muster.catalog.registry import query, sig
 from muster.catalog.views_sql import sig as sig_sql
 from muster.operators import projection, regression, scoring
-from muster.operators.regression import FOREST, GBT_EXPORT, GBT_MONTHLY, GBT_YEARLY, LINEAR
+from muster.operators.regression import FOREST, GBT_EXPORT, GBT_MONTHLY, GBT_YEARLY, LINEAR, ModelSpec
 from muster.plans import training
 from muster.plans.training import Training
 from muster.session import workspace
@@ -19,6 +19,10 @@ from muster.sources import models
 # keep the full counts, which a training job uses.
 ROUNDS = 20
 
+# One-feature lines, whose fit SQL can repeat.
+LINE_YEARLY = ModelSpec("yearly", LINEAR.estimator, ["nbemp"], LINEAR.params)
+LINE_MONTHLY = ModelSpec("monthly", LINEAR.estimator, ["nbemp"], LINEAR.params)
+
 _SAVED: dict[tuple[str, str, str], str] = {}
 
 
@@ -27,6 +31,10 @@ def _train(d: Domain, name: str) -> Training:
         return training.train_yearly(d.yearly_training(), GBT_YEARLY.with_params(maxIter=ROUNDS))
     if name == "monthly":
         return training.train_holdout(d.monthly_training(), GBT_MONTHLY.with_params(maxIter=ROUNDS))
+    if name == "line_yearly":
+        return training.train_yearly(d.merged_yearly(), LINE_YEARLY)
+    if name == "line_monthly":
+        return training.train_holdout(d.merged_monthly(), LINE_MONTHLY)
     if name == "export":
         return training.train_holdout(d.export_training(), GBT_EXPORT.with_params(maxIter=ROUNDS))
     spec = {"forest": FOREST, "linear": LINEAR}[name]
@@ -88,35 +96,64 @@ def gbt_yearly(d: Domain) -> DataFrame:
     return _train(d, "yearly").scored.select("entity", "Year", "actual", "predicted")
 
 
-@query("train_report")
-def train_report(d: Domain) -> DataFrame:
-    frame = d.yearly_training()
-    scored = training.evaluate(frame, _loaded(d, "yearly"))
-    return training.train_report(scored)
+def _error_stats(source: str) -> str:
+    """One row of metrics of actual / predicted rows."""
+    return f"""(select avg((actual - predicted) * (actual - predicted)) as mse, avg(abs(actual - predicted)) as mae,
+      1 - avg((actual - predicted) * (actual - predicted)) / var_pop(actual) as r2,
+      avg(abs((actual - predicted) / actual)) * 100 as mape from {source})"""
 
 
-@query("train_model")
+@query("train_report", f"""
+    select entity, "Year"::varchar as line, actual, {sig_sql('predicted', 9)} as predicted,
+      round(abs(predicted - actual) / actual * 100, 6) as error_percent from v_yearly_fitted
+    union all
+    select null, 'AVERAGE', null, null, round(avg(abs(predicted - actual) / actual * 100), 6) from v_yearly_fitted""")
+def train_report(d: Domain) -> DataFrame:
+    report = training.train_report(training.evaluate(d.merged_yearly(), _loaded(d, "line_yearly")))
+    return report.select(
+        "entity", "line", "actual", sig(F.col("predicted"), 9).alias("predicted"),
+        F.round("error_percent", 6).alias("error_percent"),
+    )
+
+
+@query("train_model", f"""
+    select round(m.r2, 4) as monthly_r2, {sig_sql('m.mse', 9)} as monthly_mse, {sig_sql('round(sqrt(m.mse), 2)', 9)} as monthly_rmse,
+      {sig_sql('round(m.mae, 2)', 9)} as monthly_mae, round(y.r2, 4) as yearly_r2, {sig_sql('y.mse', 9)} as yearly_mse
+    from {_error_stats('v_test_fitted')} m, {_error_stats("""(select entity, "Year", sum(actual) as actual,
+      sum(predicted) as predicted from v_test_fitted group by 1, 2)""")} y""")
 def train_model(d: Domain) -> DataFrame:
-    return models.flatten_metrics(training.train_and_save(_train(d, "linear"), workspace(d.spark, "trained")))
+    trained = training.train_holdout(d.merged_monthly(), LINE_MONTHLY)
+    flat = models.flatten_metrics(training.train_and_save(trained, workspace(d.spark, "trained")))
+    return flat.select(*[F.col(c) if c.endswith("r2") else sig(F.col(c), 9).alias(c) for c in flat.columns])
 
 
-@query("model_save")
+@query("model_save", f"""
+    select 'yearly' as kind, 'nbemp' as features, round(r2, 6) as r2, {sig_sql('mse', 9)} as mse,
+      {sig_sql('sqrt(mse)', 9)} as rmse, {sig_sql('mae', 9)} as mae, round(mape, 6) as mape
+    from {_error_stats('v_yearly_fitted')}""")
 def model_save(d: Domain) -> DataFrame:
-    path = _saved(d, "yearly")
-    return d.spark.read.parquet(f"{path}/description").select("kind", "features", "metrics.*")
+    stored = d.spark.read.parquet(f"{_saved(d, 'line_yearly')}/description")
+    return stored.select(
+        "kind", F.concat_ws(",", "features").alias("features"), F.round("metrics.r2", 6).alias("r2"),
+        *[sig(F.col(f"metrics.{c}"), 9).alias(c) for c in ("mse", "rmse", "mae")],
+        F.round("metrics.mape", 6).alias("mape"),
+    )
 
 
-@query("model_load")
+@query("model_load", f"""
+    select entity, "Year", 'yearly' as kind, {sig_sql('predicted', 9)} as prediction from v_yearly_fitted""")
 def model_load(d: Domain) -> DataFrame:
-    model = models.load_model(d.spark, _saved(d, "yearly"), _saved(d, "linear"))
-    scored = projection.score(d.yearly_training(), model)
-    return scored.select("entity", "Year", F.lit(model.kind).alias("kind"), "prediction")
+    model = models.load_model(d.spark, _saved(d, "line_yearly"), _saved(d, "line_monthly"))
+    scored = projection.score(d.merged_yearly(), model)
+    return scored.select("entity", "Year", F.lit(model.kind).alias("kind"), sig(F.col("prediction"), 9).alias("prediction"))
 
 
-@query("score")
+@query("score", f"""
+    select scenario_id, yr as base_year, {sig_sql('greatest(0.0::double, w.n * f.slope + f.intercept)', 9)} as prediction
+    from v_yearly_walk w, v_yearly_fit f where yr <= greatest(start_year, least(end_year, 2020))""")
 def score(d: Domain) -> DataFrame:
-    rows = projection.yearly_model_rows(d.scenarios())
-    return projection.score(rows, _loaded(d, "yearly")).select("scenario_id", "base_year", "prediction")
+    scored = projection.score(projection.yearly_model_rows(d.scenarios()), _loaded(d, "line_yearly"))
+    return scored.select("scenario_id", "base_year", sig(F.col("prediction"), 9).alias("prediction"))
 
 
 @query("rank_importance")
@@ -130,11 +167,18 @@ def project_yearly_trained(d: Domain) -> DataFrame:
     return out.select("scenario_id", "Year", "Total_Salary", "End_Employees")
 
 
-@query("choose_engine")
+@query("choose_engine", f"""
+    select 'monthly' as engine, scenario_id, start_year + t // 12 as "Year",
+      {sig_sql('sum(greatest(0.0::double, greatest(1.0::double, level) * slope + intercept))', 8)} as "Total_Salary",
+      cast(round_even(max(case when t % 12 = 11 then lft end), 0) as bigint) as "End_Employees"
+    from v_monthly_walk, v_train_fit group by all""")
 def choose_engine(d: Domain) -> DataFrame:
-    model = models.load_model(d.spark, f"{_saved(d, 'yearly')}-none", _saved(d, "monthly"))
+    model = models.load_model(d.spark, f"{_saved(d, 'line_yearly')}-none", _saved(d, "line_monthly"))
     _, yearly = projection.project(d.scenarios(), model)
-    return yearly.select(F.lit(model.kind).alias("engine"), "scenario_id", "Year", "Total_Salary", "End_Employees")
+    return yearly.select(
+        F.lit(model.kind).alias("engine"), "scenario_id", "Year",
+        sig(F.col("Total_Salary"), 8).alias("Total_Salary"), "End_Employees",
+    )
 
 
 _RESIDUALS = "(select entity, \"Year\", \"Month\", mass_salary - predicted_salary as residual from v_monthly_predictions)"

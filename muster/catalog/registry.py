@@ -45,7 +45,7 @@ def with_views(body: str) -> str:
 
 def sig(c: Column, digits: int = 12) -> Column:
     """Significant digits only: sums of doubles differ in their last bits between engines."""
-    return F.format_string(f"%.{digits - 1}e", c).cast("double")
+    return F.format_string(f"%.{digits - 1}e", c).try_cast("double")
 
 
 def plain(df: DataFrame) -> DataFrame:

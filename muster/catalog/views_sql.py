@@ -214,6 +214,26 @@ VIEWS["v_monthly_line"] = """
     select round(regr_slope(mass_salary, nbemp), 4) as slope, round(regr_intercept(mass_salary, nbemp), 4) as intercept
     from v_merged"""
 
+VIEWS["v_split"] = """
+    select *, row_number() over (partition by entity order by "Year" desc, "Month" desc)
+      <= ceil(count(*) over (partition by entity) * 0.2::double) as is_test from v_merged"""
+
+# Least-squares lines as fitted by the regression queries (not rounded).
+VIEWS["v_yearly_fit"] = """
+    select regr_slope(mass_salary, nbemp) as slope, regr_intercept(mass_salary, nbemp) as intercept from v_yearly"""
+
+VIEWS["v_train_fit"] = """
+    select regr_slope(mass_salary, nbemp) as slope, regr_intercept(mass_salary, nbemp) as intercept
+    from v_split where not is_test"""
+
+VIEWS["v_yearly_fitted"] = """
+    select entity, "Year", mass_salary as actual, greatest(0.0::double, nbemp * slope + intercept) as predicted
+    from v_yearly, v_yearly_fit"""
+
+VIEWS["v_test_fitted"] = """
+    select entity, "Year", "Month", mass_salary as actual, greatest(0.0::double, nbemp * slope + intercept) as predicted
+    from v_split, v_train_fit where is_test"""
+
 
 def yearly_walk(source: str) -> str:
     """One row per scenario year, each from the year before."""
