@@ -10,6 +10,7 @@ from muster.catalog.registry import query, sig
 from muster.catalog.views_sql import money as money_sql
 from muster.catalog.views_sql import sig as sig_sql
 from muster.operators import projection, scenarios, scoring
+from muster.plans.backtest import backtest as run_backtest
 from muster.plans.backtest import bias_correction, compare_history
 from muster.plans.predict import keep_history, predict_batch
 from muster.session import workspace
@@ -100,9 +101,8 @@ def bias(d: Domain) -> DataFrame:
     select b.*, m.mae, m.mape from v_backtest b join (select entity, {money_sql('avg(abs_error)')} as mae,
       {money_sql('avg(pct_error)')} as mape from v_errors group by entity) m using (entity)""")
 def backtest(d: Domain) -> DataFrame:
-    compared = compare_history(d.historical(), d.yearly_formula())
-    metrics = scoring.backtest_metrics(compared, ["entity"]).drop("num_years")
-    return scoring.backtest_rows(compared).join(metrics, "entity")
+    tested = run_backtest(d.historical().withColumn("ordinal", F.col("year")), d.yearly_formula())
+    return tested.rows.join(tested.metrics.drop("num_years"), "entity")
 
 
 @query("predict_batch", f"""

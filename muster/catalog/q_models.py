@@ -141,7 +141,7 @@ def model_save(d: Domain) -> DataFrame:
 
 
 @query("model_load", f"""
-    select entity, "Year", 'yearly' as kind, {sig_sql('predicted', 9)} as prediction from v_yearly_fitted""")
+    select entity, "Year", 'yearly' as kind, {sig_sql('greatest(0.0::double, predicted)', 9)} as prediction from v_yearly_fitted""")
 def model_load(d: Domain) -> DataFrame:
     model = models.load_model(d.spark, _saved(d, "line_yearly"), _saved(d, "line_monthly"))
     scored = projection.score(d.merged_yearly(), model)

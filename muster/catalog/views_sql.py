@@ -227,11 +227,11 @@ VIEWS["v_train_fit"] = """
     from v_split where not is_test"""
 
 VIEWS["v_yearly_fitted"] = """
-    select entity, "Year", mass_salary as actual, greatest(0.0::double, nbemp * slope + intercept) as predicted
+    select entity, "Year", mass_salary as actual, nbemp * slope + intercept as predicted
     from v_yearly, v_yearly_fit"""
 
 VIEWS["v_test_fitted"] = """
-    select entity, "Year", "Month", mass_salary as actual, greatest(0.0::double, nbemp * slope + intercept) as predicted
+    select entity, "Year", "Month", mass_salary as actual, nbemp * slope + intercept as predicted
     from v_split, v_train_fit where is_test"""
 
 

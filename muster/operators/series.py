@@ -90,10 +90,13 @@ def yearly_features(yearly: DataFrame) -> DataFrame:
 
 
 def monthly_features(monthly: DataFrame) -> DataFrame:
-    """Feature frame of the monthly model."""
-    df = salary_per_employee(annual_recruitments(monthly), "avg_salary_per_emp")
-    df = net_change(year_normalized(df), "net_employee_change")
-    return cumulative_net_change(df)
+    """Feature frame of the monthly model.
+
+    The window over the whole entity comes first: its shuffle also serves the windows within a year.
+    """
+    df = net_change(year_normalized(monthly), "net_employee_change")
+    df = annual_recruitments(cumulative_net_change(df))
+    return salary_per_employee(df, "avg_salary_per_emp")
 
 
 def export_features(monthly: DataFrame) -> DataFrame:

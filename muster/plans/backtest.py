@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster.operators.joins import apply_factor
 from muster.operators.projection import Predictor, project_monthly, project_yearly
-from muster.operators.scoring import correction_factor, signed_bias
-
-HISTORY_COLUMNS = ["entity", "year", "employees", "recruitments", "departures", "actual"]
-
+from muster.operators.scoring import (
+    backtest_footer,
+    backtest_metrics,
+    backtest_rows,
+    correction_factor,
+    signed_bias,
+)
+from muster.operators.series import first_row_per_year
 
 def history_scenarios(history: DataFrame) -> DataFrame:
     """Each year on record as a one-year scenario with that year's own inputs."""
@@ -39,6 +44,26 @@ def compare_history(history: DataFrame, model: Predictor) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Backtest:
+    rows: DataFrame
+    metrics: DataFrame
+    footer: DataFrame
+
+
+def backtest(history: DataFrame, model: Predictor, by: Sequence[str] = ("entity",)) -> Backtest:
+    """Comparison table, its error metrics and its total lines.
+
+    With an ``ordinal`` column (file order) the first row of a repeated year is the one tested.
+    """
+    if "ordinal" in history.columns:
+        history = first_row_per_year(history).drop("ordinal")
+    compared = compare_history(history, model)
+    return Backtest(
+        backtest_rows(compared), backtest_metrics(compared, by), backtest_footer(compared, by)
+    )
+
+
 def bias_factor(history: DataFrame, model: Predictor, by: Sequence[str] = ()) -> DataFrame:
     return correction_factor(signed_bias(compare_history(history, model), by))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster.operators import joins, regression, rollups, scoring, series
-from muster.operators.projection import TrainedModel, score
+from muster.operators.projection import Predictor, TrainedModel
 from muster.operators.regression import ModelSpec
 from muster.schemas import TARGET
 from muster.sources.models import save_model
@@ -39,9 +39,9 @@ def export_frame(salary: DataFrame, departures: DataFrame, recruitments: DataFra
     return series.export_features(joins.merge_monthly_left(departures, recruitments, salary))
 
 
-def evaluate(rows: DataFrame, model: TrainedModel) -> DataFrame:
-    """Rows with ``actual`` and ``predicted``."""
-    return score(rows, model).withColumn("actual", F.col(TARGET)).withColumnRenamed("prediction", "predicted")
+def evaluate(rows: DataFrame, model: Predictor) -> DataFrame:
+    """Rows with ``actual`` and ``predicted`` (as the model gives it, not floored at 0)."""
+    return model.predict(rows).withColumn("actual", F.col(TARGET)).withColumnRenamed("prediction", "predicted")
 
 
 def train_yearly(frame: DataFrame, spec: ModelSpec = regression.GBT_YEARLY) -> Training:

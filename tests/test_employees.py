@@ -246,3 +246,58 @@ def test_choices_and_year_reports(spark):
         "matricule bigint, day_of date, first_name string, last_name string, corps string, grade string",
     )
     assert rows(rollups.movements_of_year(moves, "day_of", 2020)) == [(1, "a b", 31, 12, 2020, "-", "-")]
+
+
+def test_a_hot_employee_in_every_batch(spark):
+    """A third of all changes hit one employee; results equal handling them one after the other."""
+    rng = random.Random(11)
+    people = {m: {"first_name": "Ann", "grade": "A1", "left": None, "joined": dt.date(2010, 1, 1)} for m in range(1, 40)}
+    snapshot = staff(spark, *[person(m, date_joined=p["joined"]) for m, p in people.items()])
+
+    def pick():
+        return 1 if rng.random() < 0.34 else rng.randint(1, 60)
+
+    edits, exits = [], []
+    for seq in range(600):
+        left = "2021-01-01" if rng.random() < 0.01 else ""
+        edits.append((*form(
+            seq, matricule=str(pick()), first_name=rng.choice(["", f"n{seq}"]), grade=rng.choice(["", "B"]),
+            salaire_base=rng.choice(["1", "-1", "x", ""]),
+        ), left))
+        day = rng.choice(["", "x", "2009-12-31", f"2015-{rng.randint(1, 12)}-{rng.randint(1, 28)}"])
+        exits.append((seq, pick(), day))
+
+    edited = {m: dict(p) for m, p in people.items()}
+    for e in edits:
+        row = dict(zip(["seq", *FORM, "date_left"], e))
+        target = edited.get(int(row["matricule"]))
+        if target and target["left"] is None and row["first_name"] and row["salaire_base"] in ("1", ""):
+            target.update(first_name=row["first_name"], grade=row["grade"] or None,
+                          left=dt.date(2021, 1, 1) if row["date_left"] else None)
+    rng.shuffle(edits)
+    batch = forms(spark, *edits, extra=["date_left"]).withColumn("matricule", F.col("matricule").cast("bigint"))
+    got = changes.apply_full_update(snapshot, intake.validate_forms(batch, editing=True))
+    assert {r.matricule: (r.first_name, r.grade, r.date_left) for r in got.collect()} == {
+        m: (p["first_name"], p["grade"], p["left"]) for m, p in edited.items()
+    }
+
+    ended = dict.fromkeys(people)
+    reasons = {}
+    for seq, m, day in exits:
+        if m not in people:
+            reasons[seq] = "Employee not found"
+        elif ended[m]:
+            reasons[seq] = "Employee is already terminated"
+        elif not day:
+            reasons[seq] = "Termination date is required"
+        elif day == "x":
+            reasons[seq] = "Invalid date_left"
+        elif day < "2010":
+            reasons[seq] = "Termination date cannot be before hire date"
+        else:
+            reasons[seq] = None
+            ended[m] = dt.datetime.strptime(day, "%Y-%m-%d").date()
+    rng.shuffle(exits)
+    asked = spark.createDataFrame(exits, "seq bigint, matricule bigint, date_left string")
+    assert {r.seq: r.reason for r in intake.validate_terminations(asked, snapshot).collect()} == reasons
+    assert {r.matricule: r.date_left for r in changes.apply_terminations(snapshot, asked).collect()} == ended
