@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from muster.catalog.domain import Domain
 from muster.catalog.registry import query, sig
+from muster.catalog.views_sql import money as money_sql
 from muster.catalog.views_sql import sig as sig_sql
 from muster.operators import projection, regression, scoring
 from muster.operators.regression import FOREST, GBT_EXPORT, GBT_MONTHLY, GBT_YEARLY, LINEAR, ModelSpec
@@ -169,7 +170,7 @@ def project_yearly_trained(d: Domain) -> DataFrame:
 
 @query("choose_engine", f"""
     select 'monthly' as engine, scenario_id, start_year + t // 12 as "Year",
-      {sig_sql('sum(greatest(0.0::double, greatest(1.0::double, level) * slope + intercept))', 8)} as "Total_Salary",
+      round({money_sql('sum(greatest(0.0::double, greatest(1.0::double, level) * slope + intercept))')}, 0) as "Total_Salary",
       cast(round_even(max(case when t % 12 = 11 then lft end), 0) as bigint) as "End_Employees"
     from v_monthly_walk, v_train_fit group by all""")
 def choose_engine(d: Domain) -> DataFrame:
@@ -177,7 +178,7 @@ def choose_engine(d: Domain) -> DataFrame:
     _, yearly = projection.project(d.scenarios(), model)
     return yearly.select(
         F.lit(model.kind).alias("engine"), "scenario_id", "Year",
-        sig(F.col("Total_Salary"), 8).alias("Total_Salary"), "End_Employees",
+        F.round("Total_Salary", 0).alias("Total_Salary"), "End_Employees",
     )
 
 

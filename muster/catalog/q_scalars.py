@@ -195,7 +195,7 @@ def select_features(d: Domain) -> DataFrame:
 
 
 @query("parse_result_json", """
-    select source, id, valid, case when valid then json_extract_string(j, '$.status') end as status,
+    select source, id, case when valid then json_extract_string(j, '$.status') end as status,
       coalesce(case when valid then json_extract_string(j, '$.graph') <> '' end, false) as has_graph,
       coalesce(case when valid then json_array_length(j, '$.predictions') end, 0) as years,
       case when valid then json_extract_string(j, '$.predictions[0].Total_Salary')::double end as first_total
@@ -218,7 +218,6 @@ def parse_result_json(d: Domain) -> DataFrame:
     ))
     return parse_result(rows).select(
         "source", "id",
-        F.get_json_object("result_json", "$").isNotNull().alias("valid"),
         F.col("result.status").alias("status"), "has_graph",
         F.coalesce(F.size("result.predictions"), F.lit(0)).alias("years"),
         F.get("result.predictions", 0)["Total_Salary"].alias("first_total"),

@@ -12,8 +12,8 @@ from muster.schemas import METRIC_FIELDS
 
 PREDICTION_TYPE = "array<struct<Year:int,Total_Salary:double,End_Employees:bigint>>"
 RESULT_SCHEMA = (
-    f"status string, predictions {PREDICTION_TYPE}, graph string, "
-    f"metrics struct<{', '.join(f'{m}: double' for m in METRIC_FIELDS)}>"
+    f"status: string, predictions: {PREDICTION_TYPE}, graph: string, "
+    f"metrics: struct<{', '.join(f'{m}: double' for m in METRIC_FIELDS)}>"
 )
 
 
@@ -34,12 +34,18 @@ def result_json(yearly: DataFrame, metrics: DataFrame, keys: Sequence[str]) -> D
 
 
 def parse_result(history: DataFrame) -> DataFrame:
-    """Stored JSON as columns; malformed text gives NULL fields. ``has_graph`` tells if one is kept."""
-    graph = F.get_json_object("result_json", "$.graph")
-    return history.withColumns({
-        "result": F.from_json("result_json", RESULT_SCHEMA),
-        "has_graph": F.coalesce(graph != "", F.lit(False)),
-    })
+    """Stored JSON as the struct ``result``; text that is not exactly one JSON document gives NULL
+    fields. ``has_graph`` tells if a drawing is kept.
+
+    Spark's JSON functions read the first value and ignore what follows it; as the only element of an
+    array a value with trailing text is malformed.
+    """
+    wrapped = F.concat(F.lit("["), "result_json", F.lit("]"))
+    parsed = F.from_json(wrapped, f"array<struct<{RESULT_SCHEMA}>>", {"allowSingleQuotes": "false"})
+    one = history.withColumn("_parsed", parsed)
+    return one.withColumn("result", F.when(F.size("_parsed") == 1, F.get("_parsed", 0))).withColumn(
+        "has_graph", F.coalesce(F.col("result.graph") != "", F.lit(False))
+    ).drop("_parsed")
 
 
 def chart_series(historical: DataFrame) -> DataFrame:

@@ -42,10 +42,13 @@ def test_result_documents(spark):
     assert [p["Year"] for p in docs[1]["predictions"]] == [2021, 2022]
     assert docs[2]["predictions"] == [{"Year": 2021, "Total_Salary": 7.0, "End_Employees": 1}]
     assert docs[1]["metrics"]["monthly_r2"] == 0.9877 and docs[1]["metrics"]["yearly_mse"] == 0.0
-    bad = spark.createDataFrame([("{oops",), ('{"status": "success", "graph": "g"}',), ("",)], "result_json string")
-    assert rows(documents.parse_result(bad).select("result.status", "has_graph")) == [
-        (None, False), ("success", True), (None, False),
-    ]
+    good = '{"status": "success", "graph": "g"}'
+    texts = ["{oops", good, "", good + " x", good + ", 1", "12", "null", None, good.replace('"', "'"), " " + good + "\n",
+             '{"status": "success", "graph": "", "metrics": {"monthly_r2": NaN}}']
+    stored = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, result_json string")
+    got = rows(documents.parse_result(stored).orderBy("i").select("result.status", "has_graph"))
+    none, kept = (None, False), ("success", True)
+    assert got == [none, kept, none, none, none, none, none, none, none, kept, ("success", False)]
 
 
 def test_chart_json(spark):
