@@ -78,20 +78,12 @@ def backtest_footer(compared: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.expr(money("avg(error_percent)")).alias("mape"),
         F.count("*").alias("n"),
     )
-    difference = F.col("predicted") - F.col("actual")
-    total_error = F.try_divide(F.abs(difference), F.col("actual")) * 100
-    total = sums.select(
-        *by, F.lit("TOTAL").alias("line"), "actual", "predicted",
-        difference.alias("difference"), total_error.alias("error_percent"),
-    )
-    average = sums.select(
-        *by, F.lit("AVERAGE").alias("line"),
-        (F.col("actual") / F.col("n")).alias("actual"),
-        (F.col("predicted") / F.col("n")).alias("predicted"),
-        (difference / F.col("n")).alias("difference"),
-        F.col("mape").alias("error_percent"),
-    )
-    return total.unionByName(average)
+    lines = """inline(array(
+        named_struct('line', 'TOTAL', 'actual', actual, 'predicted', predicted, 'difference', predicted - actual,
+            'error_percent', try_divide(abs(predicted - actual), actual) * 100),
+        named_struct('line', 'AVERAGE', 'actual', actual / n, 'predicted', predicted / n,
+            'difference', (predicted - actual) / n, 'error_percent', mape)))"""
+    return sums.selectExpr(*by, lines)
 
 
 def error_band(rows: DataFrame) -> DataFrame:

@@ -42,3 +42,12 @@ def read_final_dataset(spark: SparkSession, path: str) -> DataFrame:
     return read_historical(spark, path).select(
         "entity", "year", "departures", "recruitment", "number_employees", "mass_salary"
     )
+
+
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Prediction requests: the five fields stay text, to be checked; keys are numbers."""
+    df = _entity(read_csv(spark, path))
+    keys = {"scenario_id": F.col("scenario_id").try_cast("bigint")}
+    if "user_id" in df.columns:
+        keys["user_id"] = F.col("user_id").try_cast("bigint")
+    return df.withColumns(keys)

@@ -127,3 +127,34 @@ def test_predict_batch(spark, domain, tmp_path):
     want = done.documents.filter("user_id % 2 = 0").count()
     assert stored.count() == want > 0
     assert stored.filter("created_at IS NULL").count() == 0
+
+
+def test_command_line_jobs(spark, domain, tmp_path):
+    """CSV in, model and results out, as a user of the jobs would run them."""
+    from muster.__main__ import main
+
+    salary, departures, recruitments = domain.monthly_sources()
+    requests = domain.scenario_requests()
+    inputs = {
+        "salary": salary, "departures": departures, "recruitments": recruitments, "requests": requests,
+        "historical": domain.historical(),
+    }
+    paths = {name: str(tmp_path / name) for name in inputs}
+    for name, df in inputs.items():
+        df.write.csv(paths[name], header=True)
+    out, model = str(tmp_path / "out"), str(tmp_path / "model")
+    users = str(tmp_path / "users")
+    domain.users().select("*").write.parquet(users)
+
+    main(["dashboard", "--historical", paths["historical"], "--out", out])
+    assert spark.read.parquet(f"{out}/series").count() == 6 * domain.historical().count()
+    main(["train", "--kind", "yearly", "--rounds", "2", "--model", model, "--salary", paths["salary"],
+          "--departures", paths["departures"], "--recruitments", paths["recruitments"]])
+    main(["backtest", "--historical", paths["historical"], "--yearly-model", model, "--out", out])
+    assert spark.read.parquet(f"{out}/rows").count() == domain.historical().count()
+    main(["predict", "--requests", paths["requests"], "--historical", paths["historical"], "--yearly-model", model,
+          "--users", users, "--out", out])
+    documents_, refused = spark.read.parquet(f"{out}/documents"), spark.read.parquet(f"{out}/refused")
+    assert documents_.count() + refused.count() == requests.count()
+    kept = spark.read.parquet(f"{out}/history")
+    assert kept.count() == documents_.join(domain.users(), documents_.user_id == domain.users().id, "left_semi").count()
