@@ -113,7 +113,7 @@ _SUMS = "(select entity, sum(actual) as a, sum(predicted) as p, count(*) as n fr
 
 
 @query("backtest_footer", f"""
-    select entity, line, round(actual, 2) as actual, round(predicted, 2) as predicted, round(difference, 2) as difference,
+    select entity, line, round(actual, 6) as actual, round(predicted, 6) as predicted, round(difference, 6) as difference,
       round(error_percent, 6) as error_percent
     from (select entity, 'TOTAL' as line, a as actual, p as predicted, p - a as difference, abs(p - a) / a * 100 as error_percent
         from {_SUMS}
@@ -122,7 +122,7 @@ _SUMS = "(select entity, sum(actual) as a, sum(predicted) as p, count(*) as n fr
 def backtest_footer(d: Domain) -> DataFrame:
     footer = scoring.backtest_footer(d.compared(), ["entity"])
     return footer.select(
-        "entity", "line", *[F.round(c, 2).alias(c) for c in ("actual", "predicted", "difference")],
+        "entity", "line", *[F.round(c, 6).alias(c) for c in ("actual", "predicted", "difference")],
         F.round("error_percent", 6).alias("error_percent"),
     )
 
