@@ -1,9 +1,9 @@
 """Projecting pay and headcount for whole tables of scenarios.
 
 The yearly engine needs no shuffle. A scenario row is expanded to the years its model must score (all
-up to 2020, or just the first), scored, and the last of those expanded to the years that follow it.
-Every factor of the yearly chain is a closed expression of the scenario's own inputs, and the
-planning rules bound the chain at 20 steps, so it is written out as one product inside the row.
+up to 2020, or just the first) and scored; the last of those carries the years that follow it, whose
+pay is folded inside the row, each from the year before. Expanding last keeps the fold at one step
+per year.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from muster.schemas import (
     AVG_SALARY_PER_EMPLOYEE,
     HEADCOUNT_ELASTICITY,
     LAST_KNOWN_YEAR,
-    MAX_SPAN_YEARS,
 )
 
 
@@ -96,26 +95,22 @@ def project_yearly(scenarios: DataFrame, model: Predictor) -> DataFrame:
     scored = score(yearly_model_rows(scenarios), model)
     growth = 1 + ANNUAL_GROWTH_RATE
     ahead = f"nbemp * ({AVG_SALARY_PER_EMPLOYEE!r}D * power({growth!r}D, start_year - {LAST_KNOWN_YEAR}))"
-    last_year = f"CASE WHEN base_year >= {LAST_KNOWN_YEAR} THEN end_year ELSE base_year END"
     rows = scored.withColumns({
         "anchor": F.expr(f"CASE WHEN start_year > {LAST_KNOWN_YEAR} THEN {ahead} ELSE prediction END"),
-    }).withColumn("Year", F.expr(f"explode(sequence(base_year, {last_year}))"))
-
-    def step(n: int) -> str:
-        """Growth factor of the n-th year after the base year; 1 once past the row's year."""
-        before = f"({headcount(f'(base_year + {n})')} - net_change)"
-        rate = f"CASE WHEN {before} > 0 THEN net_change / {before} ELSE 0D END"
-        return f"(CASE WHEN base_year + {n} <= Year THEN {growth!r}D + {rate} * {HEADCOUNT_ELASTICITY!r}D ELSE 1D END)"
-
-    chained = " * ".join(["anchor", *[step(n) for n in range(1, MAX_SPAN_YEARS + 1)]])
-    too_long = "raise_error('projection spans more than 20 years: validate the scenarios first')"
-    salary = (
-        f"CASE WHEN Year - base_year > {MAX_SPAN_YEARS} THEN cast({too_long} AS DOUBLE)"
-        f" ELSE greatest(0D, {chained}) END"
+        "last_year": F.expr(f"CASE WHEN base_year >= {LAST_KNOWN_YEAR} THEN end_year ELSE base_year END"),
+    })
+    # y runs over the years after the base year; the year's opening count less the change is the count before.
+    before = f"({headcount('y')} - net_change)"
+    factor = f"{growth!r}D + CASE WHEN {before} > 0 THEN net_change / {before} ELSE 0D END * {HEADCOUNT_ELASTICITY!r}D"
+    path = (
+        "aggregate(slice(sequence(base_year, last_year), 2, cast(last_year - base_year AS INT)),"
+        " array(greatest(0D, anchor)),"
+        f" (paid, y) -> array_append(paid, greatest(0D, element_at(paid, -1) * ({factor}))))"
     )
-    return rows.withColumn("salary", F.expr(salary)).select(
+    paid = rows.select(*scenarios.columns, "base_year", "net_change", F.expr(f"posexplode({path}) AS (pos, salary)"))
+    return paid.withColumn("Year", F.expr("cast(base_year + pos AS INT)")).select(
         *scenarios.columns,
-        F.expr("cast(Year AS INT) AS Year"),
+        "Year",
         F.expr(f"{headcount('Year')} AS employees"),
         "salary",
         F.expr(f"{money('salary')} AS Total_Salary"),

@@ -110,10 +110,12 @@ def test_projection_has_no_shuffle_and_no_fallback(spark):
     assert "EvalPython" not in text and "BatchEval" not in text
 
 
-def test_too_long_a_projection_fails_instead_of_being_cut(spark):
-    df = spark.createDataFrame([(1, 2021, 2042, 1, 1, 10)], FIELDS)
-    with pytest.raises(Exception, match="more than 20 years"):
-        projection.project_yearly(df, formula(spark)).collect()
+def test_span_is_not_capped(spark):
+    df = spark.createDataFrame([(1, 2019, 2060, 7, 3, 10)], FIELDS)
+    got = rows(projection.project_yearly(df, formula(spark)).select("Year", "Total_Salary", "End_Employees").orderBy("Year"))
+    want = [r[:3] for r in yearly_by_hand(2019, 2060, 7, 3, 10)]
+    assert [g[0::2] for g in got] == [w[0::2] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-14, abs=0.0101)
 
 
 def test_monthly_engines_equal_the_plain_walk(spark):
