@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where none is set (tests)."""
+    """The shared folder ``spark.checkpoint.dir`` names; where it is unset, one in the session's warehouse.
+
+    Both are shared by all executors of a cluster. No folder of one machine is ever made up.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="muster-checkpoints-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+        if not warehouse:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"{warehouse.rstrip('/')}/_muster"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -21,3 +26,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def workspace(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, for tables and models a job writes."""
     return f"{checkpoint_dir(spark).rstrip('/')}/muster/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df, name: str):
+    """``df`` written once to the shared folder and read back: computed once, and no lineage behind it."""
+    path = workspace(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
