@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.llm import decontaminate as decontamination
+from muster.llm import arc, language_id, mixing, quality_classifier, quality_rules, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +68,88 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         decontamination.contaminated(c).alias("contaminated"),
     )
+
+
+@query("op6_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op8_source_mixing")
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document."""
+    rows = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate")
+
+
+@query("op2_arc_to_warc", sql=r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (
+  SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+         list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                                ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)
+                         FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+         min(page_id) OVER (PARTITION BY h) AS least
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN least IS NULL OR page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN least IS NULL OR page_id = least THEN NULL ELSE least END AS refers_to
+FROM q
+""")
+def arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through legacy archives and their conversion, read back."""
+    return arc.archived(table(spark, sf_dir, "pages")).drop("uri")
+
+
+@query("op1_quality_rules")
+def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the decision list's verdict of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.fit(documents, table(spark, sf_dir, "labels"))
+    q = F.col("quality")
+    return quality_rules.judge(documents, rules).select("doc_id", *[
+        q["statistics"][n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    ], q["base_failed"].alias("base_failed"), q["kept"].alias("kept"), q["rule"].alias("rule"))
+
+
+def remainder(n: int) -> Column:
+    """crc32 of an id's text, by its remainder; null ids have the remainder of the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+@query("op5_quality_classifier")
+def quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(documents, table(spark, sf_dir, "labels"), learn=remainder(4) != 2)
+    scored = quality_classifier.classify(documents, model)
+    return scored.select(
+        "doc_id", (remainder(4) == 2).alias("held_out"), F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= quality_classifier.ACCEPTED).cast("int").alias("predicted"),
+    )
+
+
+@query("op7_toxicity")
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), learn=remainder(5) != 0)
+    scored = toxicity.classify(documents, model)
+    return scored.select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query("op10_language_id")
+def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    models = language_id.train(documents.filter(remainder(5) != 0))
+    found = language_id.identify(documents.select("doc_id", "text"), models)
+    return found.select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected"),
+    )
