@@ -1,7 +1,7 @@
 """Benchmark decontamination with an FM-index per shard of documents.
 
 A shard is a bounded block of whole documents within a task. Its words become symbols (a word of no test phrase is one
-common symbol, a document ends with 0), the symbols are indexed, the test phrases are searched backwards through the
+common symbol, a document ends with a symbol of its own), the symbols are indexed, the test phrases are searched backwards through the
 ranks of the wavelet matrix, their occurrences located by sampled suffix positions, and overlapping occurrences merged
 into removal spans. Nothing is shuffled. The phrases are handed out in blocks of bounded size, one pass over the shards a
 block; one pass does for any test set of up to ``block_chars`` characters.
@@ -28,6 +28,9 @@ WINDOW = 13
 #: Characters of test phrases in one block.
 BLOCK_CHARS = 8_000_000
 
+#: Symbols: 0 ends a shard, 1 a document, 2 is any word of no phrase.
+END, DOCUMENT_END, OTHER, FIRST = range(4)
+
 _TYPE = (
     "struct<n_words:bigint,n_hit:bigint,items:array<string>,"
     "spans:array<struct<first_word:bigint,last_word:bigint,first_char:bigint,end_char:bigint>>>"
@@ -37,9 +40,9 @@ _SPAN = pa.struct([(n, pa.int64()) for n in ("first_word", "last_word", "first_c
 
 @dataclass
 class Phrases:
-    """Distinct windows of a block of items as symbols (2 and up), and the items each stands in."""
+    """Distinct windows of a block of items as symbols (``FIRST`` and up), and the items each stands in."""
 
-    hashes: np.ndarray  # of the words, sorted; word k is symbol k + 2
+    hashes: np.ndarray  # of the words, sorted; word k is symbol k + FIRST
     spelled: list[bytes]
     patterns: np.ndarray
     lengths: np.ndarray
@@ -56,7 +59,7 @@ def phrases(items: pa.Table, window: int) -> Phrases:
     spelled = [found.data[found.at[i]:found.at[i + 1]].tobytes() for i in first]
     owners: dict[tuple[int, ...], set[int]] = {}
     for item in range(len(offsets) - 1):
-        own = (symbol[found.of[item]:found.of[item + 1]] + 2).tolist()
+        own = (symbol[found.of[item]:found.of[item + 1]] + FIRST).tolist()
         for at in range(max(1, len(own) - window + 1) if own else 0):
             owners.setdefault(tuple(own[at:at + window]), set()).add(item)
     patterns = np.zeros((len(owners), window), np.int64)
@@ -72,18 +75,18 @@ def phrases(items: pa.Table, window: int) -> Phrases:
 
 
 def symbols_of(found: Words, known: Phrases) -> np.ndarray:
-    """2 and up for words of a phrase, 1 for all others."""
+    """``FIRST`` and up for words of a phrase, ``OTHER`` for all others."""
     hashes = found.hashes()
     if not len(known.hashes):
-        return np.ones(len(hashes), np.int64)
+        return np.full(len(hashes), OTHER, np.int64)
     at = np.minimum(np.searchsorted(known.hashes, hashes), len(known.hashes) - 1)
-    return np.where(known.hashes[at] == hashes, at + 2, 1)
+    return np.where(known.hashes[at] == hashes, at + FIRST, OTHER)
 
 
 def occurrences(symbols: np.ndarray, of: np.ndarray, known: Phrases) -> tuple[np.ndarray, np.ndarray]:
     """Every occurrence in a shard: its window and the first of its words."""
-    text = np.insert(symbols, of[1:], 0)
-    index = FMIndex(text, len(known.hashes) + 2)
+    text = np.append(np.insert(symbols, of[1:], DOCUMENT_END), END)
+    index = FMIndex(text, len(known.hashes) + FIRST)
     low, high = index.search(known.patterns, known.lengths)
     counts = high - low
     window = np.repeat(np.arange(len(low)), counts)
@@ -112,10 +115,10 @@ def judge_shard(data: np.ndarray, offsets: np.ndarray, known: Phrases) -> list[d
         hit = covered(found.n, first, known.lengths[window])
         # an exact check: a word that only shares its hash with a phrase's word is no word of the phrase
         false = [i for i in np.flatnonzero(hit).tolist()
-                 if found.data[found.at[i]:found.at[i + 1]].tobytes() != known.spelled[symbols[i] - 2]]
+                 if found.data[found.at[i]:found.at[i + 1]].tobytes() != known.spelled[symbols[i] - FIRST]]
         if not false:
             break
-        symbols[false] = 1
+        symbols[false] = OTHER
     out = [{"n_words": int(n), "n_hit": 0, "items": [], "spans": []} for n in n_words]
     if not len(window):
         return out

@@ -1,7 +1,7 @@
 """FM-index of a sequence of symbols: suffix order, wavelet matrix with ranks, sampled suffix positions.
 
-Symbols are small integers; 0 ends a document. Patterns are searched backwards, many at once, and their occurrences are
-located by walking to the next sampled suffix.
+Symbols are small integers; 0 ends the sequence and stands nowhere else, so that each step back from a suffix is exact.
+Patterns are searched backwards, many at once, and their occurrences are located by walking to the next sampled suffix.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Counts and locates patterns in ``symbols``, whose last entry must be 0."""
+    """Counts and locates patterns in ``symbols``, whose last entry alone is 0."""
 
     def __init__(self, symbols: np.ndarray, alphabet: int, sample: int = 16):
         self.n = len(symbols)
