@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.llm import decontaminate as decontamination
-from muster.llm import arc, language_id, mixing, quality_classifier, quality_rules, simhash, toxicity
+from muster.llm import arc, language_id, license_scan, mixing, quality_classifier, quality_rules, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +153,17 @@ def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (remainder(5) == 0).alias("held_out"), F.col("language.lang").alias("lang_pred"),
         F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected"),
     )
+
+
+@query("op3_license_scan")
+def license_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every document."""
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[F.col("licenses")[n].alias(n) for n in (
+        "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
+
+
+@query("op4_url_filter")
+def url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
