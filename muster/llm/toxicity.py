@@ -1,11 +1,12 @@
 """Toxicity: a classifier of words whose scores must not change when identity terms are swapped.
 
-A logistic regression over the presence of words. In every labelled sentence that names a group, the identity term is swapped for
-the others of its list, and the squared change of the score is added to the loss. A term that stands in toxic rows more often
-than others therefore gains no weight of its own, and a neutral mention of a group stays neutral.
+A logistic regression over terms: words and their beginnings of ``STEMS`` bytes (languages that build words on stems repeat the
+stem, not the word), each as present and as present at least twice. In every labelled sentence that names a group, the identity
+term is swapped for the others of its list, and the squared change of the score is added to the loss. A term that stands in toxic
+rows more often than others therefore gains no weight of its own, and a neutral mention of a group stays neutral.
 
-The words are those whose document counts differ most between the labels, counted in Spark over the labelled rows; the fit runs on
-a bounded sample (``MAX_ROWS`` rows, ``MAX_WORDS`` words, ``MAX_SWAPS`` swapped sentences). Scores cover all rows and whole
+The terms are those whose document counts differ most between the labels, counted in Spark over the labelled rows; the fit runs on
+a bounded sample (``MAX_ROWS`` rows, ``MAX_TERMS`` terms, ``MAX_SWAPS`` swapped sentences). Scores cover all rows and whole
 texts. Labels, languages, sources and ids never enter a score. An empty or null text has no words and gets the score of the
 intercept. Without labels of both kinds every score is the share of label 1 (0 without any).
 """
@@ -13,7 +14,7 @@ intercept. Without labels of both kinds every score is the share of label 1 (0 w
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,12 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.llm.statistics import labelled
-from muster.llm.words import LETTERED, blocks, text_buffers, words
+from muster.llm.words import LETTERED, Words, blocks, mix, text_buffers, words
 from muster.session import stored
 
-MAX_ROWS, MAX_WORDS, MAX_SWAPS = 20_000, 1024, 50_000
-RIDGE, SWAP_PENALTY, STEPS = 2e-4, 4.0, 400
-#: Rows of each label that a word stands in at least, in sum.
+MAX_ROWS, MAX_TERMS, MAX_SWAPS = 10_000, 1536, 50_000
+STEMS = (4, 5, 6, 7, 8)
+RIDGE, SWAP_PENALTY, STEPS = 1e-4, 4.0, 600
+#: Labelled rows that a term stands in at least.
 LEAST_ROWS = 5
 
 #: Lists of terms that may stand for each other in a sentence.
@@ -43,13 +45,13 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 
 @dataclass(frozen=True)
 class Model:
-    hashes: np.ndarray  # of the words, sorted
-    weights: np.ndarray
+    hashes: np.ndarray  # of the terms, sorted
+    weights: np.ndarray  # two of each term: present, and present at least twice
     intercept: float
 
 
 def word_hashes(terms: Iterable[str]) -> np.ndarray:
-    """The hashes that words of texts have."""
+    """The hashes of whole words."""
     data, offsets = text_buffers(pa.array(list(terms), pa.string()))
     found = words(data, offsets, LETTERED)
     if found.n != len(offsets) - 1:
@@ -57,29 +59,40 @@ def word_hashes(terms: Iterable[str]) -> np.ndarray:
     return found.hashes()
 
 
-def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, word hash) pairs of a block, without repeats."""
-    found = words(data, offsets, LETTERED)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(found.of))
-    hashes = found.hashes()
-    order = np.lexsort((hashes, doc))
-    doc, hashes = doc[order], hashes[order]
-    first = np.ones(len(doc), bool)
-    first[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-    return doc[first], hashes[first]
+def _terms(found: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words that have it, its hash) for the whole word and each stem."""
+    yield np.arange(found.n), found.hashes()
+    for size, at, hashes in found.stems(STEMS):
+        yield at, mix(hashes ^ np.uint64(size))
 
 
-def _word_sets(text: Column) -> Column:
-    @F.arrow_udf("array<bigint>")
+def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term hash, how often) of a block."""
+    found = words(data, offsets, LETTERED)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(found.of))
+    at, hashes = (np.concatenate(x) for x in zip(*_terms(found), strict=True))
+    own = doc[at]
+    order = np.lexsort((hashes, own))
+    own, hashes = own[order], hashes[order]
+    first = np.ones(len(own), bool)
+    first[1:] = (own[1:] != own[:-1]) | (hashes[1:] != hashes[:-1])
+    heads = np.flatnonzero(first)
+    return own[heads], hashes[heads], np.diff(np.append(heads, len(own)))
+
+
+def _term_sets(text: Column) -> Column:
+    """The distinct terms of a text (``once``) and those found at least twice (``twice``)."""
+    @F.arrow_udf("struct<once:array<bigint>,twice:array<bigint>>")
     def own(texts: pa.Array) -> pa.Array:
         data, offsets = text_buffers(texts)
-        values, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for a, z in blocks(offsets):
-            doc, hashes = _distinct(data, offsets[a:z + 1])
-            values.append(hashes)
-            sizes.append(np.bincount(doc, minlength=z - a))
-        cuts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-        return pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(values).view(np.int64)))
+        parts = [(z - a, *_distinct(data, offsets[a:z + 1])) for a, z in blocks(offsets)]
+        columns = []
+        for least in (1, 2):
+            values = [np.zeros(0, np.uint64), *[h[n >= least] for _, _, h, n in parts]]
+            sizes = [np.zeros(1, np.int64), *[np.bincount(d[n >= least], minlength=docs) for docs, d, _, n in parts]]
+            columns.append(pa.ListArray.from_arrays(
+                np.cumsum(np.concatenate(sizes)).astype(np.int32), pa.array(np.concatenate(values).view(np.int64))))
+        return pa.StructArray.from_arrays(columns, ["once", "twice"])
 
     return own.asNondeterministic()(text)
 
@@ -96,14 +109,12 @@ def swapped_sentences(text: str, terms: Sequence[Sequence[str]]) -> list[tuple[s
 
 
 class _Design:
-    """Rows of word sets, as positions in a list of known words."""
+    """Rows of terms, as positions in twice a list of known terms."""
 
-    def __init__(self, sets: list[np.ndarray], known: np.ndarray):
-        rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        hashes = np.concatenate([np.zeros(0, np.uint64), *sets])
+    def __init__(self, n: int, rows: np.ndarray, hashes: np.ndarray, twice: np.ndarray, known: np.ndarray):
         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
         found = known[at] == hashes
-        self.n, self.rows, self.at, self.width = len(sets), rows[found], at[found], len(known)
+        self.n, self.rows, self.at, self.width = n, rows[found], 2 * at[found] + twice[found], 2 * len(known)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, weights[self.at], self.n)
@@ -116,19 +127,36 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _largest(design: _Design, scale: np.ndarray, rounds: int = 30) -> float:
+    """The largest eigenvalue of the design's second moments, by power iteration, with a tenth on top."""
+    v, size = scale.copy(), 0.0
+    for _ in range(rounds):
+        v = scale * design.back(design.dot(v * scale)) / max(design.n, 1)
+        size = float(np.linalg.norm(v))
+        if size == 0:
+            return 0.0
+        v /= size
+    return 1.1 * size
+
+
 def train(
     design: _Design, label: np.ndarray, before: _Design, after: _Design, penalty: float, ridge: float = RIDGE, steps: int = STEPS,
 ) -> tuple[np.ndarray, float]:
     """Weights and intercept, by accelerated gradient steps on the penalised loss."""
     weights, intercept = np.zeros(design.width), float(np.log(label.mean() / (1 - label.mean())))
     share = np.bincount(design.at, minlength=design.width) / max(design.n, 1)
-    scale = 1 / np.sqrt(share + 1e-3)  # words are rescaled so that rare ones learn as fast as frequent ones
-    step = 1.0 / (0.25 * max(1.0, np.max(np.bincount(design.rows, scale[design.at] ** 2 * share[design.at], design.n), initial=1.0)) + 1.0)
+    row = np.where(label > 0, np.sqrt((1 - label.mean()) / label.mean()), 1.0)  # the rarer label weighs more
+    row /= row.sum()
+    scale = 1 / np.sqrt(share + 1e-3)  # terms are rescaled so that rare ones learn as fast as frequent ones
+    bend = 0.25 * design.n * float(row.max()) * _largest(design, scale) + ridge * float(np.max(scale ** 2)) + 0.25
+    if before.n:
+        bend += penalty * (_largest(before, scale) + _largest(after, scale))
+    step = 1.0 / bend
     w, b, w0, b0 = weights.copy(), intercept, weights.copy(), intercept
     for k in range(steps):
         lead = k / (k + 3)
         wy, by = w + lead * (w - w0), b + lead * (b - b0)
-        off = (_sigmoid(design.dot(wy * scale) + by) - label) / design.n
+        off = (_sigmoid(design.dot(wy * scale) + by) - label) * row
         gw, gb = scale * design.back(off) + ridge * wy * scale ** 2, off.sum()
         if before.n:
             one, two = _sigmoid(before.dot(wy * scale) + by), _sigmoid(after.dot(wy * scale) + by)
@@ -142,40 +170,48 @@ def train(
 
 
 def fit(
-    documents: DataFrame, labels: DataFrame, *, rows: int = MAX_ROWS, width: int = MAX_WORDS, learn: Column | None = None,
+    documents: DataFrame, labels: DataFrame, *, rows: int = MAX_ROWS, width: int = MAX_TERMS, learn: Column | None = None,
     terms: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = SWAP_PENALTY, **names,
 ) -> Model:
     """A model from ``labels.toxic``; ``learn`` tells which ids may be learned from."""
     sample = labelled(documents, labels, "toxic", rows, learn=learn, **names)
     group = "(?i)(?<![\\p{L}\\p{N}_])(" + "|".join(t for own in terms for t in own) + ")(?![\\p{L}\\p{N}_])"
     table = stored(sample.select(
-        "doc_id", "label", _word_sets(F.col("text")).alias("own"),
+        "doc_id", "label", _term_sets(F.col("text")).alias("own"),
         F.filter(F.split(F.col("text"), "[.!?\\n]+"), lambda s: s.rlike(group)).alias("named")), "labelled")
     n, ones = table.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < ones < n:
         share = min(max(ones / n if n else 0.0, 1e-6), 1 - 1e-6)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
 
-    seen = table.select("label", F.explode("own").alias("word")).groupBy("word").agg(
+    found = [table.select("label", F.explode(F.col("own")[k]).alias("term"), F.lit(k == "twice").alias("twice")) for k in ("once", "twice")]
+    seen = found[0].union(found[1]).groupBy("term", "twice").agg(
         F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).filter(F.col("p") + F.col("q") >= LEAST_ROWS)
-    rate_p, rate_q = (F.col("p") + 0.5) / (ones + 1), (F.col("q") + 0.5) / (n - ones + 1)
-    spread = F.abs(rate_p - rate_q) / F.sqrt((F.col("p") + F.col("q") + 1) / n * (1 / F.lit(ones) + 1 / F.lit(n - ones)))
-    told = seen.orderBy(spread.desc(), "word").limit(width).select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64)
-    known = np.unique(np.concatenate([told, word_hashes(t for own in terms for t in own)]))
+    share = (F.col("p") + F.col("q") + 1) / (n + 2)
+    spread = F.abs(F.col("p") / ones - F.col("q") / (n - ones)) / F.sqrt(share * (1 - share) * (1 / ones + 1 / (n - ones)))
+    chosen = seen.orderBy(spread.desc(), "term", "twice").limit(width).select("term").union(
+        documents.sparkSession.createDataFrame([(int(h),) for h in word_hashes(t for own in terms for t in own).view(np.int64)], "term bigint")
+    ).distinct()
+    known = np.sort(chosen.toPandas()["term"].to_numpy(np.int64).view(np.uint64))
+    # rows of equal ids count as one; at most MAX_TERMS and the identity terms are broadcast
+    held = [table.select("doc_id", F.explode(F.col("own")[k]).alias("term"), F.lit(v).alias("twice")) for k, v in (("once", 0), ("twice", 1))]
+    pairs = held[0].union(held[1]).join(F.broadcast(chosen), "term").distinct().orderBy("doc_id", "term", "twice").toPandas()
+    marks = table.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy("doc_id").toPandas()
+    label = marks["label"].to_numpy(np.float64)
+    design = _Design(len(label), np.searchsorted(marks["doc_id"], pairs["doc_id"]), pairs["term"].to_numpy(np.int64).view(np.uint64),
+                     pairs["twice"].to_numpy(np.int64), known)
 
-    keys = F.array(*[F.lit(int(h)) for h in known.view(np.int64)])
-    kept = table.select("doc_id", "label", F.array_intersect("own", keys).alias("own")).orderBy("doc_id").toPandas()
     sentences = table.select(F.explode("named").alias("s")).orderBy(F.xxhash64("s"), "s").limit(MAX_SWAPS).toPandas()["s"]
     pairs = [p for s in sentences for p in swapped_sentences(s, terms)][:MAX_SWAPS]
 
-    def sets(texts: list[str]) -> list[np.ndarray]:
-        data, offsets = text_buffers(pa.array(texts, pa.string()))
-        doc, hashes = _distinct(data, offsets)
-        return np.split(hashes, np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1]) if texts else []
+    def of_texts(texts: list[str]) -> _Design:
+        doc, hashes, often = _distinct(*text_buffers(pa.array(texts, pa.string())))
+        again = often > 1
+        return _Design(len(texts), np.concatenate([doc, doc[again]]), np.concatenate([hashes, hashes[again]]),
+                       np.repeat([0, 1], [len(doc), again.sum()]), known)
 
-    design = _Design([np.asarray(x, np.int64).view(np.uint64) for x in kept["own"]], known)
-    before, after = (_Design(sets([p[k] for p in pairs]), known) for k in (0, 1))
-    weights, intercept = train(design, kept["label"].to_numpy(np.float64), before, after, penalty)
+    before, after = (of_texts([p[k] for p in pairs]) for k in (0, 1))
+    weights, intercept = train(design, label, before, after, penalty)
     return Model(known, weights, intercept)
 
 
@@ -183,12 +219,16 @@ def scores_of(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray
     total = np.full(len(offsets) - 1, model.intercept)
     if len(model.hashes):
         found = words(data, offsets, LETTERED)
-        hashes = found.hashes()
-        at = np.minimum(np.searchsorted(model.hashes, hashes), len(model.hashes) - 1)
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(found.of))
-        hit = model.hashes[at] == hashes
-        pairs = np.unique(doc[hit] * len(model.hashes) + at[hit])
-        total += np.bincount(pairs // len(model.hashes), model.weights[pairs % len(model.hashes)], len(total))
+        hits = []
+        for which, hashes in _terms(found):
+            at = np.minimum(np.searchsorted(model.hashes, hashes), len(model.hashes) - 1)
+            hit = model.hashes[at] == hashes
+            hits.append(doc[which[hit]] * len(model.hashes) + at[hit])
+        pairs, often = np.unique(np.concatenate(hits), return_counts=True)
+        term = 2 * (pairs % len(model.hashes))
+        weight = model.weights[term] + np.where(often > 1, model.weights[term + 1], 0.0)
+        total += np.bincount(pairs // len(model.hashes), weight, len(total))
     return _sigmoid(total)
 
 

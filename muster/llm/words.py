@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 #: Bytes of text a block holds at most, unless one document is longer; then that document is a block of its own.
 BLOCK_BYTES = 4 << 20
 
-_MULTIPLIER = 0x9E3779B97F4A7C15
+_MULTIPLIER, _LENGTH = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
 def _table(separators: list[tuple[int, int]], lower: bool) -> np.ndarray:
@@ -78,17 +78,32 @@ class Words:
     def lengths(self) -> np.ndarray:
         return np.diff(self.at)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit polynomial hash of each word: equal words have equal hashes."""
-        if not self.n:
-            return np.zeros(0, np.uint64)
+    def _terms(self) -> np.ndarray:
+        """What each byte adds to its word's hash."""
         lengths = self.lengths()
         powers = np.full(int(lengths.max()), _MULTIPLIER, np.uint64)
         powers[0] = 1
         powers = np.multiply.accumulate(powers)
         within = np.arange(len(self.data), dtype=np.int64) - np.repeat(self.at[:-1], lengths)
-        sums = np.add.reduceat((self.data.astype(np.uint64) + 1) * powers[within], self.at[:-1])
-        return mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return (self.data.astype(np.uint64) + 1) * powers[within]
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit polynomial hash of each word: equal words have equal hashes."""
+        if not self.n:
+            return np.zeros(0, np.uint64)
+        sums = np.add.reduceat(self._terms(), self.at[:-1])
+        return mix(sums + self.lengths().astype(np.uint64) * _LENGTH)
+
+    def stems(self, sizes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each size, the words longer than it and the hashes of their first bytes."""
+        if not self.n:
+            return
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(self._terms(), out=sums[1:])
+        for size in sizes:
+            long_ = np.flatnonzero(self.lengths() > size)
+            begin = self.at[:-1][long_]
+            yield size, long_, mix(sums[begin + size] - sums[begin] + np.array([size], np.uint64) * _LENGTH)
 
     def spaced(self) -> tuple[bytes, np.ndarray, np.ndarray]:
         """All words with one space after each, and where each begins and ends there."""
