@@ -11,19 +11,27 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from muster.operators import joins, regression, rollups, scenarios
 from muster.operators.projection import LinearFormula
 from muster.plans import training
 from muster.plans.backtest import compare_history
+from muster.schemas import GRADE_LABELS
+from muster.session import stored
 
 
 def _text(c: Column) -> Column:
     return c.cast("string")
 
 
+def _written(coefficients: DataFrame) -> DataFrame:
+    return coefficients.select(*[F.round(c, 4).alias(c) for c in coefficients.columns])
+
+
+FAMILY = ["single", "couple", "parted", "bereft"]
+
 # Schemas of the bundled tables, so that opening one starts no inference job.
 RAW = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
@@ -68,18 +76,26 @@ class Domain:
     # ---- monthly and yearly series -----------------------------------------------------------
 
     @_once
-    def monthly_salary(self) -> DataFrame:
+    def monthly_orders(self) -> DataFrame:
+        """Pay, staff and hires of each month from one pass over the orders. A customer's months are put side by
+        side by the customer key, by which they are then joined."""
         cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
         paid = self.raw("orders").groupBy(
             "o_custkey", F.year("o_orderdate").alias("Year"), F.month("o_orderdate").alias("Month")
         ).agg(F.sum(cents).alias("cents"))
+        period = F.col("Year") * 100 + F.col("Month")
+        paid = paid.withColumn("hired", period == F.min(period).over(Window.partitionBy("o_custkey")))
         people = self.raw("customer").select("c_custkey", F.col("c_nationkey").alias("entity"))
         joined = paid.join(people, F.col("o_custkey") == F.col("c_custkey"))
         return joined.groupBy("entity", "Year", "Month").agg(
             (F.sum("cents").cast("double") / 100).alias("mass_salary"),
             F.count("*").cast("double").alias("nbemp"),
+            F.count_if("hired").alias("Recruitments"),
         )
 
+    def monthly_salary(self) -> DataFrame:
+        return self.monthly_orders().drop("Recruitments")
+
     @_once
     def monthly_departures(self) -> DataFrame:
         left = self.raw("lineitem").filter("l_returnflag = 'R'").groupBy(
@@ -89,14 +105,14 @@ class Domain:
         joined = left.join(sites, F.col("l_suppkey") == F.col("s_suppkey"))
         return joined.groupBy("entity", "Year", "Month").agg(F.sum("n").alias("nb_departures"))
 
-    @_once
     def monthly_recruitments(self) -> DataFrame:
-        first = self.raw("orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_day"))
-        people = self.raw("customer").select("c_custkey", F.col("c_nationkey").alias("entity"))
-        joined = first.join(people, F.col("o_custkey") == F.col("c_custkey"))
-        return joined.groupBy(
-            "entity", F.year("first_day").alias("Year"), F.month("first_day").alias("Month")
-        ).agg(F.count("*").alias("Recruitments"))
+        return self.monthly_orders().filter("Recruitments > 0").select("entity", "Year", "Month", "Recruitments")
+
+    def reduced(self) -> Domain:
+        """This domain with its series computed once and stored, for queries that use them more than once: each
+        fact table is read once. Series have one row per organisation and month."""
+        views = {("monthly_orders",): self.monthly_orders(), ("monthly_departures",): self.monthly_departures()}
+        return Domain(self.spark, self.sf_dir, {k: stored(df, f"series-{k[0]}") for k, df in views.items()})
 
     def monthly_sources(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return self.monthly_salary(), self.monthly_departures(), self.monthly_recruitments()
@@ -166,14 +182,14 @@ class Domain:
         )
         k = F.col("c_custkey")
         amount = "decimal(10,2)"
-        grades = F.array(*[F.lit(g) for g in ("A1", "A2", "A3", "B", "C", "D")], F.lit(None))
-        family = F.array(*[F.lit(s) for s in ("Célibataire", "Marié(e)", "Divorcé(e)", "Veuf(ve)")])
+        grades = F.array(*[F.lit(g) for g in sorted(GRADE_LABELS)], F.lit(None))
+        family = F.array(*[F.lit(s) for s in FAMILY])
         return self.raw("customer").join(days, F.col("o_custkey") == k, "left").select(
             k.alias("matricule"),
             F.initcap("c_mktsegment").alias("first_name"),
             F.col("c_name").alias("last_name"),
             F.date_add(F.lit("1960-01-01").cast("date"), (k % 12000).cast("int")).alias("birth_date"),
-            F.get(grades, (F.col("c_nationkey") % 7).cast("int")).alias("grade"),
+            F.get(grades, (F.col("c_nationkey") % (len(GRADE_LABELS) + 1)).cast("int")).alias("grade"),
             (k % 13).cast("int").alias("echelon"),
             (100 + k % 901).cast("int").alias("indice"),
             F.when(k % 17 == 0, "").otherwise(F.col("c_mktsegment")).alias("corps"),
@@ -252,17 +268,19 @@ class Domain:
         return scenarios.split(scenarios.validate(self.scenario_table()))[0]
 
     def scenario_requests(self) -> DataFrame:
-        """The same as text, some fields missing or unreadable."""
+        """The same as text, some fields missing, unreadable or huge, some requests repeated or without a key."""
         k = F.col("scenario_id")
-        return self.scenario_table().select(
+        asked = self.scenario_table().select(
             "scenario_id", "entity", (k % 200).alias("user_id"),
             F.when(k % 23 == 1, "abc").when(k % 23 != 0, _text(F.col("start_year"))).alias("start_year"),
             F.when(k % 41 != 7, _text(F.col("end_year"))).alias("end_year"),
             F.when(k % 29 != 3, _text(F.col("recruitments"))).alias("recruitments"),
             F.concat(F.lit("  "), _text(F.col("departures")), F.lit("\n")).alias("departures"),
-            F.when(k % 37 == 5, "10.5").when(k % 23 != 0, _text(F.col("initial_employees")))
-            .alias("initial_employees"),
+            F.when(k % 37 == 5, "10.5").when(k % 103 == 5, str(2**63 - 1))
+            .when(k % 23 != 0, _text(F.col("initial_employees"))).alias("initial_employees"),
         )
+        nameless = asked.filter(k % 101 == 0).withColumn("scenario_id", F.lit(None).cast("bigint"))
+        return asked.union(asked.filter(k % 97 == 0)).union(nameless)
 
     # ---- changes -----------------------------------------------------------------------------
 
@@ -280,15 +298,16 @@ class Domain:
             F.when(k % 13 == 0, "").when(k % 13 == 1, "1990-2-30").when(k % 13 == 2, "1985-3-5")
             .when(k % 13 == 3, "1990-01-05 10:00").otherwise(born).alias("birth_date"),
             F.when(k % 3 == 0, "").otherwise("A2").alias("grade"),
-            F.when(k % 17 == 0, "x").when(k % 17 == 1, "").otherwise(_text(k % 12 + 1)).alias("echelon"),
+            F.when(k % 17 == 0, "x").when(k % 17 == 1, "").when(k % 17 == 2, "99999999999").otherwise(_text(k % 12 + 1)).alias("echelon"),
             _text(100 + k % 900).alias("indice"),
             F.col("p_brand").alias("corps"),
             F.when(k % 23 == 0, "-5").when(k % 23 == 1, "12,5").when(k % 23 == 2, None)
+            .when(k % 23 == 3, "123456789.5").when(k % 23 == 4, "nan")
             .otherwise(F.concat(_text(k % 5000), F.lit(".25"))).alias("salaire_base"),
             F.when(k % 43 == 0, "10d").otherwise("").alias("indemnite_residence"),
             F.when(k % 29 == 0, "1e2").when(k % 29 == 1, "-3").otherwise(" ").alias("indemnite_transport"),
-            F.lit("Marié(e)").alias("situation_familiale"),
-            F.when(k % 31 == 0, "two").when(k % 31 == 1, "3").alias("nombre_enfants"),
+            F.lit(FAMILY[1]).alias("situation_familiale"),
+            F.when(k % 31 == 0, "two").when(k % 31 == 1, "3").when(k % 31 == 2, "99999999999").alias("nombre_enfants"),
             F.when(k % 47 == 0, "yesterday").otherwise("2001-1-15").alias("date_joined"),
             F.when(k % 37 == 0, "soon").otherwise("").alias("date_titularisation"),
         )
@@ -307,7 +326,7 @@ class Domain:
             F.when(k % 43 == 0, "-1").otherwise(F.concat(_text(k % 5000), F.lit(".5"))).alias("salaire_base"),
             F.lit("10").alias("indemnite_residence"),
             F.lit("").alias("indemnite_transport"),
-            F.lit("Veuf(ve)").alias("situation_familiale"),
+            F.lit(FAMILY[3]).alias("situation_familiale"),
             F.when(k % 2 == 0, "2").alias("nombre_enfants"),
             F.lit("1995-02-03").alias("date_joined"),
             F.lit("").alias("date_titularisation"),
@@ -343,14 +362,20 @@ class Domain:
 
     # ---- predictors --------------------------------------------------------------------------
 
+    # The models that queries project with are given tables of coefficients: the fitted ones, written down to
+    # four places, so that two engines that project with them agree to the cent. ``fit_line`` itself does not round.
+
     def yearly_formula(self) -> LinearFormula:
-        return LinearFormula("yearly", regression.fit_line(self.merged_yearly(), "nbemp"), ["nbemp"])
+        return LinearFormula("yearly", _written(regression.fit_line(self.merged_yearly(), "nbemp")), ["nbemp"])
 
     def monthly_formula(self) -> LinearFormula:
-        return LinearFormula("monthly", regression.fit_line(self.merged_monthly(), "nbemp"), ["nbemp"])
+        return LinearFormula("monthly", _written(regression.fit_line(self.merged_monthly(), "nbemp")), ["nbemp"])
+
+    def formula(self, kind: str) -> LinearFormula:
+        return self.yearly_formula() if kind == "yearly" else self.monthly_formula()
 
-    def compared(self) -> DataFrame:
-        return compare_history(self.historical(), self.yearly_formula())
+    def compared(self, kind: str = "yearly") -> DataFrame:
+        return compare_history(self.historical(), self.formula(kind))
 
     def monthly_predictions(self) -> DataFrame:
         """Months with actual pay and the line's prediction."""

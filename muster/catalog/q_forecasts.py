@@ -12,7 +12,7 @@ from muster.catalog.views_sql import sig as sig_sql
 from muster.operators import projection, scenarios, scoring
 from muster.plans.backtest import backtest as run_backtest
 from muster.plans.backtest import bias_correction, compare_history
-from muster.plans.predict import keep_history, predict_batch
+from muster.plans.predict import forecast_from_last_known, keep_history, predict_batch
 from muster.session import workspace
 from muster.sources.documents import parse_result
 
@@ -87,38 +87,96 @@ def project_monthly_batch(d: Domain) -> DataFrame:
     return out.select("scenario_id", "Year", "total_yearly_salary", "avg_monthly_salary", "employees_end_of_year")
 
 
-@query("bias_correction", f"""
+def _corrected(projected: str, end: str) -> str:
+    return f"""
     select p.scenario_id, p."Year", {sig_sql('p."Total_Salary" * coalesce(f.factor, 1)', 9)} as "Total_Salary"
-    from v_projected p left join v_factor f on p.entity = f.entity""")
+    from {projected} p join v_scenarios s using (scenario_id) left join v_factor{end} f on s.entity = f.entity"""
+
+
+def _bias(d: Domain, kind: str) -> DataFrame:
+    d = d.reduced()
+    _, yearly = bias_correction(d.scenarios(), d.historical(), d.formula(kind), ["entity"])
+    return yearly.select("scenario_id", "Year", sig(F.col("Total_Salary"), 9).alias("Total_Salary"))
+
+
+@query("bias_correction", _corrected("v_projected", ""))
 def bias(d: Domain) -> DataFrame:
-    model = d.yearly_formula()
-    yearly = projection.project_yearly(d.scenarios(), model)
-    adjusted = bias_correction(yearly, d.historical(), model, ["Total_Salary"], ["entity"])
-    return adjusted.select("scenario_id", "Year", sig(F.col("Total_Salary"), 9).alias("Total_Salary"))
+    return _bias(d, "yearly")
 
 
-@query("backtest", f"""
-    select b.*, m.mae, m.mape from v_backtest b join (select entity, {money_sql('avg(abs_error)')} as mae,
-      {money_sql('avg(pct_error)')} as mape from v_errors group by entity) m using (entity)""")
-def backtest(d: Domain) -> DataFrame:
-    tested = run_backtest(d.historical().withColumn("ordinal", F.col("year")), d.yearly_formula())
+@query("bias_correction_monthly", _corrected("v_monthly_totals", "_monthly"))
+def bias_monthly(d: Domain) -> DataFrame:
+    return _bias(d, "monthly")
+
+
+def _tested(end: str) -> str:
+    return f"""
+    select b.*, m.mae, m.mape from v_backtest{end} b join (select entity, {money_sql('avg(abs_error)')} as mae,
+      {money_sql('avg(pct_error)')} as mape from v_errors{end} group by entity) m using (entity)"""
+
+
+def _backtest(d: Domain, kind: str) -> DataFrame:
+    d = d.reduced()
+    tested = run_backtest(d.historical().withColumn("ordinal", F.col("year")), d.formula(kind))
     return tested.rows.join(tested.metrics.drop("num_years"), "entity")
 
 
-@query("predict_batch", f"""
+@query("backtest", _tested(""))
+def backtest(d: Domain) -> DataFrame:
+    return _backtest(d, "yearly")
+
+
+@query("backtest_monthly", _tested("_monthly"))
+def backtest_monthly(d: Domain) -> DataFrame:
+    return _backtest(d, "monthly")
+
+
+def _predicted(projected: str, end: str) -> str:
+    return f"""
     select c.scenario_id as id, c.user_id, p."Year", {sig_sql('p."Total_Salary" * coalesce(f.factor, 1)', 9)} as "Total_Salary",
       p."End_Employees", round(m.r2, 4) as monthly_r2
-    from v_checked_requests c join v_projected p using (scenario_id) left join v_factor f on p.entity = f.entity,
-      (select 1 - avg((actual - predicted) * (actual - predicted)) / var_pop(actual) as r2 from v_compared) m
-    where c.ok and c.user_id in (select id from v_users)""")
-def predict(d: Domain) -> DataFrame:
-    model, history = d.yearly_formula(), d.historical()
+    from v_checked_requests c join {projected} p using (scenario_id) left join v_factor{end} f on c.entity = f.entity,
+      (select 1 - avg((actual - predicted) * (actual - predicted)) / var_pop(actual) as r2 from v_compared{end}) m
+    where c.ok and c.user_id in (select id from v_users)"""
+
+
+def _predict(d: Domain, kind: str) -> DataFrame:
+    d = d.reduced()
+    model, history = d.formula(kind), d.historical()
     m = scoring.regression_metrics(compare_history(history, model))
     metrics = m.select(F.struct("mse", "rmse", "mae", "r2").alias("monthly"), F.struct("mse", "r2").alias("yearly"))
     done = predict_batch(d.scenario_requests(), history, model, metrics)
-    stored = keep_history(done, d.users(), workspace(d.spark, "predictions"))
-    rows = parse_result(stored).withColumn("p", F.explode("result.predictions"))
+    kept = keep_history(done, d.users(), workspace(d.spark, "predictions"))
+    rows = parse_result(kept).withColumn("p", F.explode("result.predictions"))
     return rows.select(
         "id", "user_id", "p.Year", sig(F.col("p.Total_Salary"), 9).alias("Total_Salary"), "p.End_Employees",
         F.col("result.metrics.monthly_r2").alias("monthly_r2"),
     )
+
+
+@query("predict_batch", _predicted("v_request_projected", ""))
+def predict(d: Domain) -> DataFrame:
+    return _predict(d, "yearly")
+
+
+@query("predict_batch_monthly", _predicted("v_request_monthly_totals", "_monthly"))
+def predict_monthly(d: Domain) -> DataFrame:
+    return _predict(d, "monthly")
+
+
+@query("refused_requests", "select scenario_id, entity, message from v_checked_requests where not ok")
+def refused(d: Domain) -> DataFrame:
+    checked = scenarios.split(scenarios.check_requests(d.scenario_requests()))[1]
+    return checked.select("scenario_id", "entity", "message")
+
+
+@query("forecast_last_known", f"""
+    select entity, 2021 as "Year", {money_sql('sum(greatest(0.0::double, greatest(0.0::double, level) * slope + intercept) order by t)')}
+      as total_yearly_salary, max(case when t % 12 = 11 then lft end) as employees_end_of_year
+    from v_last_walk join v_last_scenarios using (scenario_id), v_monthly_line group by entity""")
+def forecast_last_known(d: Domain) -> DataFrame:
+    d = d.reduced()
+    moves = d.scenario_table().groupBy("entity").agg(
+        F.max("departures").alias("departures"), F.max("recruitments").alias("recruitments"))
+    out = forecast_from_last_known(d.merged_monthly(), moves, 2021, d.monthly_formula())
+    return out.select("entity", "Year", "total_yearly_salary", "employees_end_of_year")

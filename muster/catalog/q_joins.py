@@ -93,6 +93,7 @@ def fk_orphans(d: Domain) -> DataFrame:
     select scenario_id, "Year", {sig_sql('"Total_Salary" * factor', 9)} as "Total_Salary" from v_projected,
       (select 1 - avg(case when actual > 0 then (predicted - actual) / actual else 0.0::double end) as factor from v_compared)""")
 def apply_scalar(d: Domain) -> DataFrame:
+    d = d.reduced()
     model = d.yearly_formula()
     yearly = project_yearly(d.scenarios(), model)
     adjusted = joins.apply_factor(yearly, bias_factor(d.historical(), model), ["Total_Salary"])

@@ -2,54 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.catalog.domain import Domain
 from muster.catalog.registry import query, sig
 from muster.catalog.views_sql import money as money_sql
 from muster.catalog.views_sql import sig as sig_sql
-from muster.operators import projection, regression, scoring
+from muster.operators import projection, regression, scoring, series
 from muster.operators.regression import FOREST, GBT_EXPORT, GBT_MONTHLY, GBT_YEARLY, LINEAR, ModelSpec
 from muster.plans import training
 from muster.plans.training import Training
+from muster.schemas import TARGET, YEARLY_FEATURES
 from muster.session import workspace
 from muster.sources import models
 
-# Boosting is sequential: the registered queries fit this many rounds over the whole tables, the specs
-# keep the full counts, which a training job uses.
-ROUNDS = 20
+# Tasks that training frames are packed into: trees run several jobs per level or round.
+TASKS = 2
 
 # One-feature lines, whose fit SQL can repeat.
 LINE_YEARLY = ModelSpec("yearly", LINEAR.estimator, ["nbemp"], LINEAR.params)
 LINE_MONTHLY = ModelSpec("monthly", LINEAR.estimator, ["nbemp"], LINEAR.params)
 
-_SAVED: dict[tuple[str, str, str], str] = {}
-
 
 def _train(d: Domain, name: str) -> Training:
+    d = d.reduced()
     if name == "yearly":
-        return training.train_yearly(d.yearly_training(), GBT_YEARLY.with_params(maxIter=ROUNDS))
+        return training.train_yearly(d.yearly_training(), GBT_YEARLY, tasks=TASKS)
     if name == "monthly":
-        return training.train_holdout(d.monthly_training(), GBT_MONTHLY.with_params(maxIter=ROUNDS))
+        return training.train_holdout(d.monthly_training(), GBT_MONTHLY, tasks=TASKS)
     if name == "line_yearly":
         return training.train_yearly(d.merged_yearly(), LINE_YEARLY)
     if name == "line_monthly":
         return training.train_holdout(d.merged_monthly(), LINE_MONTHLY)
     if name == "export":
-        return training.train_holdout(d.export_training(), GBT_EXPORT.with_params(maxIter=ROUNDS))
+        return training.train_holdout(d.export_training(), GBT_EXPORT, tasks=TASKS)
     spec = {"forest": FOREST, "linear": LINEAR}[name]
-    return training.train_holdout(d.merged_inner(), spec, chronological=False)
+    return training.train_holdout(d.merged_inner(), spec, chronological=False, tasks=TASKS)
 
 
 def _saved(d: Domain, name: str) -> str:
-    """Folder of a model trained and stored once per session and data set."""
-    key = (d.spark.sparkContext.applicationId, d.sf_dir, name)
-    if key not in _SAVED:
-        path = workspace(d.spark, f"model-{name}")
-        training.train_and_save(_train(d, name), path)
-        _SAVED[key] = path
-    return _SAVED[key]
+    """Folder of a model trained and stored for this query alone."""
+    path = workspace(d.spark, f"model-{name}")
+    training.train_and_save(_train(d, name), path)
+    return path
 
 
 def _loaded(d: Domain, name: str) -> projection.TrainedModel:
@@ -68,33 +64,81 @@ def linear_regression(d: Domain) -> DataFrame:
     return fitted.select("feature", sig(F.col("coefficient")).alias("coefficient"))
 
 
-def _test_rows(d: Domain, t: Training) -> DataFrame:
-    return t.scored.select("entity", "Year", "Month", "actual", "predicted")
+@query("fit_line", f"""
+    select 'yearly' as line, {sig_sql('slope', 7)} as nbemp, {sig_sql('intercept', 7)} as intercept from v_yearly_fit
+    union all select 'monthly', {sig_sql('regr_slope(mass_salary, nbemp)', 7)}, {sig_sql('regr_intercept(mass_salary, nbemp)', 7)}
+    from v_merged""")
+def fit_line(d: Domain) -> DataFrame:
+    d = d.reduced()
+    lines = {"yearly": d.merged_yearly(), "monthly": d.merged_monthly()}
+    fits = [regression.fit_line(df, "nbemp").withColumn("line", F.lit(k)) for k, df in lines.items()]
+    both = fits[0].unionByName(fits[1])
+    return both.select("line", *[sig(F.col(c), 7).alias(c) for c in ("nbemp", "intercept")])
 
 
-@query("linear_regression_all_features")
-def linear_all(d: Domain) -> DataFrame:
-    return _test_rows(d, _train(d, "linear"))
+_INNER_FEATURES = ["nb_departures", "Recruitments", "nbemp", "Year", "Month"]
 
 
-@query("random_forest")
+@query("linear_regression_all_features", f"""
+    select unnest({[*_INNER_FEATURES, 'intercept']}) as feature, true as orthogonal, true as weighed""")
+def linear_all(d: Domain) -> DataFrame:
+    """Every column but the target is a feature, and what the fit leaves over has nothing to do with any of them."""
+    d = d.reduced()
+    frame = series.split_random(d.merged_inner(), ["entity", "Year", "Month"]).filter("split = 'train'")
+    model = regression.fit(frame, LINEAR)
+    left = model.predict(frame).withColumn("left", F.col(TARGET) - F.col("prediction"))
+    pairs = [
+        F.abs(F.corr("left", F.col(c).cast("double"))).alias(c) for c in model.features
+    ] + [(F.abs(F.avg("left")) / F.stddev_pop("left")).alias("intercept")]
+    cells = [x for c in [*model.features, "intercept"] for x in (F.lit(c), F.col(c))]
+    related = left.agg(*pairs).select(F.stack(F.lit(len(pairs)), *cells).alias("feature", "related"))
+    weights = regression.coefficients(d.spark, model)
+    return related.join(weights, "feature").select(
+        "feature", (F.col("related") < 1e-6).alias("orthogonal"), (F.abs("coefficient") > 0).alias("weighed"))
+
+
+def _learned(source: str, target: str, inside: bool, keys: str = '"Year", "Month"') -> str:
+    """The rows a model is tested on; what it learned must beat the mean of their pay."""
+    return f"""select entity, {keys}, {target} as actual, true as beats_mean{', true as in_range' if inside else ''} from {source}"""
+
+
+def _test_rows(t: Training, inside: DataFrame | None = None) -> DataFrame:
+    """Keys and actual pay of the tested rows, and whether the predictions are worth something."""
+    error, spread = F.avg(F.pow(F.col("actual") - F.col("predicted"), 2)), F.var_pop("actual")
+    beats = t.scored.agg(error < spread).scalar().alias("beats_mean")
+    keys = [c for c in ("entity", "Year", "Month") if c in t.scored.columns]
+    if inside is None:
+        return t.scored.select(*keys, "actual", beats)
+    ends = inside.agg(F.struct(F.min(TARGET).alias("lo"), F.max(TARGET).alias("hi"))).scalar()
+    rows = t.scored.withColumn("_e", ends)
+    return rows.select(*keys, "actual", beats, F.expr("predicted BETWEEN _e.lo AND _e.hi").alias("in_range"))
+
+
+_RANDOM_TEST = """(select * from v_merged_inner qualify row_number() over (partition by entity
+    order by md5(concat_ws('|', '42', entity, "Year", "Month")), entity, "Year", "Month")
+    <= ceil(count(*) over (partition by entity) * 0.2::double))"""
+
+
+@query("random_forest", _learned(_RANDOM_TEST, "mass_salary", True))
 def random_forest(d: Domain) -> DataFrame:
-    return _test_rows(d, _train(d, "forest"))
+    """Means of training pay: no prediction leaves its range."""
+    d = d.reduced()
+    return _test_rows(_train(d, "forest"), d.merged_inner())
 
 
-@query("gbt_monthly")
+@query("gbt_monthly", _learned("v_split where is_test", "mass_salary", False))
 def gbt_monthly(d: Domain) -> DataFrame:
-    return _test_rows(d, _train(d, "monthly"))
+    return _test_rows(_train(d, "monthly"))
 
 
-@query("gbt_export")
+@query("gbt_export", _learned("v_split where is_test", "mass_salary", False))
 def gbt_export(d: Domain) -> DataFrame:
-    return _test_rows(d, _train(d, "export"))
+    return _test_rows(_train(d, "export"))
 
 
-@query("gbt_yearly")
+@query("gbt_yearly", _learned("v_yearly", "mass_salary", False, '"Year"'))
 def gbt_yearly(d: Domain) -> DataFrame:
-    return _train(d, "yearly").scored.select("entity", "Year", "actual", "predicted")
+    return _test_rows(_train(d, "yearly"))
 
 
 def _error_stats(source: str) -> str:
@@ -157,15 +201,34 @@ def score(d: Domain) -> DataFrame:
     return scored.select("scenario_id", "base_year", sig(F.col("prediction"), 9).alias("prediction"))
 
 
-@query("rank_importance")
+_YEARLY_FEATURES_SQL = str(sorted(YEARLY_FEATURES))
+
+
+@query("rank_importance", f"select unnest({_YEARLY_FEATURES_SQL}) as feature, true as in_order, 1.0::double as total")
 def rank_importance(d: Domain) -> DataFrame:
-    return regression.rank_importance(d.spark, _loaded(d, "yearly"))
+    """All features of the model, the more important first, adding up to one."""
+    ranked = regression.rank_importance(d.spark, _loaded(d, "yearly")).withColumn("at", F.monotonically_increasing_id())
+    before = Window.orderBy("at")
+    return ranked.select(
+        "feature", F.coalesce(F.col("importance") <= F.lag("importance").over(before), F.lit(True)).alias("in_order"),
+        F.round(F.sum("importance").over(Window.partitionBy()), 9).alias("total"),
+    )
 
 
-@query("project_yearly_trained")
+@query("project_yearly_trained", f"""
+    select scenario_id, "Year", case when start_year > 2020 then {sig_sql('salary', 9)} end as "Total_Salary",
+      case when "Year" > greatest(start_year, 2020) then
+        {sig_sql('greatest(0.0::double, 1.05::double + case when n - net > 0 then net / (n - net) else 0.0::double end * 0.7::double)', 7)}
+      end as growth, "End_Employees" from v_projected""")
 def project_yearly_trained(d: Domain) -> DataFrame:
+    """A trained model's figures up to 2020 are its own; what follows them, and all that starts later, is arithmetic."""
     out = projection.project_yearly(d.scenarios(), _loaded(d, "yearly"))
-    return out.select("scenario_id", "Year", "Total_Salary", "End_Employees")
+    before = F.lag("salary").over(Window.partitionBy("scenario_id").orderBy("Year"))
+    growth = F.when(F.col("Year") > F.greatest("start_year", F.lit(2020)), F.try_divide(F.col("salary"), before))
+    return out.select(
+        "scenario_id", "Year", F.when(F.col("start_year") > 2020, sig(F.col("salary"), 9)).alias("Total_Salary"),
+        sig(growth, 7).alias("growth"), "End_Employees",
+    )
 
 
 @query("choose_engine", f"""
@@ -174,7 +237,7 @@ def project_yearly_trained(d: Domain) -> DataFrame:
       cast(round_even(max(case when t % 12 = 11 then lft end), 0) as bigint) as "End_Employees"
     from v_monthly_walk, v_train_fit group by all""")
 def choose_engine(d: Domain) -> DataFrame:
-    model = models.load_model(d.spark, f"{_saved(d, 'line_yearly')}-none", _saved(d, "line_monthly"))
+    model = models.load_model(d.spark, workspace(d.spark, "none"), _saved(d, "line_monthly"))
     _, yearly = projection.project(d.scenarios(), model)
     return yearly.select(
         F.lit(model.kind).alias("engine"), "scenario_id", "Year",
@@ -186,7 +249,7 @@ _RESIDUALS = "(select entity, \"Year\", \"Month\", mass_salary - predicted_salar
 
 
 def _residuals(d: Domain) -> DataFrame:
-    rows = d.monthly_predictions().withColumnsRenamed({"mass_salary": "actual", "predicted_salary": "predicted"})
+    rows = d.reduced().monthly_predictions().withColumnsRenamed({"mass_salary": "actual", "predicted_salary": "predicted"})
     return scoring.residuals(rows)
 
 

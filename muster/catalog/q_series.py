@@ -161,7 +161,10 @@ def split_chronological(d: Domain) -> DataFrame:
     return series.split_chronological(d.merged_monthly(), ["Year", "Month"]).select(*MONTH, "split")
 
 
-@query("split_random")
+@query("split_random", """
+    select entity, "Year", "Month", case when row_number() over (partition by entity
+        order by md5(concat_ws('|', '42', entity, "Year", "Month")), entity, "Year", "Month")
+      <= ceil(count(*) over (partition by entity) * 0.2::double) then 'test' else 'train' end as split from v_merged_inner""")
 def split_random(d: Domain) -> DataFrame:
     return series.split_random(d.merged_inner(), MONTH).select(*MONTH, "split")
 
@@ -183,7 +186,7 @@ _SCALED = ", ".join(
 
 @query("standardize", f'select entity, "Year" as y, "Month" as m, {_SCALED} from v_monthly_features')
 def standardize(d: Domain) -> DataFrame:
-    frame = d.monthly_training().select(
+    frame = d.reduced().monthly_training().select(
         "entity", F.col("Year").alias("y"), F.col("Month").alias("m"), *MONTHLY_FEATURES
     )
     scaled = regression.standardize(frame, MONTHLY_FEATURES)

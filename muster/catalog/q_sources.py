@@ -93,11 +93,12 @@ _STATS = """
 @query("history_append", """
     select c.scenario_id as id, c.user_id, c.start_year, c.end_year, c.recruitments, c.departures, c.initial_employees,
       p."Year", p."Total_Salary", p."End_Employees"
-    from v_checked_requests c join v_projected p using (scenario_id)
+    from v_checked_requests c join v_request_projected p using (scenario_id)
     where c.ok and c.user_id in (select id from v_users)""")
 def history_append(d: Domain) -> DataFrame:
     from muster.operators.scenarios import check_requests, split
 
+    d = d.reduced()
     accepted = split(check_requests(d.scenario_requests()))[0]
     yearly = project_yearly(accepted, d.yearly_formula())
     documents_ = documents.result_json(yearly, _flat_metrics(d), accepted.columns)
@@ -117,7 +118,7 @@ def _flat_metrics(d: Domain) -> DataFrame:
     select round(r2, 4) as monthly_r2, {sig_sql('mse')} as monthly_mse, {sig_sql('round(sqrt(mse), 2)')} as monthly_rmse,
       {sig_sql('round(mae, 2)')} as monthly_mae, round(r2, 4) as yearly_r2, {sig_sql('mse')} as yearly_mse from ({_STATS})""")
 def metrics_load(d: Domain) -> DataFrame:
-    path = workspace(d.spark, "metrics")
+    d, path = d.reduced(), workspace(d.spark, "metrics")
     described = _metrics(d).select(
         F.lit("yearly").alias("kind"), F.array(F.lit("nbemp")).alias("features"),
         F.struct("monthly", "yearly").alias("metrics"),
@@ -131,6 +132,7 @@ def metrics_load(d: Domain) -> DataFrame:
     select p.scenario_id, 'success' as status, p."Year", p."Total_Salary", p."End_Employees", round(m.r2, 4) as monthly_r2
     from v_projected p, ({_STATS}) m""")
 def result_json(d: Domain) -> DataFrame:
+    d = d.reduced()
     scenarios = d.scenarios()
     yearly = project_yearly(scenarios, d.yearly_formula())
     docs = documents.result_json(yearly, _flat_metrics(d), scenarios.columns)
@@ -151,6 +153,22 @@ def chart_series(d: Domain) -> DataFrame:
     return documents.chart_series(d.historical())
 
 
+@query("chart_json", f"""
+    select entity, series, list(label order by label) as labels,
+      list(printf('%.2f', value) order by label) as "values"
+    from (select entity, "year"::varchar as label, unnest(['salary', 'employees', 'departures', 'recruitments',
+        'avg_salary_by_year', 'departures_by_year']) as series,
+      unnest([mass_salary, number_employees::double, departures::double, recruitment::double,
+        {money_sql('mass_salary / number_employees')}, departures::double]) as value
+      from v_historical) group by 1, 2""")
+def chart_json(d: Domain) -> DataFrame:
+    """The drawing's document, read back: numbers are written alike by both engines only to the cent."""
+    charts = documents.chart_json(documents.chart_series(d.historical()))
+    read = charts.withColumn("c", F.from_json("chart", "labels array<string>, values array<double>"))
+    cents = F.transform("c.values", lambda v: F.format_string("%.2f", v))
+    return read.select("entity", "series", F.col("c.labels").alias("labels"), cents.alias("values"))
+
+
 @query("row_counts", """
     select 'employees' as "table", count(*) as "rows" from v_employees
     union all select 'users', count(*) from v_users

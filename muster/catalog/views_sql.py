@@ -133,7 +133,7 @@ VIEWS["v_employees"] = """
       cast(case when c_custkey % 19 = 0 then 0 else c_acctbal end as decimal(10,2)) as salaire_base,
       cast(case when c_custkey % 5 <> 0 then c_custkey % 300 end as decimal(10,2)) as indemnite_residence,
       cast((c_custkey % 100) * 0.5 as decimal(10,2)) as indemnite_transport,
-      case c_custkey % 4 when 0 then 'Célibataire' when 1 then 'Marié(e)' when 2 then 'Divorcé(e)' else 'Veuf(ve)' end
+      case c_custkey % 4 when 0 then 'single' when 1 then 'couple' when 2 then 'parted' else 'bereft' end
         as situation_familiale,
       c_custkey % 5 as nombre_enfants,
       cast(first_day as date) as date_joined,
@@ -181,16 +181,20 @@ RULES = """case when start_year < 2000 or start_year > 2100 then 'Invalid start
 
 VIEWS["v_scenarios"] = f"select * from v_scenario_table where ({RULES}) is null"
 
-VIEWS["v_requests"] = """
+VIEWS["v_asked"] = """
     select scenario_id, entity, scenario_id % 200 as user_id,
       case when scenario_id % 23 = 1 then 'abc' when scenario_id % 23 <> 0 then start_year::varchar end as start_year,
       case when scenario_id % 41 <> 7 then end_year::varchar end as end_year,
       case when scenario_id % 29 <> 3 then recruitments::varchar end as recruitments,
       '  ' || departures || chr(10) as departures,
-      case when scenario_id % 37 = 5 then '10.5' when scenario_id % 23 <> 0 then initial_employees::varchar end
-        as initial_employees
+      case when scenario_id % 37 = 5 then '10.5' when scenario_id % 103 = 5 then '9223372036854775807'
+        when scenario_id % 23 <> 0 then initial_employees::varchar end as initial_employees
     from v_scenario_table"""
 
+VIEWS["v_requests"] = """
+    select * from v_asked union all select * from v_asked where scenario_id % 97 = 0
+    union all select * replace (null as scenario_id) from v_asked where scenario_id % 101 = 0"""
+
 _FIELDS = ["start_year", "end_year", "recruitments", "departures", "initial_employees"]
 _MISSING = "concat_ws(', ', " + ", ".join(f"case when {f} is null then '{f}' end" for f in _FIELDS) + ")"
 _PARSED = ", ".join(f"{parse_int(strip(f))} as {f}" for f in _FIELDS)
@@ -201,7 +205,8 @@ VIEWS["v_parsed_requests"] = f"""
 
 VIEWS["v_checked_requests"] = f"""
     select *, message is null as ok from (select scenario_id, entity, user_id, {', '.join(_FIELDS)},
-      case when missing <> '' then 'Missing fields: ' || missing when {_ANY_NULL} then 'Invalid numeric values'
+      case when scenario_id is null then 'Invalid scenario_id'
+        when count(*) over (partition by scenario_id) > 1 then 'Repeated scenario_id' when missing <> '' then 'Missing fields: ' || missing when {_ANY_NULL} then 'Invalid numeric values'
         else {RULES} end as message from v_parsed_requests)"""
 
 # ---- predictors and projections: plain recursion, one period at a time ----
@@ -251,14 +256,20 @@ def yearly_walk(source: str) -> str:
       case when yr > 2020 then greatest(0.0::double, salary * (1.05::double
           + case when n - net > 0 then net / (n - net) else 0.0::double end * 0.7::double))
         else {model} end as salary
-    from (select w.* replace (yr + 1 as yr, greatest(1.0::double, n + net) as n) from REC w where yr < end_year)"""
+    from (select w.* replace (yr + 1 as yr, 
+      greatest(1.0::double, initial_employees::double + (yr + 1 - start_year)::double * net) as n) from REC w where yr < end_year)"""
 
 
 VIEWS["v_yearly_walk"] = yearly_walk("v_scenarios").replace("REC", "v_yearly_walk")
 
 VIEWS["v_projected"] = f"""
     select scenario_id, entity, start_year, end_year, recruitments, departures, initial_employees, yr as "Year", n, net,
-      salary, {money('salary')} as "Total_Salary", cast(n + net as bigint) as "End_Employees" from v_yearly_walk"""
+      salary, {money('salary')} as "Total_Salary", try_cast(n + net as bigint) as "End_Employees" from v_yearly_walk"""
+
+# What the accepted requests ask for, which need not be what the scenario table holds.
+VIEWS["v_request_walk"] = yearly_walk("(select * from v_checked_requests where ok)").replace("REC", "v_request_walk")
+
+VIEWS["v_request_projected"] = VIEWS["v_projected"].replace("v_yearly_walk", "v_request_walk")
 
 
 def monthly_walk(name: str, source: str, floor: int, leave: str) -> str:
@@ -285,25 +296,62 @@ VIEWS["v_monthly_scored"] = """
       greatest(0.0::double, greatest(1.0::double, level) * slope + intercept) as prediction
     from v_monthly_walk, v_monthly_line"""
 
+VIEWS["v_request_monthly_walk"] = monthly_walk(
+    "v_request_monthly_walk", "(select * from v_checked_requests where ok)", 1, "departures::double / 12")
+
+VIEWS["v_history_scenarios"] = """
+    select entity * 10000 + "year" as scenario_id, "year" as start_year, "year" as end_year, recruitment as recruitments,
+      departures, number_employees as initial_employees from v_historical"""
+
+VIEWS["v_history_walk"] = monthly_walk("v_history_walk", "v_history_scenarios", 1, "departures::double / 12")
+
+
+VIEWS["v_last_scenarios"] = """
+    select entity as scenario_id, entity, 2021 as start_year, 2021 as end_year, recruitments, departures, initial_employees
+    from (select entity, max(recruitments) as recruitments, max(departures) as departures from v_scenario_table group by 1)
+    join (select entity, cast(arg_max(nbemp, "Year" * 100 + "Month") as bigint) as initial_employees from v_merged group by 1)
+      using (entity)"""
+
+VIEWS["v_last_walk"] = monthly_walk("v_last_walk", "v_last_scenarios", 0, "departures::double")
+
+
+def monthly_totals(walk: str) -> str:
+    """Pay and December's staff per scenario year of the monthly engine."""
+    return f"""
+    select scenario_id, start_year + t // 12 as "Year",
+      {money('sum(greatest(0.0::double, greatest(1.0::double, level) * slope + intercept) order by t)')} as "Total_Salary",
+      try_cast(round_even(max(case when t % 12 = 11 then lft end), 0) as bigint) as "End_Employees"
+    from {walk}, v_monthly_line group by 1, 2"""
+
+
+VIEWS["v_monthly_totals"] = monthly_totals("v_monthly_walk")
+VIEWS["v_request_monthly_totals"] = monthly_totals("v_request_monthly_walk")
+VIEWS["v_history_totals"] = monthly_totals("v_history_walk")
+
+_HISTORY = """entity, "year", number_employees as employees, recruitment as recruitments, departures, mass_salary as actual"""
+
 VIEWS["v_compared"] = f"""
-    select entity, "year", number_employees as employees, recruitment as recruitments, departures,
-      mass_salary as actual, {money('greatest(0.0::double, number_employees::double * slope + intercept)')} as predicted
+    select {_HISTORY}, {money('greatest(0.0::double, number_employees::double * slope + intercept)')} as predicted
     from v_historical, v_yearly_line"""
 
-VIEWS["v_errors"] = """
+VIEWS["v_compared_monthly"] = f"""
+    select {_HISTORY.replace('"year"', 'h."year"')}, "Total_Salary" as predicted from v_historical h join v_history_totals on scenario_id = entity * 10000 + h."year" """
+
+for _end in ("", "_monthly"):  # by either engine
+    VIEWS[f"v_errors{_end}"] = f"""
     select *, abs(predicted - actual) as abs_error,
       case when actual > 0 then abs(predicted - actual) / actual else 0 end * 100 as pct_error
-    from v_compared"""
+    from v_compared{_end}"""
 
-VIEWS["v_backtest"] = f"""
+    VIEWS[f"v_backtest{_end}"] = f"""
     select entity, "year", employees, recruitments, departures, {money('actual')} as actual,
       {money('predicted')} as predicted, {money('predicted - actual')} as difference,
       {money('abs_error')} as absolute_error, {money('pct_error')} as error_percent
-    from v_errors"""
+    from v_errors{_end}"""
 
-VIEWS["v_factor"] = """
+    VIEWS[f"v_factor{_end}"] = f"""
     select entity, 1 - avg(case when actual > 0 then (predicted - actual) / actual else 0.0::double end) as factor
-    from v_compared group by entity"""
+    from v_compared{_end} group by entity"""
 
 VIEWS["v_monthly_predictions"] = """
     select *, nbemp * slope + intercept as predicted_salary from v_merged, v_monthly_line"""
@@ -319,14 +367,14 @@ VIEWS["v_intake_forms"] = """
       case p_partkey % 13 when 0 then '' when 1 then '1990-2-30' when 2 then '1985-3-5' when 3 then '1990-01-05 10:00'
         else strftime(date '1970-01-01' + cast(p_partkey % 9000 as int), '%Y-%m-%d') end as birth_date,
       case when p_partkey % 3 = 0 then '' else 'A2' end as grade,
-      case p_partkey % 17 when 0 then 'x' when 1 then '' else (p_partkey % 12 + 1)::varchar end as echelon,
+      case p_partkey % 17 when 0 then 'x' when 1 then '' when 2 then '99999999999' else (p_partkey % 12 + 1)::varchar end as echelon,
       (100 + p_partkey % 900)::varchar as indice, p_brand as corps,
-      case p_partkey % 23 when 0 then '-5' when 1 then '12,5' when 2 then null
+      case p_partkey % 23 when 0 then '-5' when 1 then '12,5' when 2 then null when 3 then '123456789.5' when 4 then 'nan'
         else (p_partkey % 5000) || '.25' end as salaire_base,
       case when p_partkey % 43 = 0 then '10d' else '' end as indemnite_residence,
       case p_partkey % 29 when 0 then '1e2' when 1 then '-3' else ' ' end as indemnite_transport,
-      'Marié(e)' as situation_familiale,
-      case p_partkey % 31 when 0 then 'two' when 1 then '3' end as nombre_enfants,
+      'couple' as situation_familiale,
+      case p_partkey % 31 when 0 then 'two' when 1 then '3' when 2 then '99999999999' end as nombre_enfants,
       case when p_partkey % 47 = 0 then 'yesterday' else '2001-1-15' end as date_joined,
       case when p_partkey % 37 = 0 then 'soon' else '' end as date_titularisation
     from part"""
@@ -338,7 +386,7 @@ VIEWS["v_edit_forms"] = """
       case when o_orderkey % 4 = 0 then '' else 'B' end as grade, (o_orderkey % 13)::varchar as echelon,
       case when o_orderkey % 53 = 0 then 'high' else '' end as indice, o_orderpriority as corps,
       case when o_orderkey % 43 = 0 then '-1' else (o_orderkey % 5000) || '.5' end as salaire_base,
-      '10' as indemnite_residence, '' as indemnite_transport, 'Veuf(ve)' as situation_familiale,
+      '10' as indemnite_residence, '' as indemnite_transport, 'bereft' as situation_familiale,
       case when o_orderkey % 2 = 0 then '2' end as nombre_enfants, '1995-02-03' as date_joined,
       '' as date_titularisation, case when o_orderkey % 47 = 0 then '2001-07-01' else '' end as date_left
     from orders"""
@@ -364,8 +412,11 @@ def checked_forms(source: str, editing: bool) -> str:
         + [f"{parse_date('r_' + f)} as p_{f}" for f in ["birth_date", *days]]
     )
 
+    fits = dict.fromkeys([*_WHOLE, "nombre_enfants"], "int") | dict.fromkeys(_AMOUNTS, "decimal(10,2)")
+
     def bad(f: str) -> str:
-        return f"when r_{f} <> '' and p_{f} is null then 'Invalid {f}'"
+        held = f"try_cast(p_{f} as {fits[f]})" if f in fits else f"p_{f}"
+        return f"when r_{f} <> '' and {held} is null then 'Invalid {f}'"
 
     birth = "when p_birth_date is null then 'Birth date is required'"
     rules = ["when r_first_name = '' or r_last_name = '' then 'First name and last name are required'", bad("birth_date")]
@@ -376,9 +427,9 @@ def checked_forms(source: str, editing: bool) -> str:
     if editing:
         rules.append(birth)
     out = [f"nullif(r_{f}, '') as {f}" for f in ["first_name", "last_name", *_TEXT]]
-    out += [f"p_{f} as {f}" for f in ["birth_date", *_WHOLE, *days]]
-    out += [f"cast(p_{f} as decimal(10,2)) as {f}" for f in _AMOUNTS]
-    out.append("coalesce(p_nombre_enfants, 0) as nombre_enfants")
+    out += [f"p_{f} as {f}" for f in ["birth_date", *days]]
+    out += [f"try_cast(p_{f} as {fits[f]}) as {f}" for f in [*_WHOLE, *_AMOUNTS]]
+    out.append("coalesce(try_cast(p_nombre_enfants as int), 0) as nombre_enfants")
     base = "matricule" if editing else "1"
     return f"""select seq, {key}, {', '.join(out)}, case {' '.join(rules)} end as reason
       from (select *, {parsed} from (select seq, {base} as {'matricule' if editing else 'one'}, {raw} from {source}))"""

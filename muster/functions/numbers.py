@@ -26,8 +26,8 @@ def parse_key(x: str) -> str:
 
 
 def half_even(x: str) -> str:
-    """Nearest whole number, ties to even."""
-    return f"cast(rint({x}) AS BIGINT)"
+    """Nearest whole number, ties to even; NULL beyond BIGINT."""
+    return f"CASE WHEN abs({x}) < {float(2**63)!r}D THEN cast(rint({x}) AS BIGINT) END"
 
 
 def money(x: str) -> str:

@@ -1,13 +1,16 @@
 """Applying a batch of changes to the employee snapshot.
 
 A snapshot has one row per matricule; a batch may hold any number of changes for one employee. Each
-batch is first reduced to one row per employee with map-side aggregates keyed on ``seq`` (the order
-the changes were made in), and only then joined to the snapshot, so a much-edited employee never
-becomes a large group. Every function returns the new snapshot.
+batch is first reduced to the number ``seq`` (the order the changes were made in, unique within a batch)
+of the change that counts for each employee, by hash aggregates over numbers alone, and only then joined to
+the batch and the snapshot, so a much-edited employee never becomes a large group. Every function returns the new snapshot.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,13 +23,13 @@ EDITABLE = [c for c in COLUMNS if c != "matricule"]
 
 def apply_inserts(employees: DataFrame, validated: DataFrame) -> DataFrame:
     """Add accepted forms. A key that is taken, or repeated within the batch, is refused."""
+    forms = accepted(validated)
+    first = forms.groupBy("matricule").agg(F.min("seq").alias("seq"))
     values = [F.col(c) if c in validated.columns else F.lit(None).alias(c) for c in EDITABLE]
     new = (
-        accepted(validated)
-        .groupBy("matricule")
-        .agg(F.min_by(F.struct(*values), "seq").alias("new"))
+        forms.join(first, ["matricule", "seq"], "left_semi")
         .join(employees.select("matricule"), "matricule", "left_anti")
-        .select("matricule", "new.*")
+        .select("matricule", *values)
     )
     typed = new.select(*[F.col(c).cast(employees.schema[c].dataType).alias(c) for c in COLUMNS])
     return employees.select(*COLUMNS).unionByName(typed)
@@ -38,14 +41,10 @@ def apply_full_update(employees: DataFrame, validated: DataFrame) -> DataFrame:
     Terminated employees are closed to edits. An edit may itself set ``date_left``; the edits after
     the first such one are refused.
     """
-    values = F.struct("seq", *EDITABLE)
+    edits = accepted(validated)
     closing = F.when(F.col("date_left").isNotNull(), F.col("seq"))
-    last = accepted(validated).groupBy("matricule").agg(
-        F.coalesce(
-            # min_by / max_by skip rows whose ordering value is NULL.
-            F.min_by(values, closing), F.max_by(values, "seq")
-        ).alias("edit")
-    )
+    counted = edits.groupBy("matricule").agg(F.coalesce(F.min(closing), F.max("seq")).alias("seq"))
+    last = edits.join(counted, ["matricule", "seq"], "left_semi").select("matricule", F.struct(*EDITABLE).alias("edit"))
     edited = F.col("edit").isNotNull() & F.col("date_left").isNull()
     new = [F.when(edited, F.col(f"edit.{c}")).otherwise(F.col(c)).alias(c) for c in EDITABLE]
     return employees.join(last, "matricule", "left").select("matricule", *new).select(*COLUMNS)
@@ -62,14 +61,20 @@ def apply_partial_update(employees: DataFrame, patches: DataFrame) -> DataFrame:
     fixed = {"matricule", "date_joined", "date_left"}
     fields = [c for c in COLUMNS if c in patches.columns and c not in fixed]
 
-    def last(c: str) -> Column:
-        sent = F.array_contains("present", c)
-        if c in keep_if_null:
-            sent = sent & F.col(c).isNotNull()
-        # A struct, so that a sent NULL differs from nothing sent.
-        return F.max_by(F.struct(F.col(c)), F.when(sent, F.col("seq"))).alias(f"new_{c}")
+    def sent(c: str) -> Column:
+        there = F.array_contains("present", c)
+        return there & F.col(c).isNotNull() if c in keep_if_null else there
 
-    merged = patches.groupBy("matricule").agg(*[last(c) for c in fields])
+    # First the last patch of each field by number alone, then the few patches that are the last of any field.
+    winners = patches.groupBy("matricule").agg(*[F.max(F.when(sent(c), F.col("seq"))).alias(f"seq_{c}") for c in fields])
+    won = [F.col("seq") == F.col(f"seq_{c}") for c in fields]
+    # A struct, so that a sent NULL differs from nothing sent.
+    merged = (
+        patches.join(winners, "matricule").filter(reduce(or_, won))
+        .groupBy("matricule")
+        .agg(*[F.collect_list(F.when(w, F.struct(F.col(c)))).alias(f"new_{c}") for c, w in zip(fields, won, strict=True)])
+        .select("matricule", *[F.get(f"new_{c}", F.lit(0)).alias(f"new_{c}") for c in fields])
+    )
     out = employees.join(merged, "matricule", "left")
     for c in fields:
         new = F.col(f"new_{c}")

@@ -25,8 +25,14 @@ def first_failure(*rules: tuple[Column, str]) -> Column:
     return message
 
 
-def _bad(raw: Column, parsed: Column) -> Column:
-    return (raw != "") & parsed.isNull()
+def _held(c: str) -> Column:
+    """A parsed field as its stored type, NULL if it does not fit."""
+    return F.col(c).try_cast(_TYPES[c]) if c in (*WHOLE, *AMOUNTS, "nombre_enfants") else F.col(c)
+
+
+def _bad(raw: Column, held: Column) -> Column:
+    """Something was entered that cannot be read, or not be stored as it is."""
+    return (raw != "") & held.isNull()
 
 
 def validate_forms(forms: DataFrame, editing: bool = False) -> DataFrame:
@@ -47,7 +53,7 @@ def validate_forms(forms: DataFrame, editing: bool = False) -> DataFrame:
     parsed = computed(raw, {c: parsers[c](f"raw_{c}") for c in fields if c in parsers})
 
     def bad(c: str) -> tuple[Column, str]:
-        return _bad(F.col(f"raw_{c}"), F.col(c)), f"Invalid {c}"
+        return _bad(F.col(f"raw_{c}"), _held(c)), f"Invalid {c}"
 
     names = (F.col("raw_first_name") == "") | (F.col("raw_last_name") == "")
     rules = [
@@ -71,8 +77,8 @@ def validate_forms(forms: DataFrame, editing: bool = False) -> DataFrame:
         rules.append(rules.pop(2))
 
     values = {c: F.expr(blank_to_null(f"raw_{c}")) for c in ["first_name", "last_name", *TEXT]}
-    values |= {c: F.col(c).try_cast(_TYPES[c]) for c in [*WHOLE, *AMOUNTS]}
-    values["nombre_enfants"] = F.coalesce(F.col("nombre_enfants").try_cast("int"), F.lit(0))
+    values |= {c: _held(c) for c in [*WHOLE, *AMOUNTS]}
+    values["nombre_enfants"] = F.coalesce(_held("nombre_enfants"), F.lit(0))
     checked = parsed.withColumn("reason", first_failure(*rules))
     return checked.withColumns(values).drop(*[f"raw_{c}" for c in fields])
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions import half_even, money, month_name, period_label
-from muster.operators.scenarios import expand_months, headcount
+from muster.operators.scenarios import NET, expand_months, headcount
 from muster.schemas import (
     ANNUAL_GROWTH_RATE,
     AVG_SALARY_PER_EMPLOYEE,
@@ -78,11 +78,11 @@ def yearly_model_rows(scenarios: DataFrame) -> DataFrame:
     last_scored = f"greatest(start_year, least(end_year, {LAST_KNOWN_YEAR}))"
     rows = scenarios.withColumn("base_year", F.expr(f"explode(sequence(start_year, {last_scored}))"))
     return rows.withColumns({
-        "nbemp": F.expr(f"cast({headcount('base_year')} AS DOUBLE)"),
+        "nbemp": F.expr(headcount("base_year")),
         "Year": F.expr(f"least(base_year, {LAST_KNOWN_YEAR})"),
         "nb_departures": F.col("departures"),
         "Recruitments": F.col("recruitments"),
-        "net_change": F.expr("recruitments - departures"),
+        "net_change": F.expr(NET),
     })
 
 
@@ -114,13 +114,13 @@ def project_yearly(scenarios: DataFrame, model: Predictor) -> DataFrame:
         F.expr(f"{headcount('Year')} AS employees"),
         "salary",
         F.expr(f"{money('salary')} AS Total_Salary"),
-        F.expr(f"{headcount('Year')} + net_change AS End_Employees"),
+        F.expr(f"{half_even(headcount('Year') + ' + net_change')} AS End_Employees"),
     )
 
 
 def monthly_split(yearly: DataFrame) -> DataFrame:
     """Yearly projections spread over the months: equal pay, headcount interpolated."""
-    employees = "employees + (Month - 1) * ((recruitments - departures) / 12)"
+    employees = f"employees + (Month - 1) * ({NET} / 12)"
     kept = [c for c in yearly.columns if c not in ("employees", "salary", "Total_Salary", "End_Employees")]
     return expand_months(yearly).select(
         *kept, "Month",
@@ -140,7 +140,7 @@ def monthly_walk(scenarios: DataFrame, floor: int, monthly_departures: str) -> D
     """
     def after(opening: str, months: int) -> str:
         """Headcount left after that many of the year's months."""
-        left = f"({opening} + recruitments)"
+        left = f"({opening} + cast(recruitments AS DOUBLE))"
         for _ in range(months):
             left = f"greatest({floor}D, {left} - nb_departures)"
         return left
@@ -153,7 +153,7 @@ def monthly_walk(scenarios: DataFrame, floor: int, monthly_departures: str) -> D
     yearly = yearly.select("*", F.expr(f"posexplode(slice({opening}, 1, cast(end_year - start_year + 1 AS INT)))"))
 
     # left_m: staff after month m; net_m: net change of the year so far.
-    steps = {"left_0": "col + recruitments", "net_0": "cast(recruitments AS DOUBLE)"}
+    steps = {"left_0": "col + cast(recruitments AS DOUBLE)", "net_0": "cast(recruitments AS DOUBLE)"}
     for m in range(1, 13):
         steps[f"left_{m}"] = f"greatest({floor}D, left_{m - 1} - nb_departures)"
         steps[f"net_{m}"] = f"net_{m - 1} - nb_departures"

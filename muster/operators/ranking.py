@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from muster.session import checkpoint_dir
 
-HOT_ROWS = 5_000_000
-
 
 def newest_first(df: DataFrame, date: str, tie: str) -> DataFrame:
     """Whole table, newest record first; the key breaks ties so the order is the same every run."""
@@ -26,32 +24,18 @@ def first_match(df: DataFrame, condition: Column, key: str) -> DataFrame:
     return df.filter(condition).orderBy(key).limit(1)
 
 
-def number_rows(
-    df: DataFrame, by: str, order: Sequence[Column], name: str, hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def number_rows(df: DataFrame, by: str, order: Sequence[Column], name: str) -> DataFrame:
     """Exact 1-based position of each row among the rows of its key.
 
-    Keys of up to ``hot_rows`` rows are numbered by an ordinary window. A key above that would be
-    sorted by one task, so its rows are spread by a range sort over (key, order) instead, and each
-    row's position is its place in its piece plus the rows of the earlier pieces. The sorted rows
-    are checkpointed, so a lost executor cannot shift the pieces between the two reads. Two tables are
-    broadcast, both bounded: at most one hot key per ``hot_rows`` rows, and at most one piece per hot
-    key plus one per partition boundary.
+    The rows are spread by a range sort over (key, order), so a key of any size lies in as many pieces as it
+    needs, and a row's position is its place in its piece plus the rows of the key's earlier pieces. The sorted
+    rows are checkpointed, so a lost executor cannot shift the pieces between the two reads. The piece counts
+    have one row per key and piece.
     """
-    counts = df.groupBy(by).agg(F.count("*").alias("_rows"))
-    hot = counts.filter(F.col("_rows") > hot_rows).select(by)
-    window = Window.partitionBy(by).orderBy(*order)
-    if hot.isEmpty():
-        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-
-    cold_rows = df.join(F.broadcast(hot), by, "left_anti").withColumn(
-        name, F.row_number().over(window).cast("bigint")
-    )
     checkpoint_dir(df.sparkSession)
     pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = (
-        df.join(F.broadcast(hot), by, "left_semi")
-        .repartitionByRange(pieces, F.col(by), *order)
+        df.repartitionByRange(pieces, F.col(by), *order)
         .sortWithinPartitions(F.col(by), *order)
         .withColumns({"_piece": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
         .checkpoint()
@@ -61,10 +45,8 @@ def number_rows(
         placed.groupBy(by, "_piece")
         .agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
-    )
-    hot_numbered = placed.join(F.broadcast(starts), [by, "_piece"]).withColumn(
-        name, F.col("_at") - F.col("_first") + F.col("_before") + 1
+        .select(F.col(by).alias("_key"), F.col("_piece").alias("_part"), "_first", "_before")
     )
-    columns = [*df.columns, name]
-    return cold_rows.select(columns).unionByName(hot_numbered.select(columns))
+    same = placed[by].eqNullSafe(F.col("_key")) & (F.col("_piece") == F.col("_part"))
+    numbered = placed.join(starts, same).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1)
+    return numbered.select(*df.columns, name)

@@ -7,7 +7,6 @@ other, whatever the cluster.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -23,9 +22,6 @@ from muster.schemas import EXPORT_FEATURES, MONTHLY_FEATURES, TARGET, YEARLY_FEA
 from muster.session import checkpoint_dir
 
 
-ROWS_PER_TASK = 20_000
-
-
 @dataclass(frozen=True)
 class ModelSpec:
     """What to fit: engine kind, estimator, features (empty = all but the target) and parameters."""
@@ -41,22 +37,25 @@ class ModelSpec:
 
 # Hyper-parameters of the salary models. MLlib has no L1/L2 penalty for trees and draws
 # its feature subset per node; minInstancesPerNode is the minimum child weight for squared error.
-# maxMemoryInMB lets a forest split a whole level in one pass over the data.
+# maxMemoryInMB lets a forest split a whole level in one pass over the data. maxBins is the number of
+# candidate splits of a feature; the default of 32 would coarsen pay and headcount.
+MAX_BINS = 256
 LINEAR = ModelSpec("monthly", LinearRegression, (), {"solver": "normal", "regParam": 0.0})
 FOREST = ModelSpec("monthly", RandomForestRegressor, (), {
     "numTrees": 200, "maxDepth": 30, "featureSubsetStrategy": "all", "seed": 42, "maxMemoryInMB": 1024,
+    "maxBins": MAX_BINS,
 })
 GBT_MONTHLY = ModelSpec("monthly", GBTRegressor, MONTHLY_FEATURES, {
     "maxIter": 800, "stepSize": 0.05, "maxDepth": 5, "minInstancesPerNode": 2,
-    "subsamplingRate": 0.85, "featureSubsetStrategy": "0.85", "seed": 42,
+    "subsamplingRate": 0.85, "featureSubsetStrategy": "0.85", "seed": 42, "maxBins": MAX_BINS,
 })
 GBT_EXPORT = ModelSpec("monthly", GBTRegressor, EXPORT_FEATURES, {
     "maxIter": 300, "stepSize": 0.05, "maxDepth": 6,
-    "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42,
+    "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42, "maxBins": MAX_BINS,
 })
 GBT_YEARLY = ModelSpec("yearly", GBTRegressor, YEARLY_FEATURES, {
     "maxIter": 100, "stepSize": 0.1, "maxDepth": 3, "minInstancesPerNode": 2,
-    "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42,
+    "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42, "maxBins": MAX_BINS,
 })
 
 
@@ -95,18 +94,21 @@ def scaling_stage(train: DataFrame, features: Sequence[str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")
 
 
-def fit(train: DataFrame, spec: ModelSpec, scale_on: DataFrame | None = None) -> TrainedModel:
+def fit(
+    train: DataFrame, spec: ModelSpec, scale_on: DataFrame | None = None, tasks: int | None = None,
+) -> TrainedModel:
     """Fit scaler, assembler and regressor as one pipeline.
 
-    The scaler learns from the training rows; pass the whole frame as ``scale_on`` to scale on it.
+    The scaler learns from the training rows; pass the whole frame as ``scale_on`` to scale on it. Trees run
+    several jobs per level or round; ``tasks`` packs a small frame into that many tasks for them. The rows a
+    round draws depend on the tasks, so the same number gives the same model.
     """
     spark = train.sparkSession
     checkpoint_dir(spark)
     features = list(spec.features) or other_columns(train)
     rows = train.select(*features, F.col(TARGET).cast("double").alias(TARGET)).persist()
     try:
-        # Trees run several jobs per level or round: small frames should not pay for empty tasks.
-        packed = rows.coalesce(max(1, math.ceil(rows.count() / ROWS_PER_TASK)))
+        packed = rows if tasks is None else rows.coalesce(tasks)
         stages = [
             scaling_stage(rows if scale_on is None else scale_on, features),
             VectorAssembler(inputCols=[f"scaled_{c}" for c in features], outputCol="features"),
@@ -135,12 +137,9 @@ def rank_importance(spark: SparkSession, model: TrainedModel) -> DataFrame:
     )
 
 
-def fit_line(df: DataFrame, x: str, y: str = TARGET, digits: int = 4) -> DataFrame:
-    """One-row table (``x``, ``intercept``) of the least-squares line, for a ``LinearFormula``.
-
-    Coefficients are rounded so that every run, whatever its order of summation, scores the same.
-    """
+def fit_line(df: DataFrame, x: str, y: str = TARGET) -> DataFrame:
+    """One-row table (``x``, ``intercept``) of the least-squares line, for a ``LinearFormula``."""
     return df.agg(
-        F.round(F.regr_slope(F.col(y).cast("double"), F.col(x).cast("double")), digits).alias(x),
-        F.round(F.regr_intercept(F.col(y).cast("double"), F.col(x).cast("double")), digits).alias("intercept"),
+        F.regr_slope(F.col(y).cast("double"), F.col(x).cast("double")).alias(x),
+        F.regr_intercept(F.col(y).cast("double"), F.col(x).cast("double")).alias("intercept"),
     )

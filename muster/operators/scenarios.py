@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.functions import parse_int
+from muster.functions import half_even, parse_int
 from muster.operators.clean import computed
 from muster.operators.intake import first_failure
 from muster.schemas import MAX_SPAN_YEARS, SCENARIO_FIELDS
@@ -48,14 +48,21 @@ def validate(scenarios: DataFrame) -> DataFrame:
 
 
 def check_requests(requests: DataFrame) -> DataFrame:
-    """Text requests to typed scenarios with ``ok`` and the message a caller would see."""
-    listed = parse_ints(missing_fields(requests))
+    """Text requests to typed scenarios with ``ok`` and the message a caller would see.
+
+    ``scenario_id`` is a request's identity: without one, or with one that another request has too, it is
+    refused, so every request ends in one result or one message.
+    """
+    keys = requests.groupBy("scenario_id").agg(F.count("*").alias("times")).filter("times > 1 AND scenario_id IS NOT NULL")
+    listed = parse_ints(missing_fields(requests)).join(keys, "scenario_id", "left").select(*requests.columns, "missing", "numeric", "times")
     message = (
-        F.when(F.col("missing") != "", F.concat(F.lit("Missing fields: "), F.col("missing")))
+        F.when(F.col("scenario_id").isNull(), "Invalid scenario_id")
+        .when(F.col("times").isNotNull(), "Repeated scenario_id")
+        .when(F.col("missing") != "", F.concat(F.lit("Missing fields: "), F.col("missing")))
         .when(~F.col("numeric"), "Invalid numeric values")
         .otherwise(rule_message())
     )
-    checked = listed.withColumn("message", message).drop("missing", "numeric")
+    checked = listed.withColumn("message", message).drop("missing", "numeric", "times")
     return checked.withColumn("ok", F.col("message").isNull())
 
 
@@ -85,15 +92,17 @@ def expand_months(yearly: DataFrame) -> DataFrame:
     return yearly.withColumn("Month", months)
 
 
+NET = "(cast(recruitments AS DOUBLE) - cast(departures AS DOUBLE))"
+
+
 def headcount(year: str) -> str:
-    """Employees at the start of ``year`` as a SQL expression of the scenario's inputs: moves by the
-    net change, never below 1 after the start."""
-    later = f"greatest(1, initial_employees + ({year} - start_year) * (recruitments - departures))"
-    return f"(CASE WHEN {year} = start_year THEN initial_employees ELSE {later} END)"
+    """Employees at the start of ``year`` as a SQL expression (DOUBLE, so that no request overflows) of the
+    scenario's inputs: moves by the net change, never below 1 after the start."""
+    later = f"greatest(1D, cast(initial_employees AS DOUBLE) + ({year} - start_year) * {NET})"
+    return f"(CASE WHEN {year} = start_year THEN cast(initial_employees AS DOUBLE) ELSE {later} END)"
 
 
 def headcount_path(scenarios: DataFrame) -> DataFrame:
-    """Employees at the start and end of each year; the end figure is not floored."""
-    rows = expand_years(scenarios).withColumn("employees", F.expr(headcount("Year")))
-    net = F.col("recruitments") - F.col("departures")
-    return rows.withColumn("end_employees", F.col("employees") + net)
+    """Employees at the start and end of each year; the end figure is not floored. A count beyond BIGINT is NULL."""
+    counts = {"employees": half_even(headcount("Year")), "end_employees": half_even(f"{headcount('Year')} + {NET}")}
+    return expand_years(scenarios).withColumns({c: F.expr(sql) for c, sql in counts.items()})

@@ -107,13 +107,11 @@ def export_features(monthly: DataFrame) -> DataFrame:
 def first_row_per_year(history: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """Of several rows for a year the first in file order counts.
 
-    An aggregate rather than a row_number window: copies of one year may be any number of rows, and
-    ``min_by`` reduces them before the shuffle.
+    An aggregate rather than a row_number window: copies of one year may be any number of rows, and the least
+    ordinal (unique) is found before the shuffle.
     """
-    keys = ["entity", "year"]
-    rest = [c for c in history.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), ordinal).alias("first")
-    return history.groupBy(*keys).agg(first).select(*keys, "first.*")
+    first = history.groupBy("entity", "year").agg(F.min(ordinal).alias(ordinal))
+    return history.join(first, ["entity", "year", ordinal], "left_semi")
 
 
 def last_known(monthly: DataFrame) -> DataFrame:
@@ -144,9 +142,8 @@ def split_chronological(df: DataFrame, order: Sequence[str]) -> DataFrame:
 def split_random(df: DataFrame, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Label a fifth of each series ``test`` by the rank of a seeded hash of its key: exact size,
     and the same rows on every run and every cluster."""
-    shuffled = Window.partitionBy("entity").orderBy(
-        F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), *keys
-    )
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    shuffled = Window.partitionBy("entity").orderBy(mark, *keys)
     return _label_split(df, shuffled)
 
 

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muster.operators.joins import apply_factor
-from muster.operators.projection import Predictor, project_monthly, project_yearly
+from muster.operators.joins import attach_factor
+from muster.operators.projection import Predictor, project, project_monthly, project_yearly
+from muster.operators.scenarios import spread
 from muster.operators.scoring import (
     backtest_footer,
     backtest_metrics,
@@ -19,10 +20,11 @@ from muster.operators.scoring import (
 )
 from muster.operators.series import first_row_per_year
 
+
 def history_scenarios(history: DataFrame) -> DataFrame:
     """Each year on record as a one-year scenario with that year's own inputs."""
     return history.select(
-        "entity", "year",
+        "entity",
         F.col("year").alias("start_year"), F.col("year").alias("end_year"),
         F.col("recruitment").alias("recruitments"), "departures",
         F.col("number_employees").alias("initial_employees"),
@@ -69,8 +71,16 @@ def bias_factor(history: DataFrame, model: Predictor, by: Sequence[str] = ()) ->
 
 
 def bias_correction(
-    predictions: DataFrame, history: DataFrame, model: Predictor,
-    columns: Sequence[str], by: Sequence[str] = (),
-) -> DataFrame:
-    """Scale (already rounded) predictions by one minus the model's mean relative error."""
-    return apply_factor(predictions, bias_factor(history, model, by), columns, by)
+    scenarios: DataFrame, history: DataFrame, model: Predictor, by: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """(monthly, yearly) projections whose (already rounded) pay is scaled by one minus the model's mean
+    relative error.
+
+    The factor joins the short scenario rows, which are handed out by their own key before they are expanded:
+    no period row is ever shuffled by organisation.
+    """
+    factored = attach_factor(scenarios, bias_factor(history, model, by), by)
+    monthly, yearly = project(spread(factored), model)
+    monthly = monthly.withColumn("Predicted_Salary", F.expr("Predicted_Salary * factor")).drop("factor")
+    yearly = yearly.withColumn("Total_Salary", F.expr("Total_Salary * factor")).drop("factor")
+    return monthly, yearly

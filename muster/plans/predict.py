@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.operators.joins import attach_factor
-from muster.operators.projection import Predictor, project
-from muster.operators.scenarios import check_requests, split, spread
-from muster.plans.backtest import bias_factor
+from muster.operators.projection import Predictor, project_monthly_batch
+from muster.operators.scenarios import check_requests, split
+from muster.operators.series import last_known
+from muster.plans.backtest import bias_correction
 from muster.schemas import SCENARIO_FIELDS
 from muster.sources.documents import result_json
 from muster.sources.models import flatten_metrics
@@ -36,16 +36,21 @@ def predict_batch(
     (``user_id``) pass through.
     """
     accepted, refused = split(check_requests(requests))
-    # The factor joins the short scenario rows, not their periods, and the scenarios are handed out by
-    # their own key after it: an organisation with most of the scenarios does not stay in one task.
-    factored = attach_factor(accepted, bias_factor(history, model, by), by)
-    monthly, yearly = project(spread(factored), model)
-    monthly = monthly.withColumn("Predicted_Salary", F.expr("Predicted_Salary * factor")).drop("factor")
-    yearly = yearly.withColumn("Total_Salary", F.expr("Total_Salary * factor")).drop("factor")
+    monthly, yearly = bias_correction(accepted, history, model, by)
     documents = result_json(yearly, flatten_metrics(metrics), accepted.columns)
     return Predictions(monthly, yearly, refused, documents)
 
 
+def forecast_from_last_known(monthly: DataFrame, moves: DataFrame, year: int, model: Predictor) -> DataFrame:
+    """One year of the training-side projection for every organisation, from its headcount of the last month on record.
+
+    ``moves`` has one row per ``entity`` with the year's ``recruitments`` and the ``departures`` of each month.
+    """
+    opening = last_known(monthly).select("entity", F.col("last_employees").cast("bigint").alias("initial_employees"))
+    scenarios = moves.join(opening, "entity").withColumns({"start_year": F.lit(year), "end_year": F.lit(year)})
+    return project_monthly_batch(scenarios, model)
+
+
 def keep_history(
     predictions: Predictions, users: DataFrame, path: str, created_at: Column | None = None,
 ) -> DataFrame:

@@ -49,9 +49,11 @@ def evaluate(rows: DataFrame, model: Predictor) -> DataFrame:
     return model.predict(rows).withColumn("actual", F.col(TARGET)).withColumnRenamed("prediction", "predicted")
 
 
-def train_yearly(frame: DataFrame, spec: ModelSpec = regression.GBT_YEARLY) -> Training:
+def train_yearly(
+    frame: DataFrame, spec: ModelSpec = regression.GBT_YEARLY, tasks: int | None = None,
+) -> Training:
     """Fit and evaluate on the same rows; flat metrics."""
-    model = regression.fit(frame, spec)
+    model = regression.fit(frame, spec, tasks=tasks)
     scored = evaluate(frame, model)
     metrics = scoring.regression_metrics(scored).select("r2", "mse", "rmse", "mae", "mape")
     return Training(model, scored, metrics)
@@ -59,6 +61,7 @@ def train_yearly(frame: DataFrame, spec: ModelSpec = regression.GBT_YEARLY) -> T
 
 def train_holdout(
     frame: DataFrame, spec: ModelSpec, chronological: bool = True, scale_on_all: bool = False,
+    tasks: int | None = None,
 ) -> Training:
     """Fit on four fifths and evaluate on the rest; nested monthly and yearly metrics."""
     order = ["Year", "Month"]
@@ -67,16 +70,14 @@ def train_holdout(
         else series.split_random(frame, ["entity", *order])
     )
     train = halves.filter("split = 'train'")
-    model = regression.fit(train, spec, scale_on=frame if scale_on_all else None)
+    model = regression.fit(train, spec, scale_on=frame if scale_on_all else None, tasks=tasks)
     scored = evaluate(halves.filter("split = 'test'"), model)
     yearly = scoring.predictions_to_yearly(scored.withColumnRenamed("predicted", "predicted_salary"))
-    monthly_part = scoring.regression_metrics(scored).select(
-        F.struct("mse", "rmse", "mae", "r2").alias("monthly"), F.lit(1).alias("one")
-    )
+    monthly_part = scoring.regression_metrics(scored).select(F.struct("mse", "rmse", "mae", "r2").alias("monthly"))
     yearly_part = scoring.regression_metrics(
         yearly, "actual_yearly_salary", "predicted_yearly_salary"
-    ).select(F.struct("mse", "r2").alias("yearly"), F.lit(1).alias("one"))
-    metrics = monthly_part.join(yearly_part, "one").drop("one")
+    ).select(F.struct("mse", "r2"))
+    metrics = monthly_part.withColumn("yearly", yearly_part.scalar())
     return Training(model, scored, metrics)
 
 

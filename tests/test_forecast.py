@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from muster.operators import projection, scenarios
 from muster.operators.projection import LinearFormula
+from muster.operators.joins import apply_factor
 from muster.plans.backtest import bias_correction, bias_factor, compare_history
 
 FIELDS = "scenario_id bigint, start_year bigint, end_year bigint, recruitments bigint, departures bigint, initial_employees bigint"
@@ -186,9 +187,9 @@ def test_bias_is_one_minus_the_mean_error(spark):
     history = spark.createDataFrame([(1, 2010, 100.0, 110, 0, 0), (1, 2011, 0.0, 5, 0, 0)], HISTORY)
     assert rows(bias_factor(history, model)) == [(0.95,)]
     one = spark.createDataFrame([(1, 1, 200.0), (2, 2, 200.0)], "entity int, scenario_id bigint, Total_Salary double")
-    both = bias_correction(one, history, model, ["Total_Salary"], ["entity"]).orderBy("scenario_id")
+    both = apply_factor(one, bias_factor(history, model, ["entity"]), ["Total_Salary"], ["entity"]).orderBy("scenario_id")
     assert rows(both.select("Total_Salary")) == [(190.0,), (200.0,)]
-    assert rows(bias_correction(one, history.limit(0), model, ["Total_Salary"]).select("Total_Salary")) == [(200.0,)] * 2
+    assert rows(apply_factor(one, bias_factor(history.limit(0), model), ["Total_Salary"]).select("Total_Salary")) == [(200.0,)] * 2
 
 
 def test_backtest_handles_zero_headcount(spark):

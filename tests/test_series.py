@@ -62,14 +62,13 @@ def test_first_row_per_year_with_many_copies(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("hot_rows", [100, 10**9])
-def test_numbering_of_a_hot_key(spark, hot_rows):
+def test_numbering_of_a_hot_key(spark):
     """One user holds a third of the rows, with equal timestamps; the other rows are spread thin."""
     df = spark.range(9_000).select(
         F.col("id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500 + 1).alias("user_id"),
         (F.col("id") % 40).alias("created_at"),
     )
-    got = ranking.number_rows(df, "user_id", [F.desc("created_at"), F.col("id")], "position", hot_rows=hot_rows)
+    got = ranking.number_rows(df, "user_id", [F.desc("created_at"), F.col("id")], "position")
     seen = {r["id"]: r["position"] for r in got.collect()}
     groups = {}
     for r in df.collect():
@@ -80,7 +79,7 @@ def test_numbering_of_a_hot_key(spark, hot_rows):
 
 def test_hot_numbering_spreads_the_key(spark):
     df = spark.range(8_000).select(F.col("id"), F.lit(1).alias("user_id"))
-    got = ranking.number_rows(df, "user_id", [F.col("id")], "position", hot_rows=100)
+    got = ranking.number_rows(df, "user_id", [F.col("id")], "position")
     sizes = [n for n in got.rdd.glom().map(len).collect() if n]
     assert sum(sizes) == 8_000 and max(sizes) < 4_000
 
