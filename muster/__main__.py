@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.operators import regression
+from muster.operators.ranking import newest_first
 from muster.plans import training
 from muster.plans.backtest import backtest
-from muster.plans.dashboard import dashboard, employee_listing
-from muster.plans.predict import keep_history, predict_batch
+from muster.plans.dashboard import dashboard, employee_listing, listing_choices
+from muster.plans.predict import forecast_from_last_known, keep_history, predict_batch
+from muster.plans.records import add_employees, audit, edit_employees, terminate_employees
 from muster.sources import files, models, tables
+from muster.sources.documents import chart_json, parse_result
 
 SPECS = {
     "yearly": regression.GBT_YEARLY,
@@ -34,6 +37,7 @@ def _write(df: DataFrame, out: str, name: str) -> None:
 def _dashboard(spark: SparkSession, a: argparse.Namespace) -> None:
     board = dashboard(files.read_historical(spark, a.historical))
     _write(board.series, a.out, "series")
+    _write(chart_json(board.series), a.out, "charts")
     _write(board.summary, a.out, "summary")
 
 
@@ -42,12 +46,16 @@ def _listing(spark: SparkSession, a: argparse.Namespace) -> None:
     _write(employee_listing(staff, a.search, a.corps, a.grade, a.status, a.year), a.out, "employees")
 
 
-def _train(spark: SparkSession, a: argparse.Namespace) -> None:
-    sources = (
+def _monthly_sources(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
         files.read_monthly(spark, a.salary, "mass_salary", "nbemp"),
         files.read_monthly(spark, a.departures, "nb_departures"),
         files.read_monthly(spark, a.recruitments, "Recruitments"),
     )
+
+
+def _train(spark: SparkSession, a: argparse.Namespace) -> None:
+    sources = _monthly_sources(spark, a)
     spec = SPECS[a.kind]
     if a.rounds and "maxIter" in spec.params:
         spec = spec.with_params(maxIter=a.rounds)
@@ -79,6 +87,52 @@ def _predict(spark: SparkSession, a: argparse.Namespace) -> None:
         keep_history(done, tables.scan_table(spark, "users", a.users), f"{a.out}/history", F.localtimestamp())
 
 
+def _changed(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Forms or requests over a stored snapshot: the new snapshot and what was refused."""
+    staff = tables.scan_table(spark, "employees", a.employees)
+    rows = files.read_forms(spark, a.forms)
+    done = {"add": add_employees, "edit": edit_employees, "terminate": terminate_employees}[a.job](staff, rows)
+    tables.load_table(done.employees, "employees", f"{a.out}/employees")
+    _write(done.refused, a.out, "refused")
+
+
+def _record(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Recruitments or terminations added to their table; the employees are not changed."""
+    tables.append_movements(files.read_records(spark, a.records, a.table), a.table, a.path, F.localtimestamp())
+
+
+def _seed(spark: SparkSession, a: argparse.Namespace) -> None:
+    tables.load_table(files.read_records(spark, a.records, a.table), a.table, a.path)
+
+
+def _audit(spark: SparkSession, a: argparse.Namespace) -> None:
+    named = {
+        "employees": a.employees, "users": a.users, "recruitment": a.recruitment, "termination": a.termination,
+        "prediction_history": a.history,
+    }
+    found = audit({name: tables.scan_table(spark, name, path) for name, path in named.items() if path})
+    for name, df in found.items():
+        _write(df, a.out, name)
+
+
+def _choices(spark: SparkSession, a: argparse.Namespace) -> None:
+    for name, df in listing_choices(tables.scan_table(spark, "employees", a.employees)).items():
+        _write(df, a.out, name)
+
+
+def _history(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A user's stored predictions, newest first, with their results parsed."""
+    kept = tables.scan_table(spark, "prediction_history", a.history).filter(F.col("user_id") == a.user)
+    _write(parse_result(newest_first(kept, "created_at", "id")).drop("result_json"), a.out, "history")
+
+
+def _forecast(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Next year from the last known headcount of each organisation."""
+    monthly = training.merged_frame(*_monthly_sources(spark, a))
+    moves = files.read_moves(spark, a.moves)
+    _write(forecast_from_last_known(monthly, moves, a.year, _model(spark, a)), a.out, "forecast")
+
+
 def _model(spark: SparkSession, a: argparse.Namespace):
     return models.load_model(spark, a.yearly_model, a.monthly_model)
 
@@ -89,7 +143,7 @@ def main(argv: list[str] | None = None) -> None:
 
     def job(name: str, run, *required: str, optional: tuple[str, ...] = ()) -> argparse.ArgumentParser:
         p = jobs.add_parser(name)
-        p.set_defaults(run=run)
+        p.set_defaults(run=run, job=name)
         for option in required:
             p.add_argument(f"--{option}", required=True)
         for option in optional:
@@ -106,6 +160,16 @@ def main(argv: list[str] | None = None) -> None:
     job("backtest", _backtest, "historical", "out", optional=model)
     job("predict", _predict, "requests", "historical", "out", optional=(*model, "users"))
 
+    for change in ("add", "edit", "terminate"):
+        job(change, _changed, "employees", "forms", "out")
+    for store, run in (("record", _record), ("seed", _seed)):
+        job(store, run, "records", "path").add_argument("--table", required=True, choices=sorted(tables.SCHEMAS))
+    job("audit", _audit, "employees", "out", optional=("users", "recruitment", "termination", "history"))
+    job("choices", _choices, "employees", "out")
+    job("history", _history, "history", "out").add_argument("--user", type=int, required=True)
+    forecast = job("forecast", _forecast, "salary", "departures", "recruitments", "moves", "out", optional=model)
+    forecast.add_argument("--year", type=int, required=True)
+
     args = parser.parse_args(argv)
     args.run(SparkSession.builder.appName("muster").getOrCreate(), args)
 

@@ -18,7 +18,7 @@ from muster.session import workspace
 from muster.sources import models
 
 # Tasks that training frames are packed into: trees run several jobs per level or round.
-TASKS = 2
+TASKS = 1
 
 # One-feature lines, whose fit SQL can repeat.
 LINE_YEARLY = ModelSpec("yearly", LINEAR.estimator, ["nbemp"], LINEAR.params)
@@ -106,12 +106,12 @@ def _test_rows(t: Training, inside: DataFrame | None = None) -> DataFrame:
     """Keys and actual pay of the tested rows, and whether the predictions are worth something."""
     error, spread = F.avg(F.pow(F.col("actual") - F.col("predicted"), 2)), F.var_pop("actual")
     beats = t.scored.agg(error < spread).scalar().alias("beats_mean")
-    keys = [c for c in ("entity", "Year", "Month") if c in t.scored.columns]
+    keys, actual = [c for c in ("entity", "Year", "Month") if c in t.scored.columns], F.round("actual", 2).alias("actual")
     if inside is None:
-        return t.scored.select(*keys, "actual", beats)
+        return t.scored.select(*keys, actual, beats)
     ends = inside.agg(F.struct(F.min(TARGET).alias("lo"), F.max(TARGET).alias("hi"))).scalar()
     rows = t.scored.withColumn("_e", ends)
-    return rows.select(*keys, "actual", beats, F.expr("predicted BETWEEN _e.lo AND _e.hi").alias("in_range"))
+    return rows.select(*keys, actual, beats, F.expr("predicted BETWEEN _e.lo AND _e.hi").alias("in_range"))
 
 
 _RANDOM_TEST = """(select * from v_merged_inner qualify row_number() over (partition by entity
@@ -218,7 +218,7 @@ def rank_importance(d: Domain) -> DataFrame:
 @query("project_yearly_trained", f"""
     select scenario_id, "Year", case when start_year > 2020 then {sig_sql('salary', 9)} end as "Total_Salary",
       case when "Year" > greatest(start_year, 2020) then
-        {sig_sql('greatest(0.0::double, 1.05::double + case when n - net > 0 then net / (n - net) else 0.0::double end * 0.7::double)', 7)}
+        {sig_sql('greatest(0.0::double, 1.05::double + case when n - net > 0 then net / (n - net) else 0.0::double end * 0.7::double)', 12)}
       end as growth, "End_Employees" from v_projected""")
 def project_yearly_trained(d: Domain) -> DataFrame:
     """A trained model's figures up to 2020 are its own; what follows them, and all that starts later, is arithmetic."""
@@ -227,7 +227,7 @@ def project_yearly_trained(d: Domain) -> DataFrame:
     growth = F.when(F.col("Year") > F.greatest("start_year", F.lit(2020)), F.try_divide(F.col("salary"), before))
     return out.select(
         "scenario_id", "Year", F.when(F.col("start_year") > 2020, sig(F.col("salary"), 9)).alias("Total_Salary"),
-        sig(growth, 7).alias("growth"), "End_Employees",
+        sig(growth, 12).alias("growth"), "End_Employees",
     )
 
 

@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 from muster.functions import blank_to_null, parse_date, parse_float, parse_int, sanitize
 from muster.operators.clean import computed
-from muster.schemas import EMPLOYEES
+from muster.schemas import (
+    ALREADY_TERMINATED,
+    BIRTH_REQUIRED,
+    DATE_REQUIRED,
+    EMPLOYEES,
+    KEY_REQUIRED,
+    LEFT_BEFORE_HIRE,
+    NAMES_REQUIRED,
+    NEGATIVE_SALARY,
+    NOT_FOUND,
+)
 
 TEXT = ["grade", "corps", "situation_familiale"]
 WHOLE = ["echelon", "indice"]
@@ -57,17 +67,17 @@ def validate_forms(forms: DataFrame, editing: bool = False) -> DataFrame:
 
     names = (F.col("raw_first_name") == "") | (F.col("raw_last_name") == "")
     rules = [
-        (names, "First name and last name are required"),
+        (names, NAMES_REQUIRED),
         bad("birth_date"),
-        (F.col("birth_date").isNull(), "Birth date is required"),
+        (F.col("birth_date").isNull(), BIRTH_REQUIRED),
     ]
     if not editing:
         missing = F.col("matricule").isNull() | (F.col("matricule") == 0)
-        rules += [bad("matricule"), (missing, "Matricule is required")]
+        rules += [bad("matricule"), (missing, KEY_REQUIRED)]
     rules += [
         *[bad(c) for c in WHOLE],
         bad("salaire_base"),
-        (F.col("salaire_base") < 0, "Salaire de base cannot be negative"),
+        (F.col("salaire_base") < 0, NEGATIVE_SALARY),
         *[bad(c) for c in AMOUNTS[1:]],
         bad("nombre_enfants"),
         *[bad(c) for c in days],
@@ -124,11 +134,11 @@ def validate_terminations(requests: DataFrame, employees: DataFrame) -> DataFram
     gone = F.col("left_before").isNotNull() | (F.col("seq") > F.col("end_seq"))
     asked = _read_requests(requests).join(known, "matricule", "left")
     return asked.withColumn("reason", first_failure(
-        (F.col("known").isNull(), "Employee not found"),
-        (gone, "Employee is already terminated"),
-        (F.col("raw_date_left") == "", "Termination date is required"),
+        (F.col("known").isNull(), NOT_FOUND),
+        (gone, ALREADY_TERMINATED),
+        (F.col("raw_date_left") == "", DATE_REQUIRED),
         (F.col("date_left").isNull(), "Invalid date_left"),
-        (F.col("date_left") < F.col("date_joined"), "Termination date cannot be before hire date"),
+        (F.col("date_left") < F.col("date_joined"), LEFT_BEFORE_HIRE),
     )).select("seq", "matricule", "date_left", "reason")
 
 

@@ -11,7 +11,17 @@ from pyspark.sql import functions as F
 from muster.functions import half_even, parse_int
 from muster.operators.clean import computed
 from muster.operators.intake import first_failure
-from muster.schemas import MAX_SPAN_YEARS, SCENARIO_FIELDS
+from muster.schemas import (
+    END_BEFORE_START,
+    INVALID_START,
+    MAX_SPAN_YEARS,
+    MISSING_FIELDS,
+    NEGATIVE_VALUES,
+    NOT_NUMERIC,
+    NO_EMPLOYEES,
+    SCENARIO_FIELDS,
+    SPAN_TOO_LONG,
+)
 
 
 def missing_fields(requests: DataFrame) -> DataFrame:
@@ -34,11 +44,11 @@ def rule_message() -> Column:
     start, end = F.col("start_year"), F.col("end_year")
     negative = (F.col("recruitments") < 0) | (F.col("departures") < 0) | (F.col("initial_employees") < 0)
     return first_failure(
-        (~start.between(2000, 2100), "Invalid start year (2000-2100)"),
-        (end < start, "End year must be greater than or equal to start year"),
-        (end - start > MAX_SPAN_YEARS, "Maximum range: 20 years"),
-        (negative, "Values must be positive"),
-        (F.col("initial_employees") == 0, "Initial employees cannot be zero"),
+        (~start.between(2000, 2100), INVALID_START),
+        (end < start, END_BEFORE_START),
+        (end - start > MAX_SPAN_YEARS, SPAN_TOO_LONG),
+        (negative, NEGATIVE_VALUES),
+        (F.col("initial_employees") == 0, NO_EMPLOYEES),
     )
 
 
@@ -58,8 +68,8 @@ def check_requests(requests: DataFrame) -> DataFrame:
     message = (
         F.when(F.col("scenario_id").isNull(), "Invalid scenario_id")
         .when(F.col("times").isNotNull(), "Repeated scenario_id")
-        .when(F.col("missing") != "", F.concat(F.lit("Missing fields: "), F.col("missing")))
-        .when(~F.col("numeric"), "Invalid numeric values")
+        .when(F.col("missing") != "", F.concat(F.lit(MISSING_FIELDS), F.col("missing")))
+        .when(~F.col("numeric"), NOT_NUMERIC)
         .otherwise(rule_message())
     )
     checked = listed.withColumn("message", message).drop("missing", "numeric", "times")

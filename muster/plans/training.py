@@ -35,6 +35,10 @@ def monthly_frame(salary: DataFrame, departures: DataFrame, recruitments: DataFr
     return series.monthly_features(joins.merge_monthly_left(departures, recruitments, salary))
 
 
+def merged_frame(salary: DataFrame, departures: DataFrame, recruitments: DataFrame) -> DataFrame:
+    return joins.merge_monthly_left(departures, recruitments, salary)
+
+
 def inner_frame(salary: DataFrame, departures: DataFrame, recruitments: DataFrame) -> DataFrame:
     """Months all three sources have; every column but the target is a feature."""
     return joins.merge_monthly_inner(departures, recruitments, salary)

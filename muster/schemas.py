@@ -12,6 +12,7 @@ def _struct(*fields: tuple[str, T.DataType, bool]) -> T.StructType:
 _S, _I, _L, _D, _TS = T.StringType(), T.IntegerType(), T.LongType(), T.DateType(), T.TimestampNTZType()
 MONEY = T.DecimalType(10, 2)
 
+# Columns and types of the stored tables.
 EMPLOYEES = _struct(
     ("matricule", _L, False),
     ("first_name", _S, False),
@@ -107,3 +108,21 @@ MONTHLY_FEATURES = [
 ]
 EXPORT_FEATURES = ["Year", "Month", "nb_departures", "monthly_recruitment_effect", "nbemp"]
 TARGET = "mass_salary"
+
+# Messages that callers of the jobs see.
+INVALID_START = "Invalid start year (2000-2100)"
+END_BEFORE_START = "End year must be greater than or equal to start year"
+SPAN_TOO_LONG = "Maximum range: 20 years"
+NEGATIVE_VALUES = "Values must be positive"
+NO_EMPLOYEES = "Initial employees cannot be zero"
+MISSING_FIELDS = "Missing fields: "
+NOT_NUMERIC = "Invalid numeric values"
+NAMES_REQUIRED = "First name and last name are required"
+BIRTH_REQUIRED = "Birth date is required"
+KEY_REQUIRED = "Matricule is required"
+NEGATIVE_SALARY = "Salaire de base cannot be negative"
+KEY_TAKEN = "Matricule already exists"
+NOT_FOUND = "Employee not found"
+ALREADY_TERMINATED = "Employee is already terminated"
+DATE_REQUIRED = "Termination date is required"
+LEFT_BEFORE_HIRE = "Termination date cannot be before hire date"

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.operators.clean import coerce_keys, coerce_values, normalize_keys
+from muster.sources.tables import SCHEMAS
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -51,3 +52,22 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     if "user_id" in df.columns:
         keys["user_id"] = F.col("user_id").try_cast("bigint")
     return df.withColumns(keys)
+
+
+def read_forms(spark: SparkSession, path: str) -> DataFrame:
+    """Forms or requests as text; ``seq`` is the order they were made in, ``reason`` columns are not taken over."""
+    df = read_csv(spark, path)
+    return df.withColumn("seq", F.col("seq").try_cast("bigint")).filter("seq IS NOT NULL").drop("reason")
+
+
+def read_moves(spark: SparkSession, path: str) -> DataFrame:
+    """Planned moves of each organisation: (entity, recruitments, departures)."""
+    df = _entity(read_csv(spark, path))
+    return df.select("entity", *[F.col(c).try_cast("bigint").alias(c) for c in ("recruitments", "departures")])
+
+
+def read_records(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Rows of a stored table; columns the file lacks are left to the table's rules."""
+    df = read_csv(spark, path)
+    fields = [f for f in SCHEMAS[table].fields if f.name in df.columns]
+    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
