@@ -163,7 +163,58 @@ def license_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
 
 
-@query("op4_url_filter")
+def _host_sql(rest: str) -> str:
+    return f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+_REST = "CASE WHEN contains({0}, '://') THEN substr({0}, strpos({0}, '://') + 3) ELSE '' END"
+_URL_RULES = ", ".join(
+    f"('{verdict}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for verdict, rule in url_filter.RULES)
+_RANKS = ",\n".join(f"""r{k} AS MATERIALIZED (
+  SELECT kind, host, sum(rank) AS rank FROM (
+    SELECT kind, s.dest AS host, {url_filter.DAMPING}::DOUBLE * rank * share AS rank FROM r{k - 1} JOIN steps s USING (kind, host)
+    UNION ALL SELECT kind, host, (1 - {url_filter.DAMPING}::DOUBLE) * rank FROM r0) GROUP BY ALL)"""
+    for k in range(1, url_filter.ITERATIONS + 1))
+
+
+@query("op4_url_filter", sql=rf"""
+WITH u AS (SELECT page_id, html, row_number() OVER () AS rid, {_REST.format("coalesce(url, '')")} AS rest FROM pages),
+p AS MATERIALIZED (
+  SELECT page_id, html, rid, {_host_sql('rest')} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(verdict, rule, rule_host, rule_path) AS (VALUES {_URL_RULES}),
+fits AS (
+  SELECT rid, arg_max(rule, 2 * length(rule) + (verdict = 'block')::INT) AS rule,
+         arg_max(verdict, 2 * length(rule) + (verdict = 'block')::INT) AS verdict
+  FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY rid),
+found AS (
+  SELECT host AS src, unnest(regexp_extract_all(html, '(?i)\shref\s*=\s*["'']\s*((?:https?:)?//[^"''\s>]*)', 1)) AS link FROM p WHERE host <> ''),
+linked AS (
+  SELECT src, dst, count(*)::DOUBLE AS weight
+  FROM (SELECT src, {_host_sql(_REST.format("(CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END)"))} AS dst FROM found)
+  WHERE dst <> '' AND dst <> src GROUP BY ALL),
+hosts AS (SELECT host FROM p WHERE host <> '' UNION SELECT dst FROM linked),
+tree AS (
+  SELECT DISTINCT array_to_string(l[k:], '.') AS child, array_to_string(l[k + 1:], '.') AS parent
+  FROM (SELECT l, unnest(range(1, len(l) - 1)) AS k FROM (SELECT string_split(host, '.') AS l FROM hosts))),
+edges AS MATERIALIZED (
+  SELECT src, dst, sum(weight) AS weight FROM (
+    SELECT * FROM linked UNION ALL SELECT child, parent, 1.0::DOUBLE FROM tree UNION ALL SELECT parent, child, 1.0::DOUBLE FROM tree)
+  GROUP BY ALL),
+steps AS MATERIALIZED (
+  SELECT 'allow' AS kind, src AS host, dst AS dest, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges
+  UNION ALL SELECT 'block', dst, src, weight / sum(weight) OVER (PARTITION BY dst) FROM edges),
+r0 AS MATERIALIZED (
+  SELECT verdict AS kind, host, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY verdict) AS rank
+  FROM p JOIN fits USING (rid) GROUP BY verdict, host),
+{_RANKS},
+ranked AS (
+  SELECT host, round(coalesce(sum(rank) FILTER (kind = 'allow'), 0), {url_filter.DECIMALS}) AS trust,
+         round(coalesce(sum(rank) FILTER (kind = 'block'), 0), {url_filter.DECIMALS}) AS distrust
+  FROM r{url_filter.ITERATIONS} GROUP BY host)
+SELECT page_id, p.host, path, rule,
+       coalesce(verdict, CASE WHEN distrust > {url_filter.RATIO} * trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fits USING (rid) LEFT JOIN ranked ON p.host = ranked.host
+""")
 def url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
