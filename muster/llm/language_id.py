@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from muster.llm.words import blocks, mix, text_buffers
 
 SYMBOL_BITS, ORDER = 5, 4
+#: Bytes of text looked at together, unless a document is longer.
+BLOCK = 1 << 20
 #: Training documents that the limits are calibrated on at most.
 CALIBRATED = 4000
 QUANTILE, MARGIN = 0.999, 0.5
@@ -87,7 +89,7 @@ def counted(documents: DataFrame, text: str, lang: str) -> DataFrame:
             for name in batch.column(0).unique().to_pylist():
                 own = batch.column(1).filter(pc.equal(batch.column(0), name))
                 data, offsets = text_buffers(own)
-                for a, z in blocks(offsets):
+                for a, z in blocks(offsets, BLOCK):
                     keys = grams_of(data, offsets[a:z + 1])[0]
                     total = sums.setdefault(name, np.zeros(1 << SYMBOL_BITS * ORDER, np.int64))
                     total += np.bincount(keys, minlength=len(total))
@@ -235,7 +237,7 @@ def _entropies(text: Column, models: list[LanguageModel]) -> Column:
         kinds = {"best": pa.int32(), "entropy": pa.float64(), "n": pa.int64(), "letters": pa.int64(), "score": pa.float64(), "refused": pa.bool_()}
         for texts in batches:
             data, offsets = text_buffers(texts)
-            parts = [_judged(scorer, data, offsets[a:z + 1]) for a, z in blocks(offsets)]
+            parts = [_judged(scorer, data, offsets[a:z + 1]) for a, z in blocks(offsets, BLOCK)]
             yield pa.StructArray.from_arrays(
                 [pa.array(np.concatenate([p[k] for p in parts]) if parts else [], t) for k, t in kinds.items()], list(kinds))
 

@@ -25,7 +25,7 @@ from muster.session import stored
 
 #: Labelled rows that are learned from at most.
 MAX_ROWS = 20_000
-TREES, DEPTH, PENALTY = 24, 4, 0.0005
+TREES, DEPTH, PENALTY = 12, 3, 0.0005
 ACCEPTED = 0.7
 
 #: (feature, above, cut)
