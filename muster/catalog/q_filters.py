@@ -34,12 +34,7 @@ def corps_grade(d: Domain) -> DataFrame:
     union all select 'terminated', matricule from v_employees where date_left is not null
     union all select 'all', matricule from v_employees""")
 def status(d: Domain) -> DataFrame:
-    staff = d.employees().select("matricule", "date_left")
-    parts = [
-        employees.filter_status(staff, asked).select(F.lit(asked).alias("asked"), "matricule")
-        for asked in ("active", "terminated", "all")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return employees.by_status(d.employees().select("matricule", "date_left")).select("asked", "matricule")
 
 
 @query("filter_join_year", """
@@ -102,10 +97,8 @@ def validate(d: Domain) -> DataFrame:
     select case when ok then 'predict' else 'refuse' end as branch, scenario_id, coalesce(message, '') as message
     from v_checked_requests""")
 def split(d: Domain) -> DataFrame:
-    accepted, refused = scenarios.split(scenarios.check_requests(d.scenario_requests()))
-    return accepted.select(F.lit("predict").alias("branch"), "scenario_id", F.lit("").alias("message")).unionByName(
-        refused.select(F.lit("refuse").alias("branch"), "scenario_id", "message")
-    )
+    checked = scenarios.branch(scenarios.check_requests(d.scenario_requests()))
+    return checked.select("branch", "scenario_id", F.coalesce("message", F.lit("")).alias("message"))
 
 
 @query("employee_intake_validate", """

@@ -76,6 +76,11 @@ def check_requests(requests: DataFrame) -> DataFrame:
     return checked.withColumn("ok", F.col("message").isNull())
 
 
+def branch(checked: DataFrame) -> DataFrame:
+    """Where each checked request goes (``branch``: predict or refuse), in one pass."""
+    return checked.withColumn("branch", F.when(F.col("ok"), "predict").otherwise("refuse"))
+
+
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted scenarios, refused ones with their message)."""
     return checked.filter("ok").drop("ok", "message"), checked.filter("NOT ok").drop("ok")

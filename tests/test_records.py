@@ -138,3 +138,18 @@ def test_plans(spark, domain):
     reduced = domain.reduced()
     tested = backtest(reduced.historical(), reduced.yearly_formula())
     assert "orders.parquet" not in _nodes(tested.rows) and "lineitem.parquet" not in _nodes(tested.rows)
+
+
+def test_one_pass_labels_equal_the_filters(spark, domain):
+    from muster.operators import employees, scenarios
+
+    staff = domain.employees().select("matricule", "date_left")
+    labelled = employees.by_status(staff)
+    for asked in ("active", "terminated", "all"):
+        want = employees.filter_status(staff, asked)
+        assert labelled.filter(F.col("asked") == asked).drop("asked").exceptAll(want).count() == 0
+        assert labelled.filter(F.col("asked") == asked).count() == want.count()
+    checked = scenarios.check_requests(domain.scenario_requests())
+    accepted, refused = scenarios.split(checked)
+    counts = {r[0]: r[1] for r in scenarios.branch(checked).groupBy("branch").count().collect()}
+    assert counts == {"predict": accepted.count(), "refuse": refused.count()}
