@@ -108,13 +108,31 @@ def swapped_sentences(text: str, terms: Sequence[Sequence[str]]) -> list[tuple[s
     return out
 
 
+def _places(hashes: np.ndarray, twice: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which terms are known, and their columns: two of each known term, present and present at least twice."""
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    found = known[at] == hashes
+    return found, 2 * at[found] + twice[found]
+
+
+def _positions(sets: Column, known: np.ndarray) -> Column:
+    """Columns of the known terms of a row."""
+    @F.arrow_udf("array<int>")
+    def own(rows: pa.Array) -> pa.Array:
+        out = []
+        for row in rows.to_pylist():
+            hashes = np.array(row["once"] + row["twice"], np.int64).view(np.uint64)
+            out.append(_places(hashes, np.repeat([0, 1], [len(row["once"]), len(row["twice"])]), known)[1])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return own.asNondeterministic()(sets)
+
+
 class _Design:
-    """Rows of terms, as positions in twice a list of known terms."""
+    """A sparse matrix of zeros and ones."""
 
-    def __init__(self, n: int, rows: np.ndarray, hashes: np.ndarray, twice: np.ndarray, known: np.ndarray):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        found = known[at] == hashes
-        self.n, self.rows, self.at, self.width = n, rows[found], 2 * at[found] + twice[found], 2 * len(known)
+    def __init__(self, n: int, rows: np.ndarray, at: np.ndarray, width: int):
+        self.n, self.rows, self.at, self.width = n, rows, at, width
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, weights[self.at], self.n)
@@ -189,17 +207,13 @@ def fit(
         F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).filter(F.col("p") + F.col("q") >= LEAST_ROWS)
     share = (F.col("p") + F.col("q") + 1) / (n + 2)
     spread = F.abs(F.col("p") / ones - F.col("q") / (n - ones)) / F.sqrt(share * (1 - share) * (1 / ones + 1 / (n - ones)))
-    chosen = seen.orderBy(spread.desc(), "term", "twice").limit(width).select("term").union(
-        documents.sparkSession.createDataFrame([(int(h),) for h in word_hashes(t for own in terms for t in own).view(np.int64)], "term bigint")
-    ).distinct()
-    known = np.sort(chosen.toPandas()["term"].to_numpy(np.int64).view(np.uint64))
-    # rows of equal ids count as one; at most MAX_TERMS and the identity terms are broadcast
-    held = [table.select("doc_id", F.explode(F.col("own")[k]).alias("term"), F.lit(v).alias("twice")) for k, v in (("once", 0), ("twice", 1))]
-    pairs = held[0].union(held[1]).join(F.broadcast(chosen), "term").distinct().orderBy("doc_id", "term", "twice").toPandas()
-    marks = table.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy("doc_id").toPandas()
-    label = marks["label"].to_numpy(np.float64)
-    design = _Design(len(label), np.searchsorted(marks["doc_id"], pairs["doc_id"]), pairs["term"].to_numpy(np.int64).view(np.uint64),
-                     pairs["twice"].to_numpy(np.int64), known)
+    told = seen.orderBy(spread.desc(), "term", "twice").limit(width).select("term").toPandas()["term"].to_numpy(np.int64)
+    known = np.unique(np.concatenate([told.view(np.uint64), word_hashes(t for own in terms for t in own)]))
+    # at most ``rows`` rows of at most MAX_TERMS and the identity terms, twice
+    kept = table.select("doc_id", "label", _positions(F.col("own"), known).alias("at")).orderBy("doc_id", "label", "at").toPandas()
+    label = kept["label"].to_numpy(np.float64)
+    held = [np.asarray(x, np.int64) for x in kept["at"]]
+    design = _Design(len(held), np.repeat(np.arange(len(held)), [len(x) for x in held]), np.concatenate(held), 2 * len(known))
 
     sentences = table.select(F.explode("named").alias("s")).orderBy(F.xxhash64("s"), "s").limit(MAX_SWAPS).toPandas()["s"]
     pairs = [p for s in sentences for p in swapped_sentences(s, terms)][:MAX_SWAPS]
@@ -207,8 +221,9 @@ def fit(
     def of_texts(texts: list[str]) -> _Design:
         doc, hashes, often = _distinct(*text_buffers(pa.array(texts, pa.string())))
         again = often > 1
-        return _Design(len(texts), np.concatenate([doc, doc[again]]), np.concatenate([hashes, hashes[again]]),
-                       np.repeat([0, 1], [len(doc), again.sum()]), known)
+        rows_, twice = np.concatenate([doc, doc[again]]), np.repeat([0, 1], [len(doc), again.sum()])
+        found, at = _places(np.concatenate([hashes, hashes[again]]), twice, known)
+        return _Design(len(texts), rows_[found], at, 2 * len(known))
 
     before, after = (of_texts([p[k] for p in pairs]) for k in (0, 1))
     weights, intercept = train(design, label, before, after, penalty)
