@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from muster.operators import projection, scenarios
 from muster.operators.projection import LinearFormula
 from muster.operators.joins import apply_factor
-from muster.plans.backtest import bias_correction, bias_factor, compare_history
+from muster.plans.backtest import bias_factor, compare_history
 
 FIELDS = "scenario_id bigint, start_year bigint, end_year bigint, recruitments bigint, departures bigint, initial_employees bigint"
 PAY = 239_227_929.56 / 3220
