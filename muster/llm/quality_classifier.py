@@ -12,8 +12,10 @@ scored like others. Without labels of both kinds the score of every text is the
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -25,7 +27,7 @@ from muster.session import stored
 
 #: Labelled rows that are learned from at most.
 MAX_ROWS = 20_000
-TREES, DEPTH, PENALTY = 12, 3, 0.0005
+TREES, DEPTH, PENALTY = 24, 4, 0.0005
 ACCEPTED = 0.7
 
 #: (feature, above, cut)
@@ -58,12 +60,27 @@ def paths(node, path: tuple = ()) -> list[Rule]:
     return own + paths(node.leftChild(), (*path, (f, False, cut))) + paths(node.rightChild(), (*path, (f, True, cut)))
 
 
-def holds(rule: Rule, stats: Column) -> Column:
-    out = F.lit(True)
-    for feature, above, cut in rule:
-        own = stats[feature].cast("double")
-        out = out & (own > cut if above else own <= cut)
-    return out
+def tests_of(rules: list[Rule]) -> list[tuple[str, bool, float]]:
+    """The distinct threshold tests of all rules."""
+    return sorted({test for rule in rules for test in rule})
+
+
+def design(rules: list[Rule], stats: Column) -> Column:
+    """Which rules hold, as 1 and 0: one small expression, however many rules there are."""
+    tests = tests_of(rules)
+    number = {test: k for k, test in enumerate(tests)}
+    members = [[number[test] for test in rule] for rule in rules]
+
+    @F.arrow_udf("array<double>")
+    def own(rows: pa.Array) -> pa.Array:
+        values = {f: np.asarray(rows.field(f)) for f in {f for f, _, _ in tests}}
+        passed = np.array([values[f] > cut if above else values[f] <= cut for f, above, cut in tests])
+        held = np.empty((len(rows), len(rules)))
+        for k, rule in enumerate(members):
+            held[:, k] = passed[rule].all(axis=0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(rules), pa.int32()), pa.array(held.ravel()))
+
+    return own(stats)
 
 
 def fit(
@@ -88,23 +105,32 @@ def fit(
     rules = sorted({r for tree in forest._java_obj.trees() for r in paths(tree.rootNode())})
     if not rules:
         return Ensemble([], [], float(np.log(ones / (n - ones))))
-    held = F.array(*[holds(r, F.col("s")).cast("double") for r in rules])
-    design = table.select("label", array_to_vector(held).alias("features"))
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60, tol=1e-5).fit(design)
+    del forest
+    held = table.select("label", array_to_vector(design(rules, F.col("s"))).alias("features"))
+    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60, tol=1e-5).fit(held)
     weights = lasso.coefficients.toArray()
     used = np.flatnonzero(np.abs(weights) > 1e-6).tolist()
     return Ensemble([rules[k] for k in used], [float(weights[k]) for k in used], float(lasso.intercept))
 
 
-def score(model: Ensemble, stats: Column) -> Column:
-    """Probability of label 1."""
+def passed(model: Ensemble, stats: Column) -> Column:
+    """The outcome of each distinct test of the model's rules, in the order of ``tests_of``."""
+    own = [(stats[feature].cast("double"), above, cut) for feature, above, cut in tests_of(model.rules)]
+    return F.array(*[value > cut if above else value <= cut for value, above, cut in own]).cast("array<boolean>")
+
+
+def score(model: Ensemble, outcomes: Column) -> Column:
+    """Probability of label 1, from what ``passed`` tells."""
+    number = {test: k for k, test in enumerate(tests_of(model.rules))}
     total = F.lit(model.intercept)
     for rule, weight in zip(model.rules, model.weights, strict=True):
-        total = total + F.when(holds(rule, stats), weight).otherwise(0.0)
+        holds = reduce(Column.__and__, [outcomes[number[test]] for test in rule])
+        total = total + F.when(holds, weight).otherwise(0.0)
     return 1 / (1 + F.exp(-total))
 
 
 def classify(documents: DataFrame, model: Ensemble, *, text: str = "text", out: str = "quality_score") -> DataFrame:
     """``documents`` with a column ``out`` (one of that name is replaced): the score of label 1."""
     own = documents.withColumn("_statistics", statistics(F.col(text)))
-    return own.withColumn(out, score(model, F.col("_statistics"))).drop("_statistics")
+    own = own.withColumn("_passed", passed(model, F.col("_statistics")))
+    return own.withColumn(out, score(model, F.col("_passed"))).drop("_statistics", "_passed")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import odd
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from muster.llm import quality_classifier as qc
@@ -120,3 +121,19 @@ def test_held_out_quality(spark):
     assert got.filter("not held_out and crc32(cast(doc_id as string)) % 4 = 2").count() == 0
     kept = queries.QUERIES["op1_quality_rules"](spark, SF).join(labels, "doc_id")
     assert kept.filter("quality = 1 and not base_failed").agg(F.avg(F.col("kept").cast("int"))).first()[0] >= 0.97
+
+
+def test_whole_forest_is_dealt_into_rules(spark, monkeypatch):
+    """24 trees, and rules of up to four conditions; the design column says of each rule whether it holds."""
+    made = {}
+    monkeypatch.setattr(qc, "RandomForestClassifier", lambda **own: made.update(own) or RandomForestClassifier(**own))
+    monkeypatch.setattr(qc, "design", lambda rules, stats, f=qc.design: made.update(rules=rules) or f(rules, stats))
+    rng = random.Random(4)
+    rows = [(i, odd.sentence(rng, rng.randint(3, 60)), "en", "s", 0, "", "", "", rng.randint(0, 1)) for i in range(400)]
+    documents, labels = _tables(spark, rows)
+    qc.fit(documents, labels)
+    assert (made["numTrees"], made["maxDepth"]) == (24, 4)
+    rules = made["rules"]
+    assert len(rules) > 168 and max(map(len, rules)) == 4
+    for s, held in documents.select(statistics(F.col("text")).alias("s")).select("s", qc.design(rules, F.col("s"))).limit(50).collect():
+        assert held == [float(all((s[f] > cut) == above for f, above, cut in rule)) for rule in rules]
