@@ -6,8 +6,9 @@ they continue, so they follow from the longest. A model holds, per order, its n-
 interpolated log-probabilities, and its contexts beside their back-off weights. A text goes to the language of the lowest
 cross-entropy per symbol.
 
-A language refuses texts whose cross-entropy exceeds a limit calibrated on training documents (at most ``CALIBRATED`` of them):
-``limit + slack / sqrt(symbols)``, both quantiles with a margin. Size is bounded: a language has at most
+A language refuses texts whose cross-entropy exceeds a limit calibrated on all training documents that go to their own language:
+``limit + slack / sqrt(symbols)``, both quantiles of the language with a margin, found in Spark. A language none of whose
+documents goes to it has the strictest limit of the others and no slack; without others, that of equally likely symbols. Size is bounded: a language has at most
 ``2 ** (SYMBOL_BITS * ORDER)`` n-grams (about a million), whatever the corpus.
 
 A null text or one without a letter is ``und`` with score 0 and rejected; so is every text if nothing could be learned. Null
@@ -27,13 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.llm.words import blocks, mix, text_buffers
+from muster.session import stored
 
 SYMBOL_BITS, ORDER = 5, 4
 #: Bytes of text looked at together, unless a document is longer.
 BLOCK = 1 << 20
-#: Training documents that the limits are calibrated on at most.
-CALIBRATED = 4000
 QUANTILE, MARGIN = 0.999, 0.5
+#: Ranks of quantiles are right to one part in so many.
+ACCURACY = 100_000
 #: Symbols that count towards the score's certainty at most.
 CERTAIN = 40
 UND = "und"
@@ -196,7 +198,7 @@ class Scorer:
         return -out / np.maximum(n, 1), n, letters
 
 
-def train(documents: DataFrame, *, text: str = "text", lang: str = "lang", id: str = "doc_id", calibrated: int = CALIBRATED) -> list[LanguageModel]:
+def train(documents: DataFrame, *, text: str = "text", lang: str = "lang") -> list[LanguageModel]:
     """A calibrated model per language, in code point order, from all ``documents`` given."""
     # at most languages x 2 ** (SYMBOL_BITS * ORDER) rows come back
     counts = counted(documents, text, lang).toPandas()
@@ -206,20 +208,28 @@ def train(documents: DataFrame, *, text: str = "text", lang: str = "lang", id: s
         models.append(estimate(name, own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.int64)))
     if not models:
         return []
-    held = documents.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.xxhash64(F.col(id)).alias("h"), F.xxhash64(F.col(text)).alias("g"), F.col(id).alias("id"))
-    chosen = held.orderBy("h", "g").limit(calibrated).select("id").distinct()
-    sample = documents.join(F.broadcast(chosen), F.col(lang).isNotNull() & (documents[id] == chosen["id"])).select(
-        F.col(lang).alias("lang"), _entropies(F.col(text), models).alias("e")).select("lang", "e.*").toPandas()
-    for k, model in enumerate(models):
-        own = sample[(sample["lang"] == model.lang) & (sample["best"] == k) & (sample["n"] > 0)]
-        if len(own):
-            long_ = own[own["n"] >= own["n"].median()]
-            model.limit = float(long_["entropy"].quantile(QUANTILE)) + MARGIN
-            model.slack = max(0.0, float(((own["entropy"] - model.limit + MARGIN) * np.sqrt(own["n"])).quantile(QUANTILE)) * 1.2)
+    calibrate(documents, models, text, lang)
     return models
 
 
+def calibrate(documents: DataFrame, models: list[LanguageModel], text: str, lang: str) -> None:
+    """Sets the limits of the models; one row a language comes back."""
+    names, e = F.array(*[F.lit(m.lang) for m in models]), F.col("e")
+    rows = documents.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = rows.select(F.col(lang).alias("lang"), _entropies(F.col(text), models).alias("e"))
+    own = stored(rows.filter((e["n"] > 0) & (F.element_at(names, e["best"] + 1) == F.col("lang"))).select("lang", e["entropy"].alias("entropy"), e["n"].alias("n")), "entropies")
+    half = own.groupBy("lang").agg(F.percentile_approx("n", 0.5, ACCURACY).alias("half"))
+    long_ = own.join(F.broadcast(half), "lang").filter("n >= half")
+    limits = stored(long_.groupBy("lang").agg(F.percentile_approx("entropy", QUANTILE, ACCURACY).alias("limit")), "limits")
+    over = (F.col("entropy") - F.col("limit")) * F.sqrt("n")
+    found = own.join(F.broadcast(limits), "lang").groupBy("lang").agg(
+        F.first("limit").alias("limit"), F.percentile_approx(over, QUANTILE, ACCURACY).alias("over")).collect()
+    known = {r.lang: (r.limit + MARGIN, max(0.0, r.over * 1.2)) for r in found}
+    strictest = min((limit for limit, _ in known.values()), default=SYMBOL_BITS * float(np.log(2)))
+    for model in models:
+        model.limit, model.slack = known.get(model.lang, (strictest, 0.0))
+
+
 def _judged(scorer: Scorer, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     entropy, n, letters = scorer(data, offsets)
     best = entropy.argmin(axis=0)

@@ -105,3 +105,15 @@ def test_held_out_accuracy(spark):
     got = queries.QUERIES["op10_language_id"](spark, sf_dir).join(queries.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     held = got.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.avg(F.col("rejected").cast("int"))).first()
     assert held[0] >= 0.98 and held[1] <= 0.01
+
+
+def test_every_language_has_limits_from_all_its_documents(spark):
+    """Rows of null id count, and a language that wins none of its documents can refuse as well."""
+    documents = odd.documents(spark).withColumn("doc_id", F.lit(None).cast("bigint"))
+    twins = documents.union(documents.filter("lang = 'en'").withColumn("lang", F.lit("zz")))
+    models = li.train(twins)
+    limits = {m.lang: (m.limit, m.slack) for m in models}
+    assert all(np.isfinite(v) for pair in limits.values() for v in pair)
+    assert limits["zz"] == (min(limits["de"][0], limits["en"][0]), 0.0)
+    foreign = spark.createDataFrame([("xqzk vwxq kzzx " * 60,)], "text string")
+    assert [r[0] for r in li.identify(foreign, models).select("language.rejected").collect()] == [True]
