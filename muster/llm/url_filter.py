@@ -3,7 +3,8 @@
 Hosts whose pages a rule allows are trusted seeds, hosts whose pages a rule blocks are distrusted seeds. Personalised PageRank
 carries trust along links and distrust against them; a host is blocked if its distrust is above ``RATIO`` times its trust. Edges
 come from absolute links and from the host tree, where a host and its parent domain link each other. Pages are reduced to hosts
-and host edges before anything iterates; all of it is joins and sums in Spark.
+and host edges before anything iterates; all of it is joins and sums in Spark. Ranks run until every single one is settled relative to itself, so however far a host is
+from a seed and however many pages share the seeds, its verdict is that of the settled ranks.
 
 A null url or one without ``://`` has an empty host and path. No rule fits it; its host is in no graph and is allowed, as is every
 host out of reach of all seeds. A null html has no links. Pages are judged row by row, whatever their ids.
@@ -22,9 +23,13 @@ from muster.session import stored
 RULES = (
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
 )
-DAMPING, ITERATIONS, RATIO = 0.85, 10, 1.0
-#: Ranks are compared and given out to so many decimals.
-DECIMALS = 9
+DAMPING, RATIO = 0.85, 1.0
+#: Ranks are settled when ``ROUND`` iterations change none of them by more than this part of itself.
+TOLERANCE, ROUND = 1e-7, 5
+#: Distrust over trust is compared to so many decimals, so that the order of sums does not decide a tie.
+RATIO_DECIMALS = 6
+#: The SQL twin stops after so many iterations and rounds ranks to so many decimals before it compares them.
+ITERATIONS, DECIMALS = 10, 9
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -69,7 +74,7 @@ def edges_of(pages: DataFrame) -> DataFrame:
     return every.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) of all hosts reached.
 
     ``seeds`` has (host, trust, distrust), parts of 1. Trust runs from ``src`` to ``dst``, distrust back.
@@ -82,12 +87,19 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterati
     steps = stored(normal("src", "dst", "trust").union(normal("dst", "src", "distrust")), "steps")
     start = stored(seeds.select("host", F.explode(F.create_map(
         F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed")).filter("seed > 0"), "seeds")
-    ranks = start.select("kind", "host", F.col("seed").alias("rank"))
-    for _ in range(iterations):
-        carried = ranks.join(steps, ["kind", "host"]).select(
-            "kind", F.col("to").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
-        given = start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"))
-        ranks = stored(carried.union(given).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "ranks")
+    given = start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"))
+    ranks, change = start.select("kind", "host", F.col("seed").alias("rank")), float("inf")
+    while change > tolerance:
+        known = ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("known"))
+        for _ in range(ROUND):
+            carried = ranks.join(steps, ["kind", "host"]).select(
+                "kind", F.col("to").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
+            ranks = carried.union(given).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        both = ranks.withColumn("known", F.lit(0.0)).union(known).groupBy("kind", "host").agg(*[F.sum(c).alias(c) for c in ("rank", "known")])
+        settled = stored(both, "ranks")
+        part = F.abs(F.col("rank") - F.col("known")) / F.greatest("rank", "known")
+        change = settled.filter("greatest(rank, known) > 0").agg(F.max(part)).first()[0] or 0.0
+        ranks = settled.drop("known")
     by_kind = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")]
     return ranks.groupBy("host").agg(*by_kind)
 
@@ -107,8 +119,9 @@ def judge(
     seeds = judged.select("host", (F.col("trust") / total[0]).alias("trust"), (F.col("distrust") / total[1]).alias("distrust"))
     edges = edges_of(pages.select(host.alias("host"), F.col(html).alias("html")))
     ranks = spread(stored(edges, "edges"), seeds)
-    ranks = ranks.select("host", F.round("trust", DECIMALS).alias("trust"), F.round("distrust", DECIMALS).alias("distrust"))
-    blocked = F.coalesce(F.col("distrust") > ratio * F.col("trust"), F.lit(False))
+    # without trust any distrust blocks
+    above = F.round(F.col("distrust") / (ratio * F.col("trust")), RATIO_DECIMALS) > 1
+    blocked = F.coalesce(F.when(F.col("trust") > 0, above).otherwise(F.col("distrust") > 0), F.lit(False))
     return rows.join(ranks, "host", "left").select(
         *[F.col(f"_{c}").alias(c) for c in keep], "host", "path", "rule",
         F.coalesce("_verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"),

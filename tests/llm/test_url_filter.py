@@ -97,3 +97,22 @@ def test_no_seeds_and_no_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.org/", None), (2, None, None)], "page_id bigint, url string, html string")
     assert {r.verdict for r in uf.judge(pages).collect()} == {"allow"}
     assert uf.judge(pages.filter("page_id < 0")).count() == 0
+
+
+def test_verdicts_do_not_depend_on_distance_or_table_size(spark):
+    """Hosts reached by distrust alone are blocked, 14 hops away and when many links and pages leave next to nothing of it."""
+    own = [(0, "http://a.net/es/", "")] + [(900 + k, "http://big.net/es/", "") for k in range(200)]
+    own += [(k, f"http://h{k}.org/", f"<a href='http://{f'h{k - 1}.org' if k > 1 else 'a.net'}/'>x</a>") for k in range(1, 15)]
+    own += [(100 + k, f"http://g{k}.org/", f"<a href='http://{f'g{k - 1}.org' if k > 1 else 'a.net'}/'>x</a>") for k in range(1, 4)]
+    own += [(200, "http://many.org/", "".join(f"<a href='http://g{k}.org/'>x</a>" * 3000 for k in (1, 2)))]
+    pages = spark.createDataFrame(own, "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in uf.judge(pages).collect()}
+    assert {got[k].verdict for k in [*range(1, 15), 101, 102, 103]} == {"block"}
+    assert 0 < got[103].distrust < 1e-9 and got[103].trust == 0
+
+
+def test_ranks_are_settled(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust double, distrust double")
+    got = {r.host: r.trust for r in uf.spread(edges, seeds).collect()}
+    assert abs(got["a"] - 1 / 1.85) < 1e-6 and abs(got["b"] - 0.85 / 1.85) < 1e-6
