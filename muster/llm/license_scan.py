@@ -1,7 +1,8 @@
 """License scans: ordered signature rules over whole texts, in Spark expressions only.
 
 Each rule is a regular expression over the words of a text with single spaces between them, with a label, a priority and a
-keyword. A text is searched for the keywords first, and only the rules of those it holds are tried. Every place a rule matches is
+keyword that each of its matches holds. A text is searched for the keywords first, and only the rules of those it holds are
+tried. Every place a rule matches is
 a detection with its word interval. Detections are put in order (earlier start, longer, stronger priority), and one whose interval
 lies within that of another of at least its priority is suppressed. Nothing is shuffled: a row holds all it needs.
 
@@ -35,7 +36,10 @@ class Rule:
 
 @dataclass(frozen=True)
 class Family:
-    """How a license is named, in lower-cased words; ``versions`` are words after the name, each with its label's ending."""
+    """How a license is named, in lower-cased words; ``versions`` are words after the name, each with its label's ending.
+
+    Every text that ``full`` fits holds ``keyword``; ``short`` is the name in SPDX identifiers, word for word.
+    """
 
     label: str
     keyword: str
@@ -53,7 +57,7 @@ FAMILIES = (
     Family("agpl", "affero", "(?:gnu )?affero general public license", "affero general public", ("1", "3")),
     Family("gfdl", "free documentation", "(?:gnu )?free documentation license", "gfdl", ("1 1", "1 2", "1 3")),
     Family("apache", "apache", "apache(?: software)? license", "apache", ("1 0", "1 1", "2 0")),
-    Family("mit", "mit", "(?:the )?(?:mit|expat) license", "mit"),
+    Family("mit", "t license", "(?:the )?(?:mit|expat) license", "mit"),
     Family("bsd-2-clause", "bsd", "(?:simplified|2 clause|freebsd) bsd license|bsd 2 clause(?: license)?", "bsd 2 clause"),
     Family("bsd-3-clause", "bsd", "(?:new|modified|revised|3 clause) bsd license|bsd 3 clause(?: license)?", "bsd 3 clause"),
     Family("bsd", "bsd", "(?:original |4 clause )?bsd(?: style)? license", "bsd"),
@@ -63,16 +67,17 @@ FAMILIES = (
     Family("epl", "eclipse", "eclipse public license", "epl", ("1 0", "2 0")),
     Family("eupl", "european union public", "european union public licen[cs]e", "eupl", ("1 1", "1 2")),
     Family("cddl", "distribution license", "common development and distribution license", "cddl", ("1 0", "1 1")),
-    Family("cpl", "common public license", "common public license", "common public license", ("1 0",)),
-    Family("artistic", "artistic", "(?:the )?(?:perl )?artistic license", "artistic license", ("1 0", "2 0")),
-    Family("bsl", "boost", "boost software license", "boost software", ("1 0",)),
+    Family("cpl", "common public license", "common public license", "cpl", ("1 0",)),
+    Family("artistic", "artistic", "(?:the )?(?:perl )?artistic license", "artistic", ("1 0", "2 0")),
+    Family("bsl", "boost", "boost software license", "bsl", ("1 0",)),
     Family("zlib", "zlib", "zlib(?: libpng)? license", "zlib"),
     Family("unlicense", "unlicense", "(?:the )?unlicense", "unlicense"),
     Family("wtfpl", "wtfpl", "wtfpl", "wtfpl", ("2",)),
-    Family("python", "python software foundation", "python software foundation license", "psf license", ("2",)),
+    Family("python", "python software foundation", "python software foundation license", "psf", ("2",)),
+    Family("python", "python license", "python license", "python", ("2",)),
     Family("postgresql", "postgresql", "postgresql license", "postgresql"),
     Family("openssl", "openssl", "openssl license", "openssl"),
-    Family("php", "php", "php license", "php license", ("3 0", "3 01")),
+    Family("php", "php", "php license", "php", ("3 0", "3 01")),
     Family("osl", "open software license", "open software license", "osl", ("1 0", "2 0", "3 0")),
     Family("ofl", "open font", "(?:sil )?open font license", "ofl", ("1 0", "1 1")),
     Family("odbl", "open database", "open database license", "odbl", ("1 0",)),
@@ -95,6 +100,8 @@ STATEMENTS = (
     (2, 0.95, "subject to (?:the (?:terms of )?)?(?:the )?{full}"),
     (3, 0.8, "{full}"),
 )
+#: Short names that no ``full`` covers. Alone they may be other words, so they count only where a license is stated (priority 2).
+STATED = ("gfdl", "epl", "eupl", "cddl", "cpl", "bsl", "psf", "osl", "ofl", "odbl")
 #: Rules that name no license of a family: (label, keyword, priority, signature).
 OTHERS = (
     ("all-rights-reserved", "all rights reserved", 4, "all rights reserved"),
@@ -103,6 +110,12 @@ OTHERS = (
     ("public-domain", "public domain", 4, "(?:dedicated to|released into|placed in) the public domain"),
     ("permission-notice", "permission is hereby granted", 2, "permission is hereby granted free of charge to any person obtaining a copy"),
     ("redistribution-notice", "redistribution and use", 2, "redistribution and use in source and binary forms"),
+    ("gpl", "this program is free software", 2, "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("apache-2.0", "unless required by applicable law", 2,
+     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("isc", "with or without fee is hereby granted", 2,
+     "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("unlicense", "free and unencumbered software", 2, "this is free and unencumbered software released into the public domain"),
     ("warranty-disclaimer", "without warranty", 5, "without warranty of any kind"),
 )
 SURENESS = {1: 1.0, 2: 0.95, 3: 0.8, 4: 0.7, 5: 0.4}
@@ -110,17 +123,20 @@ _LEVELS = max(SURENESS)
 
 
 def rules() -> list[Rule]:
-    """All rules, strongest priority first, then as the families are listed."""
+    """All rules: strongest priority first, then as the families are listed; short names and texts of licenses last."""
     out = []
-    for priority, _, statement in STATEMENTS:
-        for f in FAMILIES:
-            name = statement.format(full=f"(?:{f.full})", short=f.short)
-            for version in f.versions:
-                ending = version.replace(" ", "-") if " " in version else f"{version}-0"
-                words = re.sub(r" 0$", "(?: 0)?", version)
-                out.append(Rule(f"{f.label}-{ending.replace('-', '.')}", f.keyword, priority,
-                                f" {name}(?: license| public license)?(?: version| v)? v?{words}(?= )"))
-            out.append(Rule(f.label, f.keyword, priority + (1 if f.versions and priority > 1 else 0), f" {name}(?= )"))
+    named = [(priority, statement, f, "spdx license identifier" if "{short}" in statement else f.keyword, f"(?:{f.full})")
+             for priority, _, statement in STATEMENTS for f in FAMILIES]
+    named += [(priority, statement, f, f" {f.short}", f.short)
+              for priority, _, statement in STATEMENTS if priority == 2 for f in FAMILIES if f.short in STATED]
+    for priority, statement, f, keyword, full in named:
+        name = statement.format(full=full, short=f.short)
+        for version in f.versions:
+            ending = version.replace(" ", "-") if " " in version else f"{version}-0"
+            words = re.sub(r" 0$", "(?: 0)?", version)
+            out.append(Rule(f"{f.label}-{ending.replace('-', '.')}", keyword, priority,
+                            f" {name}(?: license| public license)?(?: version| v)? v?{words}(?= )"))
+        out.append(Rule(f.label, keyword, priority + (1 if f.versions and priority > 1 else 0), f" {name}(?= )"))
     out += [Rule(label, keyword, priority, f" {regex}(?= )") for label, keyword, priority, regex in OTHERS]
     return out
 

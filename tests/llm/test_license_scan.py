@@ -87,3 +87,22 @@ def test_no_python_in_the_plan_and_no_shuffle(spark):
     shown = ls.scan(odd.documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in shown and "Arrow" not in shown and "Exchange" not in shown
     assert ls.scan(odd.empty(spark)).count() == 0
+
+
+SPDX = {"EPL-2.0": "epl-2.0", "EUPL-1.2": "eupl-1.2", "CDDL-1.0": "cddl-1.0", "OFL-1.1": "ofl-1.1", "OSL-3.0": "osl-3.0", "ODbL-1.0": "odbl-1.0",
+        "GFDL-1.3": "gfdl-1.3", "BSL-1.0": "bsl-1.0", "Artistic-2.0": "artistic-2.0", "CPL-1.0": "cpl-1.0", "PHP-3.01": "php-3.01",
+        "PSF-2.0": "python-2.0", "Python-2.0": "python-2.0"}
+
+
+def test_keyword_gate_drops_no_match(spark):
+    """Every rule finds with its keyword what it finds without one."""
+    texts = [f"SPDX-License-Identifier: {k}" for k in SPDX] + ["licensed under the EPL 2.0", "subject to the CDDL", "released under the Expat License", *TEXTS]
+    texts += [f"{s} {f.full.split('|')[-1].replace('(?:', '').replace(')?', '').replace(')', '').replace('[cs]', 'c')}"
+              for f in ls.FAMILIES for s in ("", "licensed under the", "SPDX-License-Identifier:")]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    ungated = [ls.Rule(r.label, " ", r.priority, r.regex) for r in ls.rules()]
+    got, free = ({r.k: r.licenses for r in ls.scan(rows, own=own).collect()} for own in (None, ungated))
+    assert got == free
+    for k, label in enumerate(SPDX.values()):
+        assert got[k].labels == label and got[k].score == 1.0
+    assert [got[len(SPDX) + k].labels for k in range(3)] == ["epl-2.0", "cddl", "mit"]
