@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.llm import decontaminate as decontamination
-from muster.llm import arc, language_id, license_scan, mixing, quality_classifier, quality_rules, simhash, toxicity, url_filter
+from muster.llm import arc, language_id, license_scan, line_dedup, mixing, quality_classifier, quality_rules, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,3 +218,22 @@ FROM p LEFT JOIN fits USING (rid) LEFT JOIN ranked ON p.host = ranked.host
 def url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op11_line_dedup", sql=rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT rid, p, l[p] AS line, translate(trim(l[p], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+      FROM (SELECT *, unnest(range(1, len(l) + 1)) AS p FROM d)),
+c AS (SELECT k FROM e WHERE length(k) >= {line_dedup.MIN_CHARS} GROUP BY k HAVING count(DISTINCT rid) >= {line_dedup.MIN_DOCS}),
+kept AS (
+  SELECT rid, count(*) AS n, count(c.k) AS gone, string_agg(line, chr(10) ORDER BY p) FILTER (c.k IS NULL) AS text
+  FROM e LEFT JOIN c ON e.k = c.k GROUP BY rid)
+SELECT doc_id, n AS n_lines, gone AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256 FROM d JOIN kept USING (rid)
+""")
+def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten or more documents share."""
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    c = F.col("lines")
+    return rows.select("doc_id", c["n_lines"].alias("n_lines"), c["n_dropped"].alias("n_dropped"),
+                       F.sha2(c["text"], 256).alias("kept_sha256"))
