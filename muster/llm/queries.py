@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.llm import decontaminate as decontamination
-from muster.llm import arc, language_id, license_scan, line_dedup, mixing, quality_classifier, quality_rules, simhash, toxicity, url_filter
+from muster.llm import (
+    arc, collocations, language_id, license_scan, line_dedup, mixing, prefix_trie, quality_classifier, quality_rules, simhash, toxicity,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -237,3 +240,82 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("lines")
     return rows.select("doc_id", c["n_lines"].alias("n_lines"), c["n_dropped"].alias("n_dropped"),
                        F.sha2(c["text"], 256).alias("kept_sha256"))
+
+
+@query("op12_collocations", sql=rf"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS rid,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+s AS (SELECT lang, w[i:i + {collocations.LONGEST - 1}] AS s FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)),
+f AS MATERIALIZED (
+  SELECT lang, s[1:k] AS phrase, k, count(*)::HUGEINT AS f FROM (SELECT lang, s, unnest(range(1, len(s) + 1)) AS k FROM s)
+  GROUP BY ALL HAVING count(*) >= {collocations.MIN_COUNT}),
+inside AS (
+  SELECT lang, s[i:i + m - 1] AS phrase, max(f) AS longer
+  FROM (SELECT lang, phrase AS s, f, k, unnest(range(2, k)) AS m FROM f WHERE k > 2), LATERAL (SELECT unnest(range(1, k - m + 2)) AS i)
+  GROUP BY ALL),
+c AS (
+  SELECT f.* FROM f LEFT JOIN inside USING (lang, phrase)
+  WHERE k > 1 AND (longer IS NULL OR 100 * longer < {collocations.CONTAINED} * f)),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, cut, l.f AS l, r.f AS r, n.n, {collocations.SCALE} * c.f * n.n // (l.f * r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = c.phrase[1:cut]
+  JOIN f r ON r.lang = c.lang AND r.phrase = c.phrase[cut + 1:]
+  JOIN n ON n.lang = c.lang),
+best AS (
+  SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, n, score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best QUALIFY rank <= {collocations.TOP}
+""")
+def collocations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words most belong together."""
+    return collocations.mine(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+#: crc32 is no function of DuckDB: bit by bit over the digits of an id.
+_CRC32 = """(WITH RECURSIVE t(c, i, crc) AS (
+    SELECT conv_id::VARCHAR, 0, 4294967295::BIGINT FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+    UNION ALL
+    SELECT c, i + 1, CASE WHEN i % 9 = 0 THEN xor(crc, ascii(c[i // 9 + 1]))
+                           WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END
+    FROM t WHERE i < 9 * length(c))
+  SELECT c::BIGINT AS conv_id, xor(crc, 4294967295) AS crc FROM t WHERE i = 9 * length(c))"""
+
+
+@query("op13_prefix_trie", sql=rf"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+heads AS MATERIALIZED (SELECT conv_id, crc % 9 AS h FROM {_CRC32}),
+rebuilt AS (
+  SELECT h.conv_id, 0 AS part, i, role, text FROM heads h JOIN turns t ON t.conv_id = h.conv_id - h.conv_id % 5 AND i <= h
+  UNION ALL SELECT h.conv_id, 1, i, role, text FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND i > h),
+s AS (
+  SELECT h.conv_id AS c, coalesce(list({{'r': role, 't': text}} ORDER BY part, i) FILTER (i IS NOT NULL), []) AS s
+  FROM heads h LEFT JOIN rebuilt USING (conv_id) GROUP BY h.conv_id),
+p AS (SELECT c, d::BIGINT AS depth, s[:d] AS prefix, d = len(s) AS ends FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM s)),
+n AS MATERIALIZED (
+  SELECT prefix, depth, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256,
+         (count(*) - 1) * CASE WHEN depth > 0 THEN strlen(prefix[-1].t) ELSE 0 END AS saved
+  FROM p GROUP BY prefix, depth),
+k AS MATERIALIZED (SELECT prefix[:-2] AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT b.prefix[:d] AS prefix, count(*) FILTER (n_children IS NULL) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT n.*, unnest(range(depth + 1)) AS d FROM n) b LEFT JOIN k ON k.prefix = b.prefix GROUP BY 1)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN below ON below.prefix = n.prefix LEFT JOIN k ON k.prefix = n.prefix
+LEFT JOIN n u ON n.depth > 0 AND u.depth = n.depth - 1 AND u.prefix = n.prefix[:-2]
+""")
+def prefix_trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every opening that conversations have, with those that share it."""
+    whole = prefix_trie.sequences(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefix_trie.trie(prefix_trie.with_openings(whole))
