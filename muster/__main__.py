@@ -57,13 +57,13 @@ def _monthly_sources(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFr
 def _train(spark: SparkSession, a: argparse.Namespace) -> None:
     sources = _monthly_sources(spark, a)
     spec = SPECS[a.kind]
-    if a.rounds and "maxIter" in spec.params:
-        spec = spec.with_params(maxIter=a.rounds)
+    if a.rounds and "rounds" in spec.params:
+        spec = spec.with_params(rounds=a.rounds)
     if a.kind == "yearly":
-        trained = training.train_yearly(training.yearly_frame(*sources), spec)
+        trained = training.train_yearly(training.yearly_frame(*sources), spec, f"{a.model}/training")
     elif a.kind in ("monthly", "export"):
         frame = training.monthly_frame if a.kind == "monthly" else training.export_frame
-        trained = training.train_holdout(frame(*sources), spec)
+        trained = training.train_holdout(frame(*sources), spec, path=f"{a.model}/training")
     else:
         trained = training.train_holdout(training.inner_frame(*sources), spec, chronological=False)
     training.train_and_save(trained, a.model)

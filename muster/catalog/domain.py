@@ -30,8 +30,6 @@ def _written(coefficients: DataFrame) -> DataFrame:
     return coefficients.select(*[F.round(c, 4).alias(c) for c in coefficients.columns])
 
 
-FAMILY = ["single", "couple", "parted", "bereft"]
-
 # Schemas of the bundled tables, so that opening one starts no inference job.
 RAW = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
@@ -183,7 +181,6 @@ class Domain:
         k = F.col("c_custkey")
         amount = "decimal(10,2)"
         grades = F.array(*[F.lit(g) for g in sorted(GRADE_LABELS)], F.lit(None))
-        family = F.array(*[F.lit(s) for s in FAMILY])
         return self.raw("customer").join(days, F.col("o_custkey") == k, "left").select(
             k.alias("matricule"),
             F.initcap("c_mktsegment").alias("first_name"),
@@ -196,7 +193,7 @@ class Domain:
             F.when(k % 19 == 0, 0).otherwise(F.col("c_acctbal")).cast(amount).alias("salaire_base"),
             F.when(k % 5 != 0, k % 300).cast(amount).alias("indemnite_residence"),
             ((k % 100) * 0.5).cast(amount).alias("indemnite_transport"),
-            F.get(family, (k % 4).cast("int")).alias("situation_familiale"),
+            F.col("c_mktsegment").alias("situation_familiale"),
             (k % 5).cast("int").alias("nombre_enfants"),
             F.col("first_day").alias("date_joined"),
             F.when(k % 9 != 0, F.date_add("first_day", 365)).alias("date_titularisation"),
@@ -306,7 +303,7 @@ class Domain:
             .otherwise(F.concat(_text(k % 5000), F.lit(".25"))).alias("salaire_base"),
             F.when(k % 43 == 0, "10d").otherwise("").alias("indemnite_residence"),
             F.when(k % 29 == 0, "1e2").when(k % 29 == 1, "-3").otherwise(" ").alias("indemnite_transport"),
-            F.lit(FAMILY[1]).alias("situation_familiale"),
+            F.col("p_brand").alias("situation_familiale"),
             F.when(k % 31 == 0, "two").when(k % 31 == 1, "3").when(k % 31 == 2, "99999999999").alias("nombre_enfants"),
             F.when(k % 47 == 0, "yesterday").otherwise("2001-1-15").alias("date_joined"),
             F.when(k % 37 == 0, "soon").otherwise("").alias("date_titularisation"),
@@ -326,7 +323,7 @@ class Domain:
             F.when(k % 43 == 0, "-1").otherwise(F.concat(_text(k % 5000), F.lit(".5"))).alias("salaire_base"),
             F.lit("10").alias("indemnite_residence"),
             F.lit("").alias("indemnite_transport"),
-            F.lit(FAMILY[3]).alias("situation_familiale"),
+            F.col("o_orderstatus").alias("situation_familiale"),
             F.when(k % 2 == 0, "2").alias("nombre_enfants"),
             F.lit("1995-02-03").alias("date_joined"),
             F.lit("").alias("date_titularisation"),

@@ -133,8 +133,7 @@ VIEWS["v_employees"] = """
       cast(case when c_custkey % 19 = 0 then 0 else c_acctbal end as decimal(10,2)) as salaire_base,
       cast(case when c_custkey % 5 <> 0 then c_custkey % 300 end as decimal(10,2)) as indemnite_residence,
       cast((c_custkey % 100) * 0.5 as decimal(10,2)) as indemnite_transport,
-      case c_custkey % 4 when 0 then 'single' when 1 then 'couple' when 2 then 'parted' else 'bereft' end
-        as situation_familiale,
+      c_mktsegment as situation_familiale,
       c_custkey % 5 as nombre_enfants,
       cast(first_day as date) as date_joined,
       case when c_custkey % 9 <> 0 then cast(first_day as date) + 365 end as date_titularisation,
@@ -373,7 +372,7 @@ VIEWS["v_intake_forms"] = """
         else (p_partkey % 5000) || '.25' end as salaire_base,
       case when p_partkey % 43 = 0 then '10d' else '' end as indemnite_residence,
       case p_partkey % 29 when 0 then '1e2' when 1 then '-3' else ' ' end as indemnite_transport,
-      'couple' as situation_familiale,
+      p_brand as situation_familiale,
       case p_partkey % 31 when 0 then 'two' when 1 then '3' when 2 then '99999999999' end as nombre_enfants,
       case when p_partkey % 47 = 0 then 'yesterday' else '2001-1-15' end as date_joined,
       case when p_partkey % 37 = 0 then 'soon' else '' end as date_titularisation
@@ -386,7 +385,7 @@ VIEWS["v_edit_forms"] = """
       case when o_orderkey % 4 = 0 then '' else 'B' end as grade, (o_orderkey % 13)::varchar as echelon,
       case when o_orderkey % 53 = 0 then 'high' else '' end as indice, o_orderpriority as corps,
       case when o_orderkey % 43 = 0 then '-1' else (o_orderkey % 5000) || '.5' end as salaire_base,
-      '10' as indemnite_residence, '' as indemnite_transport, 'bereft' as situation_familiale,
+      '10' as indemnite_residence, '' as indemnite_transport, o_orderstatus as situation_familiale,
       case when o_orderkey % 2 = 0 then '2' end as nombre_enfants, '1995-02-03' as date_joined,
       '' as date_titularisation, case when o_orderkey % 47 = 0 then '2001-07-01' else '' end as date_left
     from orders"""

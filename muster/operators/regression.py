@@ -1,9 +1,4 @@
-"""Salary models on MLlib.
-
-Feature frames are series (entities x periods), so training data is small next to the raw tables;
-what has to scale is the rollup before and the scoring after. Boosting runs its rounds one after the
-other, whatever the cluster.
-"""
+"""Salary models: lines on MLlib, boosted trees and forests as tables of nodes."""
 
 from __future__ import annotations
 
@@ -13,13 +8,16 @@ from typing import Any
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from muster.operators import boosting, forest
+from muster.operators.boosting import Boosting
+from muster.operators.forest import Forest
 from muster.operators.projection import TrainedModel
+from muster.operators.trees import TreeModel
 from muster.schemas import EXPORT_FEATURES, MONTHLY_FEATURES, TARGET, YEARLY_FEATURES
-from muster.session import checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -35,27 +33,17 @@ class ModelSpec:
         return ModelSpec(self.kind, self.estimator, self.features, {**self.params, **params})
 
 
-# Hyper-parameters of the salary models. MLlib has no L1/L2 penalty for trees and draws
-# its feature subset per node; minInstancesPerNode is the minimum child weight for squared error.
-# maxMemoryInMB lets a forest split a whole level in one pass over the data. maxBins is the number of
-# candidate splits of a feature; the default of 32 would coarsen pay and headcount.
-MAX_BINS = 256
+# Hyper-parameters of the salary models.
 LINEAR = ModelSpec("monthly", LinearRegression, (), {"solver": "normal", "regParam": 0.0})
-FOREST = ModelSpec("monthly", RandomForestRegressor, (), {
-    "numTrees": 200, "maxDepth": 30, "featureSubsetStrategy": "all", "seed": 42, "maxMemoryInMB": 1024,
-    "maxBins": MAX_BINS,
-})
-GBT_MONTHLY = ModelSpec("monthly", GBTRegressor, MONTHLY_FEATURES, {
-    "maxIter": 800, "stepSize": 0.05, "maxDepth": 5, "minInstancesPerNode": 2,
-    "subsamplingRate": 0.85, "featureSubsetStrategy": "0.85", "seed": 42, "maxBins": MAX_BINS,
+FOREST = ModelSpec("monthly", Forest, (), {"trees": 200, "seed": 42})
+GBT_MONTHLY = ModelSpec("monthly", Boosting, MONTHLY_FEATURES, {
+    "rounds": 800, "rate": 0.05, "depth": 5, "child_weight": 2.0, "rows": 0.85, "columns": 0.85, "alpha": 0.05, "lam": 0.5,
 })
-GBT_EXPORT = ModelSpec("monthly", GBTRegressor, EXPORT_FEATURES, {
-    "maxIter": 300, "stepSize": 0.05, "maxDepth": 6,
-    "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42, "maxBins": MAX_BINS,
+GBT_EXPORT = ModelSpec("monthly", Boosting, EXPORT_FEATURES, {
+    "rounds": 300, "rate": 0.05, "depth": 6, "rows": 0.8, "columns": 0.8,
 })
-GBT_YEARLY = ModelSpec("yearly", GBTRegressor, YEARLY_FEATURES, {
-    "maxIter": 100, "stepSize": 0.1, "maxDepth": 3, "minInstancesPerNode": 2,
-    "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42, "maxBins": MAX_BINS,
+GBT_YEARLY = ModelSpec("yearly", Boosting, YEARLY_FEATURES, {
+    "rounds": 100, "rate": 0.1, "depth": 3, "child_weight": 2.0, "rows": 0.8, "columns": 0.8, "alpha": 0.1, "lam": 1.0,
 })
 
 
@@ -94,27 +82,25 @@ def scaling_stage(train: DataFrame, features: Sequence[str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")
 
 
-def fit(
-    train: DataFrame, spec: ModelSpec, scale_on: DataFrame | None = None, tasks: int | None = None,
-) -> TrainedModel:
-    """Fit scaler, assembler and regressor as one pipeline.
+def fit(train: DataFrame, spec: ModelSpec, scale_on: DataFrame | None = None, path: str | None = None) -> TrainedModel | TreeModel:
+    """Fit scaler, assembler and regressor as one pipeline, or trees, which need neither.
 
-    The scaler learns from the training rows; pass the whole frame as ``scale_on`` to scale on it. Trees run
-    several jobs per level or round; ``tasks`` packs a small frame into that many tasks for them. The rows a
-    round draws depend on the tasks, so the same number gives the same model.
+    The scaler learns from the training rows; pass the whole frame as ``scale_on`` to scale on it (trees split between values, so
+    scaling changes none of them). ``path`` keeps the rounds of boosting for a job that is started again.
     """
-    spark = train.sparkSession
-    checkpoint_dir(spark)
     features = list(spec.features) or other_columns(train)
+    if spec.estimator is Boosting:
+        return boosting.fit(train, Boosting(**spec.params), features, TARGET, spec.kind, path)
+    if spec.estimator is Forest:
+        return forest.fit(train, Forest(**spec.params), features, TARGET, spec.kind)
     rows = train.select(*features, F.col(TARGET).cast("double").alias(TARGET)).persist()
     try:
-        packed = rows if tasks is None else rows.coalesce(tasks)
         stages = [
             scaling_stage(rows if scale_on is None else scale_on, features),
             VectorAssembler(inputCols=[f"scaled_{c}" for c in features], outputCol="features"),
             spec.estimator(featuresCol="features", labelCol=TARGET, **spec.params),
         ]
-        return TrainedModel(spec.kind, Pipeline(stages=stages).fit(packed), features)
+        return TrainedModel(spec.kind, Pipeline(stages=stages).fit(rows), features)
     finally:
         rows.unpersist()
 
@@ -128,13 +114,9 @@ def coefficients(spark: SparkSession, model: TrainedModel) -> DataFrame:
     )
 
 
-def rank_importance(spark: SparkSession, model: TrainedModel) -> DataFrame:
-    """Features of a tree model by importance, highest first."""
-    scores = model.pipeline.stages[-1].featureImportances.toArray()
-    pairs = [(f, float(s)) for f, s in zip(model.features, scores)]
-    return spark.createDataFrame(pairs, "feature string, importance double").orderBy(
-        F.desc("importance"), "feature"
-    )
+def rank_importance(spark: SparkSession, model: TreeModel) -> DataFrame:
+    """Features of a tree model by their part of all gain, highest first."""
+    return model.importance(spark).orderBy(F.desc("importance"), "feature")
 
 
 def fit_line(df: DataFrame, x: str, y: str = TARGET) -> DataFrame:

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from muster.operators import joins, regression, rollups, scoring, series
 from muster.operators.projection import Predictor, TrainedModel
 from muster.operators.regression import ModelSpec
+from muster.operators.trees import TreeModel
 from muster.schemas import TARGET
 from muster.sources.models import save_model
 
 
 @dataclass(frozen=True)
 class Training:
-    model: TrainedModel
+    model: TrainedModel | TreeModel
     scored: DataFrame
     metrics: DataFrame
 
@@ -54,10 +55,10 @@ def evaluate(rows: DataFrame, model: Predictor) -> DataFrame:
 
 
 def train_yearly(
-    frame: DataFrame, spec: ModelSpec = regression.GBT_YEARLY, tasks: int | None = None,
+    frame: DataFrame, spec: ModelSpec = regression.GBT_YEARLY, path: str | None = None,
 ) -> Training:
-    """Fit and evaluate on the same rows; flat metrics."""
-    model = regression.fit(frame, spec, tasks=tasks)
+    """Fit and evaluate on the same rows; flat metrics. ``path`` lets a job that was killed go on where it ended."""
+    model = regression.fit(frame, spec, path=path)
     scored = evaluate(frame, model)
     metrics = scoring.regression_metrics(scored).select("r2", "mse", "rmse", "mae", "mape")
     return Training(model, scored, metrics)
@@ -65,16 +66,16 @@ def train_yearly(
 
 def train_holdout(
     frame: DataFrame, spec: ModelSpec, chronological: bool = True, scale_on_all: bool = False,
-    tasks: int | None = None,
+    path: str | None = None,
 ) -> Training:
-    """Fit on four fifths and evaluate on the rest; nested monthly and yearly metrics."""
+    """Fit on four fifths and evaluate on the rest; nested monthly and yearly metrics. ``path`` as in ``train_yearly``."""
     order = ["Year", "Month"]
     halves = (
         series.split_chronological(frame, order) if chronological
         else series.split_random(frame, ["entity", *order])
     )
     train = halves.filter("split = 'train'")
-    model = regression.fit(train, spec, scale_on=frame if scale_on_all else None, tasks=tasks)
+    model = regression.fit(train, spec, scale_on=frame if scale_on_all else None, path=path)
     scored = evaluate(halves.filter("split = 'test'"), model)
     yearly = scoring.predictions_to_yearly(scored.withColumnRenamed("predicted", "predicted_salary"))
     monthly_part = scoring.regression_metrics(scored).select(F.struct("mse", "rmse", "mae", "r2").alias("monthly"))

@@ -86,7 +86,7 @@ def test_ols_residuals_are_orthogonal(spark, frame):
 
 
 def test_saved_model_predicts_the_same(spark, frame, tmp_path):
-    trained = training.train_yearly(frame, GBT_YEARLY.with_params(maxIter=3))
+    trained = training.train_yearly(frame, GBT_YEARLY.with_params(rounds=3))
     path = str(tmp_path / "yearly")
     training.train_and_save(trained, path)
     loaded = models.load_model(spark, path, "")
@@ -103,7 +103,7 @@ def test_saved_model_predicts_the_same(spark, frame, tmp_path):
 
 
 def test_fallback_to_the_monthly_model(spark, domain, tmp_path):
-    spec = regression.GBT_MONTHLY.with_params(maxIter=2)
+    spec = regression.GBT_MONTHLY.with_params(rounds=2)
     trained = training.train_holdout(domain.monthly_training(), spec, scale_on_all=True)
     path = str(tmp_path / "monthly")
     training.train_and_save(trained, path)
