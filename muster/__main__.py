@@ -17,8 +17,8 @@ from muster.plans import training
 from muster.plans.backtest import backtest
 from muster.plans.dashboard import dashboard, employee_listing, listing_choices
 from muster.plans.predict import forecast_from_last_known, keep_history, predict_batch
-from muster.plans.records import add_employees, audit, edit_employees, terminate_employees
-from muster.sources import files, models, tables
+from muster.plans.records import JOBS, audit, change_snapshot
+from muster.sources import files, models, snapshots, tables
 from muster.sources.documents import chart_json, parse_result
 
 SPECS = {
@@ -88,21 +88,28 @@ def _predict(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _changed(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Forms or requests over a stored snapshot: the new snapshot and what was refused."""
-    staff = tables.scan_table(spark, "employees", a.employees)
+    """Forms or requests over stored employees, and what was refused. A versioned snapshot gets its next version in place; of a plain
+    table a new one is written."""
     rows = files.read_forms(spark, a.forms)
-    done = {"add": add_employees, "edit": edit_employees, "terminate": terminate_employees}[a.job](staff, rows)
+    if snapshots.newest(spark, a.employees):
+        _write(change_snapshot(spark, a.employees, a.job, rows), a.out, "refused")
+        return
+    done = JOBS[a.job](tables.scan_table(spark, "employees", a.employees), rows)
     tables.load_table(done.employees, "employees", f"{a.out}/employees")
     _write(done.refused, a.out, "refused")
 
 
 def _record(spark: SparkSession, a: argparse.Namespace) -> None:
     """Recruitments or terminations added to their table; the employees are not changed."""
-    tables.append_movements(files.read_records(spark, a.records, a.table), a.table, a.path, F.localtimestamp())
+    tables.append_movements(files.read_records(spark, a.records, a.table), a.table, a.path, F.localtimestamp(), a.batch)
 
 
 def _seed(spark: SparkSession, a: argparse.Namespace) -> None:
-    tables.load_table(files.read_records(spark, a.records, a.table), a.table, a.path)
+    rows = files.read_records(spark, a.records, a.table)
+    if a.buckets:
+        snapshots.create(rows, a.table, a.path, "matricule" if a.table == "employees" else "id", a.buckets)
+    else:
+        tables.load_table(rows, a.table, a.path)
 
 
 def _audit(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -163,7 +170,10 @@ def main(argv: list[str] | None = None) -> None:
     for change in ("add", "edit", "terminate"):
         job(change, _changed, "employees", "forms", "out")
     for store, run in (("record", _record), ("seed", _seed)):
-        job(store, run, "records", "path").add_argument("--table", required=True, choices=sorted(tables.SCHEMAS))
+        own = job(store, run, "records", "path")
+        own.add_argument("--table", required=True, choices=sorted(tables.SCHEMAS))
+        own.add_argument("--batch", help="id of the batch: its rows are added once, however often the job is run")
+        own.add_argument("--buckets", type=int, default=0, help="seed a versioned snapshot of so many buckets")
     job("audit", _audit, "employees", "out", optional=("users", "recruitment", "termination", "history"))
     job("choices", _choices, "employees", "out")
     job("history", _history, "history", "out").add_argument("--user", type=int, required=True)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from muster.catalog.domain import Domain
 from muster.catalog.q_sources import EMPLOYEE_SQL
-from muster.catalog.registry import plain, query
+from muster.catalog.registry import ORACLE_BODIES, plain, query
 from muster.operators import changes, intake
 from muster.operators.changes import EDITABLE
 from muster.session import workspace
-from muster.sources import tables
+from muster.plans import records
+from muster.sources import snapshots, tables
 
 
 @query("apply_inserts", f"""
@@ -95,6 +96,13 @@ def apply_deletes(d: Domain) -> DataFrame:
     return plain(changes.apply_deletes(d.employees(), d.delete_keys()))
 
 
+def _late(d: Domain) -> DataFrame:
+    return d.raw("orders").filter("o_orderstatus = 'P'").select(
+        (F.col("o_orderkey") + 1_000_000_000).alias("id"), F.col("o_custkey").alias("matricule"),
+        F.col("o_orderdate").alias("recruitment_date"), F.lit("X").alias("grade"), F.lit("late").alias("corps"),
+    )
+
+
 @query("append_movements", """
     select id, matricule, strftime(recruitment_date, '%Y-%m-%d') as recruitment_date, grade, corps, notes from v_recruitment
     union all
@@ -103,9 +111,38 @@ def apply_deletes(d: Domain) -> DataFrame:
 def append_movements(d: Domain) -> DataFrame:
     path = workspace(d.spark, "movements")
     tables.append_movements(d.recruitment(), "recruitment", path)
-    late = d.raw("orders").filter("o_orderstatus = 'P'").select(
-        (F.col("o_orderkey") + 1_000_000_000).alias("id"), F.col("o_custkey").alias("matricule"),
-        F.col("o_orderdate").alias("recruitment_date"), F.lit("X").alias("grade"), F.lit("late").alias("corps"),
-    )
-    stored = tables.append_movements(late, "recruitment", path)
+    stored = tables.append_movements(_late(d), "recruitment", path)
+    return plain(stored.select("id", "matricule", "recruitment_date", "grade", "corps", "notes"))
+
+
+def _published(d: Domain, job: str, rows: DataFrame) -> DataFrame:
+    """Employees after a batch of forms on a versioned snapshot of them."""
+    path = workspace(d.spark, "snapshot")
+    snapshots.create(d.employees(), "employees", path, buckets=16)
+    records.change_snapshot(d.spark, path, job, rows)
+    return plain(snapshots.read(d.spark, "employees", path))
+
+
+@query("publish_inserts", ORACLE_BODIES["apply_inserts"])
+def publish_inserts(d: Domain) -> DataFrame:
+    return _published(d, "add", d.intake_forms())
+
+
+@query("publish_full_update", ORACLE_BODIES["apply_full_update"])
+def publish_full_update(d: Domain) -> DataFrame:
+    return _published(d, "edit", d.edit_forms())
+
+
+@query("publish_terminations", ORACLE_BODIES["apply_terminations"])
+def publish_terminations(d: Domain) -> DataFrame:
+    return _published(d, "terminate", d.termination_requests())
+
+
+@query("append_movements_once", ORACLE_BODIES["append_movements"])
+def append_movements_once(d: Domain) -> DataFrame:
+    """Two batches, of which the second is run three times."""
+    path = workspace(d.spark, "movement-batches")
+    tables.append_movements(d.recruitment(), "recruitment", path, batch="first")
+    for _ in range(3):
+        stored = tables.append_movements(_late(d), "recruitment", path, batch="late")
     return plain(stored.select("id", "matricule", "recruitment_date", "grade", "corps", "notes"))

@@ -14,6 +14,8 @@ from muster.catalog.views_sql import VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: SQL twins as registered, for queries that must give the same rows in another way.
+ORACLE_BODIES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -21,6 +23,7 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Domain], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: fn(Domain(spark, sf_dir))
         if sql is not None:
+            ORACLE_BODIES[name] = sql
             ORACLES[name] = with_views(sql)
         return fn
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.operators import changes, intake
 from muster.operators.joins import orphans
 from muster.operators.rollups import duplicate_keys, row_counts
 from muster.schemas import ALREADY_TERMINATED, KEY_TAKEN, NOT_FOUND
+from muster.session import stored
+from muster.sources import snapshots
 
 
 @dataclass(frozen=True)
@@ -62,6 +64,27 @@ def terminate_employees(employees: DataFrame, requests: DataFrame) -> Changed:
     return Changed(changes.apply_terminations(employees, keyed), _reasons(refused))
 
 
+JOBS = {"add": add_employees, "edit": edit_employees, "terminate": terminate_employees}
+
+
+def change_snapshot(spark: SparkSession, path: str, job: str, rows: DataFrame) -> DataFrame:
+    """One of ``JOBS`` on a stored snapshot of employees: publishes its next version and returns what was refused.
+
+    Only buckets that a form's matricule falls into are read and written; a form without a usable matricule touches none.
+    """
+    after = snapshots.newest(spark, path)
+    key = F.col("matricule").try_cast("bigint").alias("matricule")
+    refused: list[DataFrame] = []
+
+    def apply(employees: DataFrame) -> DataFrame:
+        done = JOBS[job](employees, rows)
+        refused.append(stored(done.refused, "refused"))
+        return done.employees
+
+    version = snapshots.change(spark, "employees", path, rows.select(key), apply, after)
+    return refused[0] if version != after else JOBS[job](snapshots.read(spark, "employees", path), rows).refused
+
+
 def audit(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Row counts, repeated employee keys, and keys of other tables that no employee or user has."""
     staff = tables["employees"]

@@ -10,13 +10,16 @@ from pyspark.sql import SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder ``spark.checkpoint.dir`` names; where it is unset, one in the session's warehouse.
 
-    Both are shared by all executors of a cluster. No folder of one machine is ever made up.
+    The named folder is shared by all executors of a cluster. A warehouse is so unless it is a local folder, which does on one
+    machine only: on a cluster that is an error. No folder of one machine is ever made up.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
         if not warehouse:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir: {warehouse} is a folder of one machine")
         named = f"{warehouse.rstrip('/')}/_muster"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)

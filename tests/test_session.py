@@ -9,10 +9,11 @@ import pytest
 from muster.session import checkpoint_dir, workspace
 
 
-def session(**conf):
+def session(master="yarn", **conf):
     own = SimpleNamespace(folder=None)
     context = SimpleNamespace(
-        getCheckpointDir=lambda: own.folder, setCheckpointDir=lambda path: setattr(own, "folder", path))
+        getCheckpointDir=lambda: own.folder, setCheckpointDir=lambda path: setattr(own, "folder", path),
+        master=master)
     return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: conf.get(key, default)), sparkContext=context)
 
 
@@ -29,3 +30,10 @@ def test_then_the_warehouse():
 def test_else_it_raises():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         workspace(session(), "t")
+
+
+def test_a_local_warehouse_does_on_one_machine_only():
+    conf = {"spark.sql.warehouse.dir": "file:/tmp/house"}
+    assert checkpoint_dir(session("local[8]", **conf)) == "file:/tmp/house/_muster"
+    with pytest.raises(ValueError, match="one machine"):
+        checkpoint_dir(session(**conf))
