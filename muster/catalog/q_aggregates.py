@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster.catalog.domain import Domain
-from muster.catalog.registry import plain, query, sig
+from muster.catalog.registry import ORACLE_BODIES, plain, query, sig
 from muster.catalog.views_sql import money as money_sql
 from muster.catalog.views_sql import sig as sig_sql
-from muster.operators import clean, rollups, scoring
+from muster.operators import audits, clean, kept, rollups, scoring
+from muster.session import workspace
+from muster.sources.documents import chart_series
 
 
 @query("yearly_salary", """
@@ -179,10 +183,59 @@ def movement_counts(d: Domain) -> DataFrame:
     union all select 'recruitment.matricule', matricule::varchar, count(*) from v_recruitment group by matricule
       having count(*) > 1""")
 def duplicate_keys(d: Domain) -> DataFrame:
-    audits = {
-        "termination.id": rollups.duplicate_keys(d.termination(), "id"),
-        "users.username": rollups.duplicate_keys(d.users(), "username"),
-        "recruitment.matricule": rollups.duplicate_keys(d.recruitment(), "matricule"),
+    return _duplicates(d, rollups.duplicate_keys)
+
+
+def _duplicates(d: Domain, duplicate_keys: Callable[..., DataFrame]) -> DataFrame:
+    found = {
+        "termination.id": duplicate_keys(d.termination(), "id"),
+        "users.username": duplicate_keys(d.users(), "username"),
+        "recruitment.matricule": duplicate_keys(d.recruitment(), "matricule"),
     }
-    named = [df.select(F.lit(rule).alias("rule"), "key", "rows") for rule, df in audits.items()]
+    named = [df.select(F.lit(rule).alias("rule"), "key", "rows") for rule, df in found.items()]
     return plain(named[0].unionByName(named[1]).unionByName(named[2]))
+
+
+@query("duplicate_keys_by_slot", ORACLE_BODIES["duplicate_keys"])
+def duplicate_keys_by_slot(d: Domain) -> DataFrame:
+    """The same audit with unique rows left where they are."""
+    return _duplicates(d, audits.duplicate_keys)
+
+
+def _kept(d: Domain) -> DataFrame:
+    """Figures after the monthly rows came in three batches, of which one came twice."""
+    path, sources = workspace(d.spark, "parts"), d.reduced().monthly_sources()
+    for batch in (0, 2, 1, 2):
+        own = [df.filter(F.col("Month") % 3 == batch) for df in sources]
+        kept.add(d.spark, path, f"months-{batch}", salary=own[0], departures=own[1], recruitments=own[2])
+    return kept.merged(d.spark, path)
+
+
+@query("kept_yearly_salary", ORACLE_BODIES["yearly_salary"])
+def kept_yearly_salary(d: Domain) -> DataFrame:
+    return kept.yearly_salary(_kept(d)).withColumn("mass_salary", F.round("mass_salary", 2))
+
+
+@query("kept_yearly_departures", ORACLE_BODIES["yearly_departures"])
+def kept_yearly_departures(d: Domain) -> DataFrame:
+    return kept.yearly_departures(_kept(d))
+
+
+@query("kept_yearly_recruitments", ORACLE_BODIES["yearly_recruitments"])
+def kept_yearly_recruitments(d: Domain) -> DataFrame:
+    return kept.yearly_recruitments(_kept(d))
+
+
+@query("kept_dashboard_summary", ORACLE_BODIES["dashboard_summary"])
+def kept_dashboard_summary(d: Domain) -> DataFrame:
+    return rollups.dashboard_summary(kept.historical(_kept(d)))
+
+
+@query("kept_chart_series", f"""
+    select entity, "year"::varchar as label, unnest(['salary', 'employees', 'departures', 'recruitments',
+        'avg_salary_by_year', 'departures_by_year']) as series,
+      unnest([mass_salary, number_employees::double, departures::double, recruitment::double,
+        {money_sql('mass_salary / number_employees')}, departures::double]) as value
+    from v_historical""")
+def kept_chart_series(d: Domain) -> DataFrame:
+    return chart_series(kept.historical(_kept(d)))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from muster.catalog.domain import Domain
 from muster.catalog.registry import plain, query
-from muster.operators import clean, employees, intake, ranking, scenarios
+from muster.operators import clean, employees, intake, ranking, scenarios, search
 from muster.plans.dashboard import employee_listing
 from muster.schemas import SCENARIO_FIELDS
+from muster.session import workspace
+from muster.sources import snapshots
 
 
 @query("search_employees", """
@@ -18,7 +20,7 @@ from muster.schemas import SCENARIO_FIELDS
     union all
     select matricule, first_name, last_name from v_employees
     where lower(first_name) like '%7%3%' or lower(last_name) like '%7%3%' or matricule::varchar like '%7%3%'""")
-def search(d: Domain) -> DataFrame:
+def search_scan(d: Domain) -> DataFrame:
     staff = d.employees()
     found = employees.search_employees(staff, " B_ILD ").unionByName(employees.search_employees(staff, "7%3"))
     return found.select("matricule", "first_name", "last_name")
@@ -157,3 +159,19 @@ def account_format(d: Domain) -> DataFrame:
     from v_users u left join v_employees e on u.matricule = e.matricule""")
 def user_active(d: Domain) -> DataFrame:
     return employees.user_active(d.users(), d.employees()).select("id", "matricule", "active")
+
+
+_FOUND = """select '{0}' as term, matricule, first_name, last_name from v_employees
+    where lower(first_name) like '%{0}%' or lower(last_name) like '%{0}%' or matricule::varchar like '%{0}%'"""
+
+
+@query("search_employees_indexed", " union all ".join(_FOUND.format(t) for t in ("uild", "00012", "#0000", "b_ild", "73")))
+def search_indexed(d: Domain) -> DataFrame:
+    """Terms looked up in trigram postings of a snapshot, and two that need the scan."""
+    path, stored = workspace(d.spark, "staff"), workspace(d.spark, "postings")
+    snapshots.create(d.employees(), "employees", path, buckets=16)
+    found = None
+    for term in ("uild", "00012", "#0000", "b_ild", "73"):
+        own = search.search_snapshot(d.spark, path, stored, term.upper()).select(F.lit(term).alias("term"), "matricule", "first_name", "last_name")
+        found = own if found is None else found.unionByName(own)
+    return found

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster.catalog.domain import Domain
-from muster.catalog.registry import plain, query, sig
+from muster.catalog.registry import ORACLE_BODIES, plain, query, sig
 from muster.catalog.views_sql import sig as sig_sql
-from muster.operators import joins
+from muster.operators import audits, joins
 from muster.operators.projection import project_yearly
 from muster.plans.backtest import bias_factor
 
@@ -78,17 +80,27 @@ def movement_join(d: Domain) -> DataFrame:
       union all select 'prediction_history.user_id', user_id, count(*) from v_history
         where user_id not in (select id from v_users) group by 2)""")
 def fk_orphans(d: Domain) -> DataFrame:
+    return _orphans(d, joins.orphans)
+
+
+def _orphans(d: Domain, orphans: Callable[..., DataFrame]) -> DataFrame:
     staff = d.raw("customer").select(F.col("c_custkey").alias("matricule"))
-    audits = {
-        "users.matricule": joins.orphans(d.users(), "matricule", staff, "matricule"),
-        "recruitment.matricule": joins.orphans(d.recruitment(), "matricule", staff, "matricule"),
-        "termination.matricule": joins.orphans(d.termination(), "matricule", staff, "matricule"),
-        "prediction_history.user_id": joins.orphans(d.history(), "user_id", d.users(), "id"),
+    found = {
+        "users.matricule": orphans(d.users(), "matricule", staff, "matricule"),
+        "recruitment.matricule": orphans(d.recruitment(), "matricule", staff, "matricule"),
+        "termination.matricule": orphans(d.termination(), "matricule", staff, "matricule"),
+        "prediction_history.user_id": orphans(d.history(), "user_id", d.users(), "id"),
     }
-    named = [df.select(F.lit(fk).alias("fk"), "key", "rows") for fk, df in audits.items()]
+    named = [df.select(F.lit(fk).alias("fk"), "key", "rows") for fk, df in found.items()]
     return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
 
 
+@query("fk_orphans_by_bitmap", ORACLE_BODIES["fk_orphans"])
+def fk_orphans_by_bitmap(d: Domain) -> DataFrame:
+    """The same audit with clean rows left where they are."""
+    return _orphans(d, audits.orphans)
+
+
 @query("apply_scalar", f"""
     select scenario_id, "Year", {sig_sql('"Total_Salary" * factor', 9)} as "Total_Salary" from v_projected,
       (select 1 - avg(case when actual > 0 then (predicted - actual) / actual else 0.0::double end) as factor from v_compared)""")

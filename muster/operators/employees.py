@@ -85,7 +85,7 @@ def search_employees(employees: DataFrame, term: str | None) -> DataFrame:
     Case folds for A-Z only and ``%`` / ``_`` in the term act as wildcards. The escape character is
     one that cannot be typed, so a backslash stands for itself.
     """
-    term = _clean_argument(term)
+    term = clean_argument(term)
     if not term:
         return employees
     pattern = ascii_lower(literal(f"%{term}%"))
@@ -100,7 +100,7 @@ def filter_corps_grade(
     employees: DataFrame, corps: str | None = None, grade: str | None = None,
 ) -> DataFrame:
     for name, value in (("corps", corps), ("grade", grade)):
-        value = _clean_argument(value)
+        value = clean_argument(value)
         if value:
             employees = employees.filter(F.col(name) == value)
     return employees
@@ -151,7 +151,7 @@ def user_active(users: DataFrame, employees: DataFrame) -> DataFrame:
     )
 
 
-def _clean_argument(value: str | None) -> str:
+def clean_argument(value: str | None) -> str:
     """A filter argument goes through the same strip-and-escape as the stored text."""
     value = (value or "").strip(WHITESPACE)
     for char, entity in HTML_ENTITIES.items():

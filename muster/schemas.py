@@ -126,3 +126,11 @@ NOT_FOUND = "Employee not found"
 ALREADY_TERMINATED = "Employee is already terminated"
 DATE_REQUIRED = "Termination date is required"
 LEFT_BEFORE_HIRE = "Termination date cannot be before hire date"
+
+PAY_PARTS = _struct(
+    ("entity", _I, True),
+    ("Year", _I, True),
+    ("mass_salary", T.DecimalType(38, 4), True),
+    ("staff_sum", T.DoubleType(), True),
+    *[(c, _L, True) for c in ("staff_rows", "staff_most", "pay_rows", "departures", "departure_rows", "recruitments", "recruitment_rows")],
+)

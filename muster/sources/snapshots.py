@@ -92,6 +92,17 @@ def read(spark: SparkSession, name: str, path: str, version: int | None = None)
     return _read(spark, name, path, _files(manifest)[0])
 
 
+def read_buckets(spark: SparkSession, name: str, path: str, keys: DataFrame, version: int | None = None) -> DataFrame:
+    """The rows of the buckets that ``keys`` fall into; no other file is read."""
+    files, buckets, key = _files(_manifest(spark, path, newest(spark, path) if version is None else version))
+    touched = _touched(keys, key, buckets)
+    return _read(spark, name, path, {b: files[b] for b in touched})
+
+
+def _touched(keys: DataFrame, key: str, buckets: int) -> list[int]:
+    return [r[0] for r in keys.filter(F.col(key).isNotNull()).select(_bucket(key, buckets).alias("b")).distinct().collect()]
+
+
 def change(
     spark: SparkSession, name: str, path: str, keys: DataFrame, apply: Callable[[DataFrame], DataFrame], after: int | None = None,
 ) -> int:
@@ -104,7 +115,7 @@ def change(
     if after is not None and after != version:
         raise ValueError(f"{path} is at version {version}, not {after}")
     files, buckets, key = _files(_manifest(spark, path, version))
-    touched = [r[0] for r in keys.filter(F.col(key).isNotNull()).select(_bucket(key, buckets).alias("b")).distinct().collect()]
+    touched = _touched(keys, key, buckets)
     if not touched:
         return version
     before = _read(spark, name, path, {b: files[b] for b in touched})

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from muster.schemas import PREDICTION_HISTORY, RECRUITMENT, SCENARIO_FIELDS, TERMINATION, USERS, EMPLOYEES
+from muster.schemas import PAY_PARTS, PREDICTION_HISTORY, RECRUITMENT, SCENARIO_FIELDS, TERMINATION, USERS, EMPLOYEES
 
 SCHEMAS = {
     "employees": EMPLOYEES,
@@ -15,6 +15,7 @@ SCHEMAS = {
     "recruitment": RECRUITMENT,
     "termination": TERMINATION,
     "prediction_history": PREDICTION_HISTORY,
+    "pay_parts": PAY_PARTS,
 }
 
 
