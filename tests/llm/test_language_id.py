@@ -16,10 +16,9 @@ def symbols(text):
     """Plain version: letters as symbols, runs of anything else after a letter as one 0."""
     out = []
     for c in text:
-        if c.isalpha() and ord(c) < 0x32000:
-            low = ord(c.lower()[0])
-            out.append(low - 96 if 97 <= low <= 122 else 27 + low % 5)
-        elif out and out[-1]:
+        if c.isalpha():
+            out.append(c.lower()[0])
+        elif out and out[-1] != 0:
             out.append(0)
     return out
 
@@ -48,7 +47,7 @@ class Plain:
     def p(self, gram):
         n = len(gram)
         if n == 0:
-            return 1 / 32
+            return 2.0 ** -18
         context = gram[:-1]
         lower = self.p(gram[1:])
         if not self.total[n].get(context):
@@ -73,11 +72,58 @@ def test_entropies_equal_a_plain_model(spark):
     got, n, letters = li.Scorer(models)(data, offsets)
     for k, model in enumerate(plain):
         assert np.allclose(got[k], [model.entropy(t) for t in texts], atol=1e-4)
-    assert n.tolist() == [len(symbols(t)) for t in texts] and letters.tolist() == [sum(x > 0 for x in symbols(t)) for t in texts]
-    # probabilities after any context add up to 1
-    for context in ([0, 0, 0], [20, 8, 5], [30, 30, 30]):
-        key = (context[0] << 15) + (context[1] << 10) + (context[2] << 5)
-        assert math.isclose(np.exp(li.log_p(models[0], key + np.arange(32))).sum(), 1, rel_tol=1e-9)
+    assert n.tolist() == [len(symbols(t)) for t in texts] and letters.tolist() == [sum(x != 0 for x in symbols(t)) for t in texts]
+    # probabilities after any context add up to 1: over the letters shown, and the rest of 2 ** 18 equally likely ones
+    every = sorted({ord(x) if x else 0 for t in texts + [r[1] or "" for r in own] for x in symbols(t)})
+    every += [x for x in range(0x100000, 0x100000 + 10)]
+    for context in ((0, 0, 0), (ord("t"), ord("h"), ord("e")), (ord("é"), ord("é"), ord("é"))):
+        tail = np.array([context[1] << 42 | context[2] << 21 | x for x in every])
+        p = np.exp(li.log_p(models[0], tail, np.full(len(tail), context[0])))
+        assert math.isclose(p[:-10].sum() + p[-1] * (2**18 - len(every) + 10), 1, rel_tol=1e-5)
+
+
+#: Invented words, by the letters that tell languages of one script apart.
+CLOSE = {
+    "ru": "ы ъе ёлк этот что был их при мы вы ные ский", "uk": "ї іє ґанок цей що був їх при ми ви ні ський",
+    "fa": "پ چه گر ژاله است که این می از", "ar": "ال في من ها على ذلك هذا كان عن",
+    "zh": "的是不了在人有我他这中大来上国", "ja": "のはにをたがでとしれさあるい国人",
+    "sv": "och att det är på som för inte ä å ö", "de": "und dass das ist auf wie für nicht ä ü ö ß",
+}
+
+
+def invented(rng, lang, n):
+    parts = CLOSE[lang].split() if " " in CLOSE[lang] else list(CLOSE[lang])
+    return " ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(n))
+
+
+def test_languages_of_one_script_are_told_apart(spark):
+    import random
+
+    rng = random.Random(4)
+    train = [(i, invented(rng, lang, 60), lang) for lang in CLOSE for i in range(25)]
+    models = li.train(spark.createDataFrame(train, "doc_id bigint, text string, lang string"))
+    test = [(lang, invented(rng, lang, 25)) for lang in CLOSE for _ in range(10)]
+    got = li.identify(spark.createDataFrame(test, "expected string, text string"), models).collect()
+    assert sum(r.language.lang == r.expected for r in got) >= 0.97 * len(got)
+
+
+def test_letters_of_any_plane_are_letters(spark):
+    models = li.train(odd.documents(spark))
+    texts = spark.createDataFrame([("\U00032000\U00032001\U000323af",), ("\U0001f600 12",)], "text string")
+    assert [r[0] for r in li.identify(texts, models).select("language.lang").collect()][1] == "und"
+    assert [r[0] for r in li.identify(texts, models).select("language.lang").collect()][0] != "und"
+
+
+def test_a_column_of_any_name_passes(spark):
+    documents = odd.documents(spark).withColumn("_entropies", F.lit("own"))
+    out = li.identify(documents, li.train(documents))
+    assert out.filter("_entropies = 'own'").count() == documents.count()
+
+
+def test_counts_sent_on_early_add_up(spark):
+    documents = odd.documents(spark)
+    whole = sorted(tuple(r) for r in li.counted(documents, "text", "lang").collect())
+    assert sorted(tuple(r) for r in li.counted(documents, "text", "lang", most=50, block=100).collect()) == whole
 
 
 def test_odd_texts(spark):
