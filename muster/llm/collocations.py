@@ -6,8 +6,8 @@ matter. Words are 64-bit hashes of language and word, so one sort serves all lan
 1. One pass counts words per block of text, and notes every ``STEP``-th suffix. The counts make the vocabulary, which also proves
    that no two words share a hash (else the pass is run again with other hashes). The noted suffixes, sorted, give the borders
    of the routes: ranges of suffixes of about ``ROUTE`` words. Borders only steer; no count depends on them.
-2. A second pass sorts the suffixes of a block, adds equal ones up, cuts them at the borders and sends each piece, compressed,
-   to its route. A leading word, or word pair, that begins a third of all suffixes is cut by the words after it; equal suffixes
+2. A second pass sorts the suffixes of a block (but those of a single word, whose count the vocabulary has), adds equal ones up,
+   cuts them at the borders and sends each piece, compressed, to its route. A leading word, or word pair, that begins a third of all suffixes is cut by the words after it; equal suffixes
    are one row a block however many there are.
 3. A route is sorted by a three-way quicksort: a partition is cut into what is less than, equal to and greater than a pivot in one
    word position, and the equal part goes on with the next. Its size is the count of the phrase so far. A part that is too
@@ -16,7 +16,7 @@ matter. Words are 64-bit hashes of language and word, so one sort serves all lan
    that begin a large part of all phrases are at most ``SHARE``; these are broadcast, other parts meet in a shuffle.
 
 A task holds one block of ``BLOCK`` bytes (or one document) or one route. Routes are at most ``MOST_ROUTES``, which bounds what is
-broadcast to 40 bytes each; beyond ``ROUTE * MOST_ROUTES`` words (1.6 TB of text) they grow longer instead.
+broadcast to 40 bytes each; beyond ``ROUTE * MOST_ROUTES`` words (6 TB of text) they grow longer instead.
 
 Null texts are empty, a null language is ``und`` and falls together with a language of that name. Rows are judged one by one,
 whatever their ids; repeated rows count each time. Ties in score go by count, then by phrase; ties between cuts to the earlier
@@ -42,7 +42,9 @@ LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 #: A phrase goes if a longer one has this many of every hundred of its occurrences.
 CONTAINED = 100
 SCALE = 1000
-BLOCK, STEP, ROUTE, MOST_ROUTES = 8 << 20, 1 << 12, 1 << 18, 1 << 20
+BLOCK, STEP, ROUTE, MOST_ROUTES = 8 << 20, 1 << 12, 1 << 20, 1 << 20
+#: Bytes hashed at a time.
+TERMS = 1 << 20
 #: Partitions of up to so many suffixes are finished by one sort a word position.
 SMALL = 1 << 14
 #: Marks that end a piece.
@@ -56,14 +58,18 @@ _IS_BREAK[list(BREAKS)] = True
 
 def word_ids(found: Words, lang: np.ndarray, seed: int) -> np.ndarray:
     """Hashes of the words together with what stands for their language; never 0, which ends a phrase."""
-    if not found.n:
-        return np.zeros(0, np.uint64)
-    lengths = found.lengths()
-    powers = np.full(int(lengths.max()), 0x9E3779B97F4A7C15 + (seed << 8), np.uint64)
+    lengths, sums = found.lengths(), np.zeros(found.n, np.uint64)
+    powers = np.full(int(lengths.max(initial=1)), 0x9E3779B97F4A7C15 + (seed << 8), np.uint64)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
-    within = np.arange(len(found.data), dtype=np.int64) - np.repeat(found.at[:-1], lengths)
-    sums = np.add.reduceat((found.data.astype(np.uint64) + 1) * powers[within], found.at[:-1])
+    first = 0
+    while first < found.n:  # a bounded number of bytes at a time: their terms take eight times the room
+        last = max(int(np.searchsorted(found.at, found.at[first] + TERMS, "right")) - 1, first + 1)
+        begin = found.at[first:last] - found.at[first]
+        own = found.data[found.at[first]:found.at[last]].astype(np.uint64) + np.uint64(1)
+        own *= powers[np.arange(len(own)) - np.repeat(begin, lengths[first:last])]
+        sums[first:last] = np.add.reduceat(own, begin)
+        first = last
     return np.maximum(mix(mix(sums + lengths.astype(np.uint64)) + lang), np.uint64(1))
 
 
@@ -77,7 +83,7 @@ def _pieces(batch: pa.RecordBatch, block: int, seed: int) -> Iterator[tuple[Word
         found = words(data, offsets[first:last + 1], _SEPARATORS)
         doc = np.repeat(np.arange(last - first), np.diff(found.of))
         lang = of[first:last][doc]
-        broken = np.concatenate([[0], np.cumsum(_IS_BREAK[data[offsets[first]:offsets[last]]])])[found.start]
+        broken = np.searchsorted(np.flatnonzero(_IS_BREAK[data[offsets[first]:offsets[last]]]), found.start)
         joined = (doc[1:] == doc[:-1]) & (broken[1:] == broken[:-1])
         ends = np.append(np.flatnonzero(~joined), found.n - 1)
         follow = ends[np.searchsorted(ends, np.arange(found.n))] - np.arange(found.n) if found.n else np.zeros(0, np.int64)
@@ -86,17 +92,16 @@ def _pieces(batch: pa.RecordBatch, block: int, seed: int) -> Iterator[tuple[Word
 
 def _suffixes(ids: np.ndarray, follow: np.ndarray, at: np.ndarray, longest: int) -> np.ndarray:
     """(longest, n): the words from each place ``at`` on, 0 behind the end of the piece."""
-    out = np.zeros((longest, len(at)), np.uint64)
+    out = np.zeros((longest, len(at)), ids.dtype)
     for k in range(longest):
         inside = follow[at] >= k
         out[k, inside] = ids[at[inside] + k]
     return out
 
 
-def _packed(suffixes: np.ndarray) -> np.ndarray:
-    """Suffixes as byte strings that sort like them."""
-    n = suffixes.shape[1]
-    return np.ascontiguousarray(suffixes.T).astype(">u8").view(f"S{8 * len(suffixes)}").reshape(n)
+def _packed(own: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Suffixes ``own[places]`` as byte strings that sort like them."""
+    return own.astype(">u8")[np.ascontiguousarray(places.T)].view(f"S{8 * len(places)}").ravel()
 
 
 def _bytes(packed: np.ndarray) -> pa.Array:
@@ -120,7 +125,7 @@ def word_counts(docs: DataFrame, seed: int, longest: int, block: int, step: int)
                 yield pa.record_batch([names.take(pa.array(lang[first])), text.cast(pa.string()), pa.array(own.view(np.int64)),
                                        pa.array(n.astype(np.int64)), pa.nulls(len(own), pa.binary())], columns)
                 noted = np.arange(int(ids[0] % np.uint64(step)), len(ids), step)
-                suffixes = _bytes(_packed(_suffixes(ids, follow, noted, longest)))
+                suffixes = _bytes(_packed(*np.unique(_suffixes(ids, follow, noted, longest), return_inverse=True)))
                 none = [pa.nulls(len(noted), t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())]
                 yield pa.record_batch([*none, suffixes], columns)
 
@@ -144,14 +149,15 @@ def borders(noted: DataFrame, step: int, route: int, most: int) -> np.ndarray:
     return np.sort(np.array(rows.column(0).to_pylist(), dtype=f"S{size}"))
 
 
-def _equal_added(ids: np.ndarray, follow: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct suffixes of a block in order, and how often each occurs."""
+def _equal_added(ids: np.ndarray, follow: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of a block behind a 0, its distinct suffixes of two and more words in order as places there, and how often
+    each occurs."""
     own, dense = np.unique(ids, return_inverse=True)
     bits = max(int(len(own)).bit_length(), 1)
     keys, per = [], 64 // bits  # words a 64-bit sort key holds
-    suffixes = _suffixes(dense.astype(np.uint64) + np.uint64(1), follow, np.arange(len(ids)), longest)
+    suffixes = _suffixes((dense + 1).astype(np.uint32), follow, np.flatnonzero(follow), longest)
     for first in range(0, longest, per):
-        key = suffixes[first].copy()
+        key = suffixes[first].astype(np.uint64)
         for row in suffixes[first + 1:first + per]:
             key <<= np.uint64(bits)
             key |= row
@@ -163,17 +169,27 @@ def _equal_added(ids: np.ndarray, follow: np.ndarray, longest: int) -> tuple[np.
         key = key[order]
         changed[1:] |= key[1:] != key[:-1]
     heads = np.flatnonzero(changed)
-    return np.append(np.uint64(0), own)[suffixes[:, order[heads]]], np.diff(np.append(heads, len(order)))
+    return np.append(np.uint64(0), own), suffixes[:, order[heads]], np.diff(np.append(heads, len(order)))
 
 
-def _encoded(suffixes: np.ndarray, n: np.ndarray) -> bytes:
-    raw = np.concatenate([suffixes, n.astype(np.uint64)[None]]).tobytes()
+def _encoded(own: np.ndarray, suffixes: np.ndarray, n: np.ndarray) -> bytes:
+    """Suffixes with their numbers, compressed: the words they use, once each, and their places among these."""
+    used = np.zeros(len(own), bool)
+    used[suffixes.ravel()] = True
+    local = np.cumsum(used) - 1
+    kept = own[used]
+    places = local[suffixes].astype(np.uint16 if len(kept) <= 1 << 16 else np.uint32)
+    raw = np.array([len(kept), len(n), places.itemsize], np.int64).tobytes() + kept.tobytes() + n.astype(np.int64).tobytes() + places.tobytes()
     return len(raw).to_bytes(8, "big") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _decoded(blob: bytes, longest: int) -> np.ndarray:
-    size = int.from_bytes(blob[:8], "big")
-    return np.frombuffer(pa.decompress(blob[8:], size, codec="zstd", asbytes=True), np.uint64).reshape(longest + 1, -1)
+def _decoded(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "big"), codec="zstd", asbytes=True)
+    words_, n, size = np.frombuffer(raw, np.int64, 3).tolist()
+    own = np.frombuffer(raw, np.uint64, words_, 24)
+    count = np.frombuffer(raw, np.int64, n, 24 + 8 * words_)
+    places = np.frombuffer(raw, np.uint16 if size == 2 else np.uint32, -1, 24 + 8 * (words_ + n))
+    return own[places.reshape(-1, n)], count
 
 
 def routed(docs: DataFrame, cuts: np.ndarray, seed: int, longest: int, block: int) -> DataFrame:
@@ -183,10 +199,10 @@ def routed(docs: DataFrame, cuts: np.ndarray, seed: int, longest: int, block: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, ids, follow, _, _ in _pieces(batch, block, seed):
-                suffixes, n = _equal_added(ids, follow, longest)
-                at = np.concatenate([[0], np.searchsorted(_packed(suffixes), cuts.value), [len(n)]])
+                own, suffixes, n = _equal_added(ids, follow, longest)
+                at = np.concatenate([[0], np.searchsorted(_packed(own, suffixes), cuts.value), [len(n)]])
                 filled = np.flatnonzero(np.diff(at))
-                parts = [_encoded(suffixes[:, at[r]:at[r + 1]], n[at[r]:at[r + 1]]) for r in filled.tolist()]
+                parts = [_encoded(own, suffixes[:, at[r]:at[r + 1]], n[at[r]:at[r + 1]]) for r in filled.tolist()]
                 yield pa.record_batch([pa.array(filled.astype(np.int64)), pa.array(parts, pa.binary())], ["route", "part"])
 
     return docs.mapInArrow(cut, "route bigint, part binary")
@@ -252,14 +268,14 @@ def _route_counts(suffixes: np.ndarray, n: np.ndarray, ends: np.ndarray, least:
     if len(open_):
         held = [n[np.all(suffixes[:len(p)] == np.array(p, np.uint64)[:, None], axis=0)].sum() for p in sorted(open_)]
         yield shared, np.array(held)
-    marks = _packed(shared)
+    marks = set(map(bytes, shared.T))
     for phrases, count in quicksort(suffixes, n, least):
-        own = ~np.isin(_packed(phrases), marks)
+        own = np.array([bytes(p) not in marks for p in phrases.T])
         yield phrases[:, own], count[own]
 
 
 def frequent(parts: DataFrame, cuts: np.ndarray, longest: int, least: int) -> DataFrame:
-    """(phrase, n): hashes of the words of every phrase of up to ``longest`` words that occurs at least ``least`` times."""
+    """(phrase, n): hashes of the words of every phrase of 2 to ``longest`` words that occurs at least ``least`` times."""
     cuts = parts.sparkSession.sparkContext.broadcast(cuts)
 
     def rows(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -275,11 +291,12 @@ def frequent(parts: DataFrame, cuts: np.ndarray, longest: int, least: int) -> Da
         return pa.record_batch([own, pa.array(count)], ["phrase", "n"])
 
     def counted(route: int, blobs: list[bytes]) -> pa.RecordBatch:
-        both = np.concatenate([_decoded(b, longest) for b in blobs], axis=1)
+        parts = [_decoded(b) for b in blobs]
+        suffixes, n = np.concatenate([p for p, _ in parts], axis=1), np.concatenate([c for _, c in parts])
         size = 8 * longest
         ends = b"".join(c.ljust(size, b"\0") for c in cuts.value[max(route - 1, 0):route + 1].tolist())
         ends = np.frombuffer(ends, ">u8").reshape(-1, longest).T.astype(np.uint64)
-        return rows(list(_route_counts(both[:-1], both[-1].astype(np.int64), ends, least)) or [(both[:-1, :0], np.zeros(0, np.int64))])
+        return rows(list(_route_counts(suffixes, n, ends, least)) or [(suffixes[:, :0], n[:0])])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         route, blobs = -1, []
@@ -294,7 +311,8 @@ def frequent(parts: DataFrame, cuts: np.ndarray, longest: int, least: int) -> Da
             yield counted(route, blobs)
 
     found = parts.repartition("route").sortWithinPartitions("route").mapInArrow(sort, "phrase binary, n bigint")
-    return found.groupBy("phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    many = found.filter(F.octet_length("phrase") > 8)
+    return many.groupBy("phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def counts(
@@ -310,8 +328,15 @@ def counts(
         clash = not vocabulary.groupBy("id").count().filter("count > 1").isEmpty()
         seed += 1
     cuts = borders(noted.filter("suffix is not null").select("suffix"), step, route, most_routes)
+    single = vocabulary.filter(F.col("n") >= least)
     parts = routed(rows, cuts, seed - 1, longest, block)
-    return stored(frequent(parts, cuts, longest, least), "phrases"), vocabulary
+    phrases = frequent(parts, cuts, longest, least).unionByName(single.select(_phrase("id").alias("phrase"), "n"))
+    return stored(phrases, "phrases"), vocabulary
+
+
+def _phrase(id_: str) -> Column:
+    """A hash as the phrase of that word alone."""
+    return F.expr(f"to_binary(lpad(hex({id_}), 16, '0'), 'hex')")
 
 
 def _candidates(phrases: DataFrame) -> DataFrame:
@@ -340,7 +365,7 @@ def _spelled(candidates: DataFrame, vocabulary: DataFrame, least: int) -> DataFr
     """(phrase, lang, spelled, n): the words of each candidate, and how many words its language has."""
     totals = vocabulary.groupBy("lang").agg(F.sum("n").alias("total"))
     known = stored(vocabulary.filter(F.col("n") >= least).join(totals, "lang").select(
-        F.expr("to_binary(lpad(hex(id), 16, '0'), 'hex')").alias("part"), "lang", "word", "total"), "known-words")
+        _phrase("id").alias("part"), "lang", "word", "total"), "known-words")
     each = stored(candidates.select("phrase", F.explode(F.expr("sequence(0, words - 1)")).alias("k")).withColumn(
         "part", F.expr("substring(phrase, 8 * k + 1, 8)")), "phrase-words")
     words_ = meet(each, known, "part").groupBy("phrase").agg(

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muster.llm.columns import spare
+
 #: The phrases whose places are counted, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
@@ -192,16 +194,17 @@ def scan(documents: DataFrame, *, text: str = "text", out: str = "licenses", own
     priority); labels; score, the sureness of the strongest detection (0.5 if only base phrases are found, else 0).
     """
     made = rules() if own is None else own
-    words = F.col("_words")
+    names = [spare(documents, n) for n in ("own_words", "own_keywords", "own_found")]
+    words, keyed, detected = (F.col(n) for n in names)
     table = F.array(*[F.struct(F.lit(k).alias("number"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"),
                                F.lit(r.priority).alias("priority"), F.lit(r.regex).alias("regex")) for k, r in enumerate(made)])
     keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in made})])
-    held = documents.withColumn("_words", spaced(F.col(text)))
-    held = held.withColumn("_keywords", F.filter(keywords, lambda k: F.contains(words, k)))
-    tried = F.filter(table, lambda r: F.array_contains(F.col("_keywords"), r["keyword"]))
+    held = documents.withColumn(names[0], spaced(F.col(text)))
+    held = held.withColumn(names[1], F.filter(keywords, lambda k: F.contains(words, k)))
+    tried = F.filter(table, lambda r: F.array_contains(keyed, r["keyword"]))
     found = F.flatten(F.transform(tried, lambda r: _matches(words, r)))
     none = F.lit([]).cast(f"array<{_DETECTION}>")
-    held = held.withColumn("_found", F.when(F.size("_keywords") > 0, _unsuppressed(found)).otherwise(none))
+    held = held.withColumn(names[2], F.when(F.size(keyed) > 0, _unsuppressed(found)).otherwise(none))
 
     n_words = _spaces(words) - 1
     places, firsts, lasts, labels = [], [], [], []
@@ -212,12 +215,12 @@ def scan(documents: DataFrame, *, text: str = "text", out: str = "licenses", own
         lasts.append(F.when(there, n_words - len(phrase.split()) - _spaces(F.substring_index(words, f" {phrase} ", -1))))
         labels.append(F.when(there, F.lit(label)))
     base = F.array_compact(F.array(*labels))
-    sureness = F.element_at(F.array(*[F.lit(SURENESS[p]) for p in sorted(SURENESS)]), F.array_min(F.transform("_found", lambda d: d["priority"])))
+    sureness = F.element_at(F.array(*[F.lit(SURENESS[p]) for p in sorted(SURENESS)]), F.array_min(F.transform(detected, lambda d: d["priority"])))
     return held.withColumn(out, F.struct(
         n_words.cast("bigint").alias("n_words"), sum(places).cast("bigint").alias("n_base"),
         F.least(*firsts).cast("bigint").alias("first_word"), F.greatest(*lasts).cast("bigint").alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base, F.transform("_found", lambda d: d["label"]))), ",").alias("labels"),
-        F.when(F.size("_found") > 0, sureness).when(F.size(base) > 0, 0.5).otherwise(0.0).alias("score"),
-        F.transform("_found", lambda d: F.struct(d["start"], d["end"], d["label"], d["priority"])).alias("detections"),
-    )).drop("_words", "_keywords", "_found")
+        F.array_join(F.array_sort(F.array_union(base, F.transform(detected, lambda d: d["label"]))), ",").alias("labels"),
+        F.when(F.size(detected) > 0, sureness).when(F.size(base) > 0, 0.5).otherwise(0.0).alias("score"),
+        F.transform(detected, lambda d: F.struct(d["start"], d["end"], d["label"], d["priority"])).alias("detections"),
+    )).drop(*names)

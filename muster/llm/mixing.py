@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from muster.llm.columns import mark, spare
 from muster.session import stored
 
 WEIGHTS, LIMIT = (5.0, 2.0, 1.0), 3.0
@@ -156,10 +157,12 @@ def mix(
 def mixed(documents: DataFrame, *, id: str = "doc_id", **options) -> DataFrame:
     """The documents of the mix with their ``copies`` (a column of that name is replaced); those of equal rows are added up."""
     documents = documents.drop("copies")
-    mark = F.xxhash64(*documents.columns)
-    copies = mix(documents.withColumn("_mark", mark), id=id, keep=["_mark"], **options)
-    copies = copies.groupBy("doc_id", "_mark").agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_same"), "copies")
-    own = documents.withColumn("_mark", mark)
-    found = own.join(copies, own[id].eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_same")))
-    return found.dropDuplicates([id, "_mark"]).drop("_mark", "_id", "_same")
+    name = spare(documents, "own_mark")
+    own = documents.withColumn(name, mark(documents))
+    copies = mix(own, id=id, keep=[name], **options)
+    copies = copies.groupBy("doc_id", name).agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    copies = copies.select(F.struct(F.col("doc_id").alias("id"), F.col(name).alias("mark"), "copies").alias("taken"))
+    taken = copies["taken"]
+    found = own.join(copies, own[id].eqNullSafe(taken["id"]) & (own[name] == taken["mark"]))
+    kept = found.select(*[own[c] for c in own.columns], taken["copies"].alias("copies"))
+    return kept.dropDuplicates([id, name]).drop(name)

@@ -22,6 +22,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muster.llm.columns import spare
 from muster.llm.statistics import FEATURES, labelled, statistics
 from muster.session import stored
 
@@ -131,6 +132,7 @@ def score(model: Ensemble, outcomes: Column) -> Column:
 
 def classify(documents: DataFrame, model: Ensemble, *, text: str = "text", out: str = "quality_score") -> DataFrame:
     """``documents`` with a column ``out`` (one of that name is replaced): the score of label 1."""
-    own = documents.withColumn("_statistics", statistics(F.col(text)))
-    own = own.withColumn("_passed", passed(model, F.col("_statistics")))
-    return own.withColumn(out, score(model, F.col("_passed"))).drop("_statistics", "_passed")
+    stats, outcomes = spare(documents, "own_statistics"), spare(documents, "own_outcomes")
+    own = documents.withColumn(stats, statistics(F.col(text)))
+    own = own.withColumn(outcomes, passed(model, F.col(stats)))
+    return own.withColumn(out, score(model, F.col(outcomes))).drop(stats, outcomes)

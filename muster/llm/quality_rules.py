@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muster.llm.columns import spare
 from muster.llm.statistics import FEATURES, labelled, statistics
 
 #: Labelled rows that are learned from at most.
@@ -127,10 +128,11 @@ def base_failed(stats: Column) -> Column:
 
 def judge(documents: DataFrame, rules: list[Rule], *, text: str = "text", out: str = "quality") -> DataFrame:
     """``documents`` with a struct ``out`` (one of that name is replaced): statistics, base_failed, rule and kept."""
-    stats = F.col("_statistics")
-    own = documents.withColumn("_statistics", statistics(F.col(text)))
+    name = spare(documents, "own_statistics")
+    stats = F.col(name)
+    own = documents.withColumn(name, statistics(F.col(text)))
     rule = verdict(rules, stats)
     own = own.withColumn(out, F.struct(
         stats.alias("statistics"), base_failed(stats).alias("base_failed"), rule.alias("rule"),
         (~base_failed(stats) & rule.isNull()).alias("kept")))
-    return own.drop("_statistics")
+    return own.drop(name)

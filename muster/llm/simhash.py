@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muster.llm.columns import mark, spare
 from muster.llm.graph import components
 from muster.llm.words import SPACED_LOWER, blocks, text_buffers, words
 from muster.session import stored
@@ -136,10 +137,11 @@ def near_duplicates(
 
 def keep_one(documents: DataFrame, *, id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """``documents`` with one row of each group: that of the smallest id (null last); of several such rows one."""
-    mark = F.xxhash64(*documents.columns)
-    rows = stored(documents.select(F.col(id).alias("doc_id"), fingerprint(F.col(text)).alias("fp"), mark.alias("mark")), "fingerprints")
+    own = mark(documents)
+    rows = stored(documents.select(F.col(id).alias("doc_id"), fingerprint(F.col(text)).alias("fp"), own.alias("mark")), "fingerprints")
     groups = grouped(rows, max_bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = groups.groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("mark").alias("_mark")).select("_id", "_mark")
-    found = documents.withColumn("_own", mark)
-    found = found.join(kept, found["_own"].eqNullSafe(kept["_mark"]) & found[id].eqNullSafe(kept["_id"]), "left_semi")
-    return found.dropDuplicates(["_own", id]).drop("_own")
+    kept = groups.groupBy("root").agg(F.min_by("mark", F.struct("doc_id", "mark")).alias("kept_mark"), F.min("doc_id").alias("kept_id")).drop("root")
+    name = spare(documents, "own_mark")
+    found = documents.withColumn(name, own)
+    found = found.join(kept, (found[name] == kept["kept_mark"]) & found[id].eqNullSafe(kept["kept_id"]), "left_semi")
+    return found.dropDuplicates([name, id]).drop(name)

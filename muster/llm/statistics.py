@@ -119,7 +119,8 @@ def labelled(
     """(doc_id, label, text) of at most ``rows`` labelled documents, those whose ids have the smallest hashes.
 
     ``learn`` tells of an id whether it may be learned from. A document with contradictory labels has the larger one;
-    null labels are none. Only the chosen ids, at most ``rows`` of them, are broadcast.
+    null labels are none. Of an id that several documents have, the one with the smallest hash of its text counts: an id is one
+    row, however often it occurs. Only the chosen ids, at most ``rows`` of them, are broadcast.
     """
     own = labels.select(F.col(id).alias("doc_id"), F.col(label).cast("double").alias("label")).filter("doc_id is not null and label is not null")
     if learn is not None:
@@ -127,4 +128,5 @@ def labelled(
     own = own.groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = documents.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    met = texts.join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))

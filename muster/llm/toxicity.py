@@ -104,7 +104,7 @@ def swapped_sentences(text: str, terms: Sequence[Sequence[str]]) -> list[tuple[s
     out = []
     for sentence in re.split(r"[.!?\n]+", text):
         for m in anyone.finditer(sentence):
-            out += [(sentence, sentence[:m.start()] + o + sentence[m.end():]) for o in partners[m[0].lower()]]
+            out += [(sentence, sentence[:m.start()] + o + sentence[m.end():]) for o in partners.get(m[0].lower(), partners.get(m[0].casefold(), []))]
     return out
 
 
@@ -216,7 +216,7 @@ def fit(
     design = _Design(len(held), np.repeat(np.arange(len(held)), [len(x) for x in held]), np.concatenate(held), 2 * len(known))
 
     sentences = table.select(F.explode("named").alias("s")).orderBy(F.xxhash64("s"), "s").limit(MAX_SWAPS).toPandas()["s"]
-    pairs = [p for s in sentences for p in swapped_sentences(s, terms)][:MAX_SWAPS]
+    pairs = [p for s in sentences for p in swapped_sentences(s, terms)]
 
     def of_texts(texts: list[str]) -> _Design:
         doc, hashes, often = _distinct(*text_buffers(pa.array(texts, pa.string())))

@@ -39,3 +39,13 @@ def documents(spark: SparkSession, own: list[tuple] | None = None):
 
 def empty(spark: SparkSession):
     return spark.createDataFrame([], SCHEMA)
+
+
+#: Names that work columns have or had.
+CLASHES = ["_id", "_mark", "_same", "_own", "_words", "_keywords", "_found", "_statistics", "_passed", "_entropies", "_language", "_score",
+           "own_mark", "own_words", "own_statistics", "own_outcomes", "own_found", "own_keywords", "mark", "fp", "root", "taken", "kept_id"]
+
+
+def clashing(spark: SparkSession):
+    """Odd documents with a column of each of those names, and a map."""
+    return documents(spark).selectExpr("*", *[f"concat('kept ', coalesce(doc_id, -1)) AS `{n}`" for n in CLASHES], "map('k', doc_id) AS m")
