@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.llm import decontaminate, language_id, mixing, quality_classifier, simhash
+from muster.llm.columns import spare
 from muster.llm.queries import remainder, table
 from muster.session import stored
 
@@ -19,15 +20,17 @@ from muster.session import stored
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the models know; those that they reject go."""
     models = language_id.train(docs.filter(remainder(5) != 0))
-    found = language_id.identify(docs, models, out="_language")
-    return found.filter(~F.col("_language.rejected")).select(docs.columns)
+    name = spare(docs, "own_language")
+    found = language_id.identify(docs, models, out=name)
+    return found.filter(~F.col(name)["rejected"]).select(docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is accepted."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), learn=remainder(4) != 2)
-    scored = quality_classifier.classify(docs, model, out="_score")
-    return scored.filter(F.col("_score") >= quality_classifier.ACCEPTED).select(docs.columns)
+    name = spare(docs, "own_score")
+    scored = quality_classifier.classify(docs, model, out=name)
+    return scored.filter(F.col(name) >= quality_classifier.ACCEPTED).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +40,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated; passages of test items in what stays are cut out, and n_chars follows."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), out="_found")
-    text = decontaminate.without_spans(F.col("text"), F.col("_found"))
-    cut = F.size(F.col("_found")["spans"]) > 0
-    kept = found.filter(~decontaminate.contaminated(F.col("_found"))).withColumn("text", text)
+    name = spare(docs, "own_passages")
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), out=name)
+    text = decontaminate.without_spans(F.col("text"), F.col(name))
+    cut = F.size(F.col(name)["spans"]) > 0
+    kept = found.filter(~decontaminate.contaminated(F.col(name))).withColumn("text", text)
     return kept.withColumn("n_chars", F.when(cut, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
