@@ -6,14 +6,16 @@ tried. Every place a rule matches is
 a detection with its word interval. Detections are put in order (earlier start, longer, stronger priority), and one whose interval
 lies within that of another of at least its priority is suppressed. Nothing is shuffled: a row holds all it needs.
 
-The rules are made from the families below: a family says how a license is named, and each way of stating a license turns that
-name into a signature. A null text is an empty one: no words, no places, no labels, score 0. Repeated documents are judged row
+The rules are made from the families below (a family says how a license is named, and each way of stating a license turns that
+name into a signature) and from hand-written signatures of identifiers, notices and license texts. Very long texts, and texts of very
+many matches, are scanned whole; matches are gathered in short arrays, so that work grows with them and not with their square. A null text is an empty one: no words, no places, no labels, score 0. Repeated documents are judged row
 by row.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -93,6 +95,12 @@ FAMILIES = (
     Family("cc-by", "creative commons", "creative commons attribution", "creative commons attribution", ("2 0", "3 0", "4 0")),
     Family("cc-by-sa", "creative commons", "creative commons attribution share ?alike", "attribution sharealike", ("2 0", "3 0", "4 0")),
     Family("cc-by-nc", "creative commons", "creative commons attribution non ?commercial", "attribution noncommercial", ("2 0", "3 0", "4 0")),
+    Family("cc-by-nd", "creative commons", "creative commons attribution no ?deriv(?:s|atives|ative works)", "attribution noderivatives",
+           ("2 0", "3 0", "4 0")),
+    Family("cc-by-nc-sa", "creative commons", "creative commons attribution non ?commercial share ?alike",
+           "attribution noncommercial sharealike", ("2 0", "3 0", "4 0")),
+    Family("cc-by-nc-nd", "creative commons", "creative commons attribution non ?commercial no ?deriv(?:s|atives|ative works)",
+           "attribution noncommercial noderivatives", ("2 0", "3 0", "4 0")),
 )
 
 #: Ways of stating a license, strongest first: (priority, how sure it is, the signature around the full name or the short one).
@@ -120,6 +128,37 @@ OTHERS = (
     ("unlicense", "free and unencumbered software", 2, "this is free and unencumbered software released into the public domain"),
     ("warranty-disclaimer", "without warranty", 5, "without warranty of any kind"),
 )
+#: Names joined with their versions, bare identifiers and the parts of expressions: (label, keyword, priority, signature).
+IDENTIFIERS = (
+    ("gpl-1.0", "gplv1", 2, "(?:gnu )?gplv1(?: 0)?"),
+    ("gpl-2.0", "gplv2", 2, "(?:gnu )?gplv2(?: 0)?"),
+    ("gpl-3.0", "gplv3", 2, "(?:gnu )?gplv3(?: 0)?"),
+    ("lgpl-2.0", "lgplv2", 2, "(?:gnu )?lgplv2(?: 0)?"),
+    ("lgpl-2.1", "lgplv2 1", 2, "(?:gnu )?lgplv2 1"),
+    ("lgpl-3.0", "lgplv3", 2, "(?:gnu )?lgplv3(?: 0)?"),
+    ("agpl-3.0", "agplv3", 2, "(?:gnu )?agplv3(?: 0)?"),
+    ("apache-1.1", "apache 1 1", 3, "apache 1 1"),
+    ("apache-2.0", "apache 2 0", 3, "apache 2 0"),
+    ("apache-2.0", "apachev2", 3, "apachev2(?: 0)?"),
+    ("epl-1.0", "epl 1 0", 3, "epl 1 0"),
+    ("epl-2.0", "epl 2 0", 3, "epl 2 0"),
+    ("eupl-1.1", "eupl 1 1", 3, "eupl 1 1"),
+    ("eupl-1.2", "eupl 1 2", 3, "eupl 1 2"),
+    ("cddl-1.0", "cddl 1 0", 3, "cddl 1 0"),
+    ("cddl-1.1", "cddl 1 1", 3, "cddl 1 1"),
+    ("cpl-1.0", "cpl 1 0", 3, "cpl 1 0"),
+    ("bsl-1.0", "bsl 1 0", 3, "bsl 1 0"),
+    ("osl-3.0", "osl 3 0", 3, "osl 3 0"),
+    ("ofl-1.1", "ofl 1 1", 3, "ofl 1 1"),
+    ("odbl-1.0", "odbl 1 0", 3, "odbl 1 0"),
+    ("gfdl-1.2", "gfdl 1 2", 3, "gfdl 1 2"),
+    ("gfdl-1.3", "gfdl 1 3", 3, "gfdl 1 3"),
+    ("artistic-2.0", "artistic 2 0", 3, "artistic 2 0"),
+    ("0bsd", "0bsd", 3, "0bsd"),
+    ("mit", "mit or", 1, "mit(?= or (?:apache|gpl|lgpl|bsd|mpl|isc|unlicense|zlib|0bsd|cc0))"),
+    ("mit", "or mit", 1, "(?<=(?:apache 2 0|gpl 2 0|gpl 3 0|[23] clause|mpl 2 0|isc|unlicense|zlib|0bsd) or )mit"),
+    ("isc", "isc", 1, "spdx license identifier (?:[a-z0-9]+ ){1,8}(?:or|and) isc"),
+)
 SURENESS = {1: 1.0, 2: 0.95, 3: 0.8, 4: 0.7, 5: 0.4}
 _LEVELS = max(SURENESS)
 
@@ -137,10 +176,14 @@ def rules() -> list[Rule]:
             ending = version.replace(" ", "-") if " " in version else f"{version}-0"
             words = re.sub(r" 0$", "(?: 0)?", version)
             out.append(Rule(f"{f.label}-{ending.replace('-', '.')}", keyword, priority,
-                            f" {name}(?: license| public license)?(?: version| v)? v?{words}(?= )"))
+                            f" {name}(?: license| public license)?(?: as published by the free software foundation)?(?: either)?"
+                            f"(?: version| v)? v?{words}(?= )"))
         out.append(Rule(f.label, keyword, priority + (1 if f.versions and priority > 1 else 0), f" {name}(?= )"))
-    out += [Rule(label, keyword, priority, f" {regex}(?= )") for label, keyword, priority, regex in OTHERS]
-    return out
+    out += [Rule(label, keyword, priority, f" {regex}(?= )") for label, keyword, priority, regex in (*OTHERS, *IDENTIFIERS)]
+    # either spelling of the word; an identifier line has but one
+    spdx = "spdx license identifier"
+    return [r if spdx in r.regex else Rule(r.label, r.keyword.replace("license", "licen"), r.priority, r.regex.replace("license", "licen[sc]e"))
+            for r in out]
 
 
 def spaced(text: Column) -> Column:
@@ -156,35 +199,62 @@ def _spaces(text: Column) -> Column:
 _DETECTION = "struct<start:int,less:int,priority:int,rule:int,end:int,label:string>"
 
 
+#: Elements folded at a time: appending to an array copies it, so long ones are made of short ones.
+CHUNK = 256
+
+
+def _folded(items: Column, start: Column, step: Callable[[Column, Column], Column], out: str) -> Column:
+    """All elements that ``step`` appends to the array ``out`` of its state, a chunk of ``items`` at a time.
+
+    Work is linear in the items up to their square over that of ``CHUNK``: 100,000 of them are 400 short arrays.
+    """
+    def chunk(all_: Column, seen: Column, number: Column) -> Column:
+        own = F.slice(all_, number * CHUNK + 1, CHUNK)
+        begin = F.struct(seen["state"].alias("state"), F.lit([]).cast(f"array<{_DETECTION}>").alias(out))
+        done = F.aggregate(own, begin, step)
+        return F.transform(F.array(done), lambda d: F.struct(
+            d["state"].alias("state"), F.concat(seen["parts"], F.array(d[out])).alias("parts")))[0]
+
+    def whole(all_: Column) -> Column:
+        begin = F.struct(start.alias("state"), F.lit([]).cast(f"array<array<{_DETECTION}>>").alias("parts"))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int"))
+        return F.flatten(F.aggregate(numbers, begin, lambda seen, number: chunk(all_, seen, number))["parts"])
+
+    # a lambda's variable: the items are made once, not once a chunk
+    none = F.lit([]).cast(f"array<{_DETECTION}>")
+    return F.transform(F.array(items), lambda all_: F.when(F.size(all_) > 0, whole(all_)).otherwise(none))[0]
+
+
 def _matches(text: Column, rule: Column) -> Column:
     """Detections of one rule: the text is cut at marks around each match, and words are counted along the pieces."""
     mark = "\x01"  # no word holds it
     pieces = F.split(F.regexp_replace(text, rule["regex"], F.lit(f"{mark}$0{mark}")), mark)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit([]).cast(f"array<{_DETECTION}>").alias("found"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"))
 
     def step(seen: Column, piece: Column) -> Column:
-        end = seen["at"] + _spaces(piece)
-        own = F.struct(seen["at"].alias("start"), (-end).alias("less"), rule["priority"].alias("priority"), rule["number"].alias("rule"),
+        at, inside = seen["state"]["at"], seen["state"]["inside"]
+        end = at + _spaces(piece)
+        own = F.struct(at.alias("start"), (-end).alias("less"), rule["priority"].alias("priority"), rule["number"].alias("rule"),
                        end.alias("end"), rule["label"].alias("label"))
-        return F.struct(end.alias("at"), (~seen["inside"]).alias("inside"),
-                        F.when(seen["inside"], F.concat(seen["found"], F.array(own))).otherwise(seen["found"]).alias("found"))
+        return F.struct(F.struct(end.alias("at"), (~inside).alias("inside")).alias("state"),
+                        F.when(inside, F.concat(seen["found"], F.array(own))).otherwise(seen["found"]).alias("found"))
 
-    return F.aggregate(pieces, start, step)["found"]
+    return _folded(pieces, start, step, "found")
 
 
 def _unsuppressed(found: Column) -> Column:
     """Detections not within an earlier one of at least their priority, in the order start, longest, strongest.
 
-    ``reach`` holds, for each priority, how far the detections of at least that priority reach so far.
+    The state holds, for each priority, how far the detections of at least that priority reach so far.
     """
-    start = F.struct(F.array(*[F.lit(0)] * _LEVELS).alias("reach"), F.lit([]).cast(f"array<{_DETECTION}>").alias("kept"))
+    start = F.array(*[F.lit(0)] * _LEVELS)
 
     def step(seen: Column, own: Column) -> Column:
-        within = F.element_at(seen["reach"], own["priority"]) >= own["end"]
-        reach = F.transform(seen["reach"], lambda r, i: F.when(i + 1 >= own["priority"], F.greatest(r, own["end"])).otherwise(r))
-        return F.struct(reach.alias("reach"), F.when(within, seen["kept"]).otherwise(F.concat(seen["kept"], F.array(own))).alias("kept"))
+        within = F.element_at(seen["state"], own["priority"]) >= own["end"]
+        reach = F.transform(seen["state"], lambda r, i: F.when(i + 1 >= own["priority"], F.greatest(r, own["end"])).otherwise(r))
+        return F.struct(reach.alias("state"), F.when(within, seen["kept"]).otherwise(F.concat(seen["kept"], F.array(own))).alias("kept"))
 
-    return F.aggregate(F.array_sort(found), start, step)["kept"]
+    return _folded(F.array_sort(found), start, step, "kept")
 
 
 def scan(documents: DataFrame, *, text: str = "text", out: str = "licenses", own: list[Rule] | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import odd
 import pytest
@@ -106,3 +107,28 @@ def test_keyword_gate_drops_no_match(spark):
     for k, label in enumerate(SPDX.values()):
         assert got[k].labels == label and got[k].score == 1.0
     assert [got[len(SPDX) + k].labels for k in range(3)] == ["epl-2.0", "cddl", "mit"]
+
+
+def test_common_statements(spark):
+    expected = {
+        "released under GPLv3": "gpl-3.0", "LGPLv2.1+ only": "lgpl-2.1", "under the AGPLv3 license": "agpl-3.0", "Apache-2.0": "apache-2.0",
+        "EUPL-1.2": "eupl-1.2", "the MIT licence": "mit", "SPDX-License-Identifier: 0BSD": "0bsd",
+        "GNU General Public License, either version 3 of the License": "gpl-3.0",
+        "GNU General Public License as published by the Free Software Foundation; either version 2": "gpl-2.0",
+        "Creative Commons Attribution-NonCommercial-ShareAlike 4.0": "cc-by-nc-sa-4.0",
+        "Creative Commons Attribution-NoDerivatives 4.0": "cc-by-nd-4.0", "(MIT OR Apache-2.0)": "mit", "Apache-2.0 OR MIT": "mit",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(expected)], "doc_id bigint, text string")
+    got = {r.text: r.labels.split(",") for r in ls.scan(df).select("text", "licenses.labels").collect()}
+    assert {t: label for t, label in expected.items() if label not in got[t]} == {}
+    assert "apache-2.0" in got["(MIT OR Apache-2.0)"] and "apache-2.0" in got["Apache-2.0 OR MIT"]
+    assert "cc-by" not in got["Creative Commons Attribution-NonCommercial-ShareAlike 4.0"]
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 100_000
+    df = spark.createDataFrame([(1, "copyright 2020 x " * n)], "doc_id bigint, text string")
+    begin = time.time()
+    found = ls.scan(df).select(F.size("licenses.detections").alias("n"), "licenses.labels", "licenses.n_words").first()
+    assert tuple(found) == (n, "copyright", 3 * n)
+    assert time.time() - begin < 150  # the square of the matches took hours
