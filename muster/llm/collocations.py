@@ -42,7 +42,7 @@ LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 #: A phrase goes if a longer one has this many of every hundred of its occurrences.
 CONTAINED = 100
 SCALE = 1000
-BLOCK, STEP, ROUTE, MOST_ROUTES = 8 << 20, 1 << 12, 1 << 20, 1 << 20
+BLOCK, STEP, ROUTE, MOST_ROUTES = 4 << 20, 1 << 12, 1 << 20, 1 << 20
 #: Bytes hashed at a time.
 TERMS = 1 << 20
 #: Partitions of up to so many suffixes are finished by one sort a word position.
