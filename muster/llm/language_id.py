@@ -39,9 +39,9 @@ SYMBOL_BITS, ORDER = 21, 4
 #: What a letter that a language never showed has at least: there are fewer letters than 2 ** 18.
 UNSEEN_BITS = 18
 #: N-grams a task counts before it sends them on.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Bytes of text looked at together, unless a document is longer.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 QUANTILE, MARGIN = 0.999, 0.5
 #: Ranks of quantiles are right to one part in so many.
 ACCURACY = 100_000
