@@ -6,10 +6,13 @@ bytes shared by a pair are tallied, pairs below the minimum are dropped, and the
 
 A list of one positional byte holds a 256th of all fingerprints and would make a square of that in pairs. So each list is
 keyed by several positions at once: the eight positions are cut into d + 2 runs, a pair within reach shares at least two
-whole runs, and there is a list for each two runs. Lists of up to ``SHORT`` fingerprints are paired. In a longer list
-(large groups of near copies) nothing is paired: two fingerprints are within 2 bits exactly if a value one bit away from
-both (or one of them) exists, so each member goes to its 65 such values, and the members of a value are linked to its
-smallest. Both ways lose no link, and neither grows with the square of a group. Copies fall together before all that.
+whole runs, and there is a list for each two runs. Lists of up to ``SHORT`` fingerprints are paired. The members of a longer
+list (large groups of near copies) are listed again by every choice of 8 - d positions; a pair within reach shares one such
+choice, so the lists lose no link. Members of such a list share the guaranteed minimum by their place in it, and only the
+bit distance is open: up to ``SHORT`` of them are paired, more meet at values one bit away. Two fingerprints are within 2 bits
+exactly if a value one bit away from both (or one of them) exists, so each member goes to its 65 such values, and the members
+of a value are linked to its smallest. On all three ways the shared bytes are tallied, pairs below the minimum dropped and
+the distance verified; none loses a link or grows with the square of a group. Copies fall together before all that.
 
 Null and word-less texts have fingerprint 0 and are linked like others. Rows are judged one by one: repeated ids keep
 their rows. A null id is never the smallest of a component unless there is no other. Without rows the result is empty.
@@ -31,7 +34,7 @@ from muster.llm.words import SPACED_LOWER, blocks, text_buffers, words
 from muster.session import stored
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
-#: Fingerprints in an index list that are paired with each other.
+#: Up to so many fingerprints of an index list are paired with each other; longer lists are listed by more positions.
 SHORT = 64
 
 
@@ -86,34 +89,50 @@ def shared_bytes(a: Column, b: Column) -> Column:
     return sum(F.when(other.bitwiseAND(F.lit(_signed(0xFF << (8 * p)))) == 0, 1).otherwise(0) for p in range(8))
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS, short: int = SHORT) -> DataFrame:
-    """Edges (u, v) that connect all distinct fingerprints ``fp`` within ``max_bits`` (at most 2) of each other."""
-    if not 0 <= max_bits <= 2:
-        raise ValueError("max_bits is 0, 1 or 2")
-    masks = [_signed(a | b) for a, b in itertools.combinations(_runs(max_bits), 2)]
-    lists = F.array(*[F.struct(F.lit(k).alias("list"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes"))
+def _listed(prints: DataFrame, masks: list[int]) -> DataFrame:
+    """(list, bytes, fp, n): the index lists of two fingerprints or more, a list for each mask, with their sizes."""
+    lists = F.array(*[F.struct(F.lit(k).alias("list"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bytes"))
                       for k, m in enumerate(masks)])
     postings = prints.select("fp", F.inline(lists))
     sizes = postings.groupBy("list", "bytes").agg(F.count("*").alias("n")).filter("n > 1")
-    listed = stored(postings.join(sizes, ["list", "bytes"]), "postings")
+    return stored(postings.join(sizes, ["list", "bytes"]), "postings")
 
-    paired = (
-        listed.filter(F.col("n") <= short).groupBy("list", "bytes").agg(F.array_sort(F.collect_list("fp")).alias("own"))
+
+def _paired(listed: DataFrame) -> DataFrame:
+    """All pairs (u, v) of each list."""
+    return (
+        listed.groupBy("list", "bytes").agg(F.array_sort(F.collect_list("fp")).alias("own"))
         .select("own", F.posexplode("own").alias("at", "u"))
         .select("u", F.explode(F.slice("own", F.col("at") + 2, F.size("own"))).alias("v"))
-        .filter(shared_bytes(F.col("u"), F.col("v")) >= 8 - max_bits)
-        .filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
     )
-    long_ = listed.filter(F.col("n") > short).select("fp").distinct()
+
+
+def _met(prints: DataFrame, max_bits: int) -> DataFrame:
+    """Pairs (u, v) that connect the fingerprints within ``max_bits`` of each other, by values one bit away."""
+    flips = [F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)]
     if max_bits < 2:  # values that are themselves one bit apart: a member meets its neighbours' own values
-        near = F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)] if max_bits else [F.col("fp")])
-        met = long_.select(F.col("fp").alias("u"), F.explode(near).alias("v")).join(long_.select(F.col("fp").alias("v")), "v")
-        return paired.union(met.select("u", "v")).filter("u <> v")
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)])
-    met = long_.select("fp", F.explode(near).alias("value"))
+        met = prints.select(F.col("fp").alias("u"), F.explode(F.array(*flips) if max_bits else F.array("fp")).alias("v"))
+        return met.join(prints.select(F.col("fp").alias("v")), "v").select("u", "v").filter("u <> v")
+    met = prints.select("fp", F.explode(F.array("fp", *flips)).alias("value"))
     least = met.groupBy("value").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    starred = met.join(least, "value").filter("fp <> v").select(F.col("fp").alias("u"), "v")
-    return paired.union(starred).distinct()
+    return met.join(least, "value").filter("fp <> v").select(F.col("fp").alias("u"), "v")
+
+
+def links(prints: DataFrame, max_bits: int = MAX_BITS, short: int = SHORT) -> DataFrame:
+    """Edges (u, v) that connect all distinct fingerprints ``fp`` within ``max_bits`` (at most 2) of each other."""
+    if not 0 <= max_bits <= 2:
+        raise ValueError("max_bits is 0, 1 or 2")
+    few, many = F.col("n") <= short, F.col("n") > short
+    by_runs = _listed(prints, [a | b for a, b in itertools.combinations(_runs(max_bits), 2)])
+    crowded = by_runs.filter(many).select("fp").distinct()
+    choices = [sum(0xFF << (8 * p) for p in own) for own in itertools.combinations(range(8), 8 - max_bits)]
+    by_choice = _listed(crowded, choices)
+    dense = by_choice.filter(many).select("fp").distinct()
+    met = _paired(by_runs.filter(few)).union(_paired(by_choice.filter(few))).union(_met(dense, max_bits))
+    return (
+        met.filter(shared_bytes(F.col("u"), F.col("v")) >= 8 - max_bits)
+        .filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).distinct()
+    )
 
 
 def grouped(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
