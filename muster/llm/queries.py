@@ -173,15 +173,12 @@ def _host_sql(rest: str) -> str:
 _REST = "CASE WHEN contains({0}, '://') THEN substr({0}, strpos({0}, '://') + 3) ELSE '' END"
 _URL_RULES = ", ".join(
     f"('{verdict}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for verdict, rule in url_filter.RULES)
-_RANKS = ",\n".join(f"""r{k} AS MATERIALIZED (
-  SELECT kind, host, sum(rank) AS rank FROM (
-    SELECT kind, s.dest AS host, {url_filter.DAMPING}::DOUBLE * rank * share AS rank FROM r{k - 1} JOIN steps s USING (kind, host)
-    UNION ALL SELECT kind, host, (1 - {url_filter.DAMPING}::DOUBLE) * rank FROM r0) GROUP BY ALL)"""
-    for k in range(1, url_filter.ITERATIONS + 1))
+#: Iterations after which ranks of tables whose hosts are nearer to a seed than that are settled to the last bits.
+_SETTLED = 250
 
 
 @query("op4_url_filter", sql=rf"""
-WITH u AS (SELECT page_id, html, row_number() OVER () AS rid, {_REST.format("coalesce(url, '')")} AS rest FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, html, row_number() OVER () AS rid, {_REST.format("coalesce(url, '')")} AS rest FROM pages),
 p AS MATERIALIZED (
   SELECT page_id, html, rid, {_host_sql('rest')} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 rules(verdict, rule, rule_host, rule_path) AS (VALUES {_URL_RULES}),
@@ -196,26 +193,40 @@ linked AS (
   FROM (SELECT src, {_host_sql(_REST.format("(CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END)"))} AS dst FROM found)
   WHERE dst <> '' AND dst <> src GROUP BY ALL),
 hosts AS (SELECT host FROM p WHERE host <> '' UNION SELECT dst FROM linked),
+bare AS (SELECT host, regexp_replace(host, ':[0-9]*\z', '') AS own FROM hosts),
 tree AS (
-  SELECT DISTINCT array_to_string(l[k:], '.') AS child, array_to_string(l[k + 1:], '.') AS parent
-  FROM (SELECT l, unnest(range(1, len(l) - 1)) AS k FROM (SELECT string_split(host, '.') AS l FROM hosts))),
+  SELECT child, parent FROM (
+    SELECT DISTINCT array_to_string(l[k:], '.') AS child, array_to_string(l[k + 1:], '.') AS parent
+    FROM (SELECT l, unnest(range(1, len(l) - 1)) AS k FROM (
+      SELECT string_split(own, '.') AS l FROM bare WHERE NOT regexp_matches(own, '{url_filter.ADDRESS}'))))
+  WHERE NOT regexp_matches(parent, '{url_filter.PUBLIC}')
+  UNION ALL SELECT host, own FROM bare WHERE own <> host AND own <> ''),
 edges AS MATERIALIZED (
   SELECT src, dst, sum(weight) AS weight FROM (
     SELECT * FROM linked UNION ALL SELECT child, parent, 1.0::DOUBLE FROM tree UNION ALL SELECT parent, child, 1.0::DOUBLE FROM tree)
   GROUP BY ALL),
-steps AS MATERIALIZED (
-  SELECT 'allow' AS kind, src AS host, dst AS dest, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges
-  UNION ALL SELECT 'block', dst, src, weight / sum(weight) OVER (PARTITION BY dst) FROM edges),
-r0 AS MATERIALIZED (
-  SELECT verdict AS kind, host, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY verdict) AS rank
+seeds AS MATERIALIZED (
+  SELECT verdict AS kind, host, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY verdict) AS part
   FROM p JOIN fits USING (rid) GROUP BY verdict, host),
-{_RANKS},
+-- the host '' keeps its 1 and gives every seed its part in each iteration
+steps AS MATERIALIZED (
+  SELECT 'allow' AS kind, src AS host, dst AS dest, {url_filter.DAMPING}::DOUBLE * weight / sum(weight) OVER (PARTITION BY src) AS share
+  FROM edges
+  UNION ALL SELECT 'block', dst, src, {url_filter.DAMPING}::DOUBLE * weight / sum(weight) OVER (PARTITION BY dst) FROM edges
+  UNION ALL SELECT kind, '', host, (1 - {url_filter.DAMPING}::DOUBLE) * part FROM seeds
+  UNION ALL SELECT DISTINCT kind, '', '', 1.0::DOUBLE FROM seeds),
+ranks(k, kind, host, rank) AS (
+  SELECT DISTINCT 0, kind, '', 1.0::DOUBLE FROM seeds
+  UNION ALL
+  SELECT k + 1, kind, dest, sum(rank * share) FROM ranks JOIN steps USING (kind, host) WHERE k < {_SETTLED} GROUP BY k, kind, dest),
+settled AS (
+  SELECT kind, host, rank / sum(rank) OVER (PARTITION BY kind) AS rank FROM ranks WHERE k = {_SETTLED} AND host <> ''),
 ranked AS (
-  SELECT host, round(coalesce(sum(rank) FILTER (kind = 'allow'), 0), {url_filter.DECIMALS}) AS trust,
-         round(coalesce(sum(rank) FILTER (kind = 'block'), 0), {url_filter.DECIMALS}) AS distrust
-  FROM r{url_filter.ITERATIONS} GROUP BY host)
+  SELECT host, coalesce(sum(rank) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'block'), 0) AS distrust
+  FROM settled GROUP BY host)
 SELECT page_id, p.host, path, rule,
-       coalesce(verdict, CASE WHEN distrust > {url_filter.RATIO} * trust THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(verdict, CASE WHEN trust > 0 AND round(distrust / ({url_filter.RATIO} * trust), {url_filter.RATIO_DECIMALS}) > 1
+                              OR coalesce(trust, 0) = 0 AND distrust > 0 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN fits USING (rid) LEFT JOIN ranked ON p.host = ranked.host
 """)
 def url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,14 @@
 
 Hosts whose pages a rule allows are trusted seeds, hosts whose pages a rule blocks are distrusted seeds. Personalised PageRank
 carries trust along links and distrust against them; a host is blocked if its distrust is above ``RATIO`` times its trust. Edges
-come from absolute links and from the host tree, where a host and its parent domain link each other. Pages are reduced to hosts
-and host edges before anything iterates; all of it is joins and sums in Spark. Ranks run until every single one is settled relative to itself, so however far a host is
-from a seed and however many pages share the seeds, its verdict is that of the settled ranks.
+come from absolute links and from the host tree, where a host and its parent domain link each other. Addresses have no place in
+the tree, and neither have parents that only register names for others (a top level, or ``co.uk`` and the like, ``PUBLIC``): owners
+below them have nothing in common. A port belongs to its host: the host with it and the host without it link each other.
+
+Pages are reduced to hosts and host edges before anything iterates; all of it is joins and sums in Spark. Ranks run until every
+single one is settled relative to itself, so however far a host is from a seed and however many pages share the seeds, its
+verdict is that of the settled ranks. What arrives at a host without onward edges goes back to the seeds: that multiplies all
+settled ranks of a kind by one factor, so they are divided by their sum once, at the end.
 
 A null url or one without ``://`` has an empty host and path. No rule fits it; its host is in no graph and is allowed, as is every
 host out of reach of all seeds. A null html has no links. Pages are judged row by row, whatever their ids.
@@ -28,8 +33,8 @@ DAMPING, RATIO = 0.85, 1.0
 TOLERANCE, ROUND = 1e-7, 5
 #: Distrust over trust is compared to so many decimals, so that the order of sums does not decide a tie.
 RATIO_DECIMALS = 6
-#: The SQL twin stops after so many iterations and rounds ranks to so many decimals before it compares them.
-ITERATIONS, DECIMALS = 10, 9
+#: Hosts that are addresses, and names of two labels under which owners register names of their own.
+ADDRESS, PUBLIC = r"^[0-9.]*\z|[\[\]:]", r"^(ac|co|com|edu|go|gob|gov|ne|net|or|org)[.][a-z][a-z]\z"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,10 +70,14 @@ def edges_of(pages: DataFrame) -> DataFrame:
     linked = pages.filter("host <> ''").select(F.col("host").alias("src"), F.explode(absolute).alias("dst")).filter("dst <> '' and dst <> src")
     linked = linked.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     hosts = pages.select("host").filter("host <> ''").distinct().union(linked.select("dst")).distinct()
+    bare = F.regexp_replace("host", r":[0-9]*\z", "")
+    ported = hosts.filter(bare != F.col("host")).select(F.col("host").alias("child"), bare.alias("parent")).filter("parent <> ''")
+    named = hosts.select(bare.alias("host")).distinct().filter(~F.rlike("host", F.lit(ADDRESS)))
     labels = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     child = F.explode(F.when(F.size(labels) > 2, F.slice(above, 1, F.size(labels) - 2)).otherwise(F.array()))
-    tree = hosts.select(child.alias("child")).distinct().select("child", F.regexp_replace("child", r"^[^.]*\.", "").alias("parent"))
+    tree = named.select(child.alias("child")).distinct().select("child", F.regexp_replace("child", r"^[^.]*\.", "").alias("parent"))
+    tree = tree.filter(~F.rlike("parent", F.lit(PUBLIC))).union(ported)
     both = tree.select(F.col("child").alias("src"), F.col("parent").alias("dst")).union(tree.select("parent", "child"))
     every = linked.union(both.withColumn("weight", F.lit(1.0)))
     return every.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
@@ -100,7 +109,9 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleran
         part = F.abs(F.col("rank") - F.col("known")) / F.greatest("rank", "known")
         change = settled.filter("greatest(rank, known) > 0").agg(F.max(part)).first()[0] or 0.0
         ranks = settled.drop("known")
-    by_kind = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")]
+    whole = {r["kind"]: r["whole"] for r in ranks.groupBy("kind").agg(F.sum("rank").alias("whole")).collect()}
+    by_kind = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))) / whole.get(k, 1.0), F.lit(0.0)).alias(k)
+               for k in ("trust", "distrust")]
     return ranks.groupBy("host").agg(*by_kind)
 
 

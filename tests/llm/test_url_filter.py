@@ -1,9 +1,15 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import defaultdict
 
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
 from muster.llm import url_filter as uf
+from muster.llm.queries import ORACLES
 
 PAGES = [
     (1, "http://WWW.Example.com/en/x?q=/en/", "<a href='http://deep.other.org/a'>x</a>"), (2, "https://m.example.com/en/", None),
@@ -17,6 +23,9 @@ PAGES = [
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+REGISTRIES = {"ac", "co", "com", "edu", "go", "gob", "gov", "ne", "net", "or", "org"}
+
+
 def host_path(url):
     if url is None or "://" not in url:
         return "", ""
@@ -41,9 +50,16 @@ def brute(pages):
                 weight[host, to] += 1
     tree = set()
     for h in {h for h, _ in own if h} | {d for _, d in weight}:
-        labels = h.split(".")
+        bare = re.sub(r":[0-9]*\Z", "", h)
+        if bare and bare != h:
+            tree.add((h, bare))
+        labels = bare.split(".")
+        if ":" in bare or "[" in bare or "]" in bare or all(c in "0123456789." for c in bare):
+            continue
         while len(labels) > 2:
-            tree.add((".".join(labels), ".".join(labels[1:])))
+            registry = len(labels) == 3 and labels[1] in REGISTRIES and re.fullmatch("[a-z]{2}", labels[2])
+            if not registry:
+                tree.add((".".join(labels), ".".join(labels[1:])))
             labels = labels[1:]
     for a, b in tree:
         weight[a, b] += 1
@@ -60,19 +76,23 @@ def brute(pages):
     for v, seed in seeds.items():
         total = sum(seed.values()) or 1
         seed = {h: n / total for h, n in seed.items()}
-        rank = dict(seed)
-        for _ in range(uf.ITERATIONS):
-            fresh = defaultdict(float, {h: (1 - uf.DAMPING) * s for h, s in seed.items()})
+        rank, change = dict(seed), 1.0
+        while change > 1e-13:  # what arrives at hosts without onward edges goes back to the seeds
+            lost = sum(r for h, r in rank.items() if not (out if v == "allow" else into)[h])
+            fresh = defaultdict(float, {h: (1 - uf.DAMPING + uf.DAMPING * lost) * s for h, s in seed.items()})
             for (a, b), w in weight.items():
                 src, dst, share = (a, b, w / out[a]) if v == "allow" else (b, a, w / into[b])
                 fresh[dst] += uf.DAMPING * rank.get(src, 0) * share
+            reached = [h for h, r in fresh.items() if r > 0]
+            change = max((abs(fresh[h] - rank.get(h, 0)) / fresh[h] for h in reached), default=0.0)
             rank = fresh
         ranks[v] = rank
     result = []
     for (h, p), page in zip(own, pages, strict=True):
         v, r = rule(h, p)
-        t, d = (round(ranks[k].get(h, 0), uf.DECIMALS) for k in ("allow", "block"))
-        result.append((page[0], h, p, r, v or ("block" if d > t else "allow")))
+        t, d = (ranks[k].get(h, 0.0) for k in ("allow", "block"))
+        above = round(d / t, uf.RATIO_DECIMALS) > 1 if t else d > 0
+        result.append((page[0], h, p, r, v or ("block" if above else "allow"), t, d))
     return result
 
 
@@ -84,7 +104,7 @@ def test_verdicts_equal_brute_force(spark):
     pages = spark.createDataFrame([(*p, "clash") for p in PAGES], "page_id bigint, url string, html string, host string")
     got = uf.judge(pages)
     rows = [tuple(r)[:5] for r in got.collect()]
-    assert sorted(rows, key=key) == sorted(brute(PAGES), key=key)
+    assert sorted(rows, key=key) == sorted([r[:5] for r in brute(PAGES)], key=key)
     by_id = {r[0]: r for r in rows}
     assert by_id[1][3:] == ("www.example.com/en/", "allow") and by_id[2][3:] == ("example.com/en/", "block")
     assert by_id[4][3:] == (None, "block") and by_id[20][4] == "allow" and by_id[8][1:] == ("", "", None, "allow")
@@ -116,3 +136,51 @@ def test_ranks_are_settled(spark):
     seeds = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust double, distrust double")
     got = {r.host: r.trust for r in uf.spread(edges, seeds).collect()}
     assert abs(got["a"] - 1 / 1.85) < 1e-6 and abs(got["b"] - 0.85 / 1.85) < 1e-6
+
+
+def test_mass_of_hosts_without_links_goes_back_to_the_seeds(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust double, distrust double")
+    got = {r.host: r.trust for r in uf.spread(edges, seeds).collect()}
+    assert abs(got["a"] - 1 / 1.85) < 1e-6 and abs(got["a"] + got["b"] - 1) < 1e-9
+
+
+def _random_pages(seed):
+    """Links at random, chains of 20 hosts that lead to either kind of seed, addresses, ports and registries."""
+    rng = random.Random(seed)
+    hosts = [f"h{k}.{rng.choice(['org', 'net', 'com', 'co.uk', 'x.org'])}" for k in range(25)]
+    hosts += ["10.0.0.1", "10.0.0.2:8080", "[::1]:80", "sub.h1.info:81", "sub.h1.info", "a.b.co.uk", "com.au", "x.com.au"]
+    links = [(rng.choice(hosts), rng.choice(hosts)) for _ in range(60)]
+    for c, end in enumerate((hosts[0], "blocked.net", "a.com", "blocked.net")):
+        chain = [f"chain{c}-{k}.info" for k in range(20)]
+        links += list(zip(chain, [*chain[1:], end], strict=True))
+    paths = ["", "/", "/en/", "/es/x", "/fr/?q"]
+    pages = [(n, f"http://{a}{rng.choice(paths)}", f'<a href="http://{b}/">x</a>') for n, (a, b) in enumerate(links)]
+    return [*pages, (900, "http://blocked.net/es/", ""), (901, "http://com/", ""), (902, "http://a.com/x", ""), (903, "http://com/", "<a href='//a.com'><a href='//both.info'>"),
+            (904, "http://both.info/", "<a href='//blocked.net'><a href='//a.com'>")]
+
+
+def test_settled_ranks_of_a_random_graph_equal_brute_force_and_sql(spark):
+    own = _random_pages(2)
+    pages = spark.createDataFrame(own, "page_id bigint, url string, html string")
+    got = {r.page_id: tuple(r) for r in uf.judge(pages).collect()}
+    want = {r[0]: r for r in brute(own)}
+    assert {k: r[:5] for k, r in got.items()} == {k: r[:5] for k, r in want.items()}
+    for k, r in want.items():
+        assert got[k][5:] == pytest.approx(r[5:], rel=1e-5, abs=0)
+    assert {r[4] for r in want.values()} == {"allow", "block"}
+    assert any(r[5] > 0 and r[6] > 0 for r in want.values())
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+        db.executemany("INSERT INTO pages VALUES (?, ?, ?)", own)
+        twin = db.sql(ORACLES["op4_url_filter"])
+        rows = [dict(zip(twin.columns, r, strict=True)) for r in twin.fetchall()]
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows} == {k: r[1:5] for k, r in want.items()}
+
+
+def test_addresses_and_registries_link_no_owners(spark):
+    rows = [(1, "http://10.0.0.1/", ""), (2, "http://shop.co.uk/", ""), (3, "http://bank.co.uk:8080/", ""), (4, "http://a.b.co.uk", "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {(r.src, r.dst) for r in uf.edges_of(pages.select(uf.host_of(F.col("url")).alias("host"), "html")).collect()}
+    pairs = [("bank.co.uk:8080", "bank.co.uk"), ("a.b.co.uk", "b.co.uk")]
+    assert got == {p for a, b in pairs for p in ((a, b), (b, a))}
