@@ -92,7 +92,7 @@ def fit(
     sample = labelled(documents, labels, "quality", rows, learn=learn, **names)
     own = sample.select("doc_id", "label", statistics(F.col("text")).alias("s"))
     table = stored(own.select("doc_id", "label", F.struct(*[F.col("s")[f].cast("double").alias(f) for f in FEATURES]).alias("s"))
-                   .coalesce(4).sortWithinPartitions("doc_id"), "labelled")
+                   .repartition(4, "doc_id").sortWithinPartitions("doc_id"), "labelled")
     n, ones = table.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < ones < n:
         share = min(max(ones / n if n else 0.5, 1e-6), 1 - 1e-6)
