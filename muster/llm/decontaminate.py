@@ -7,7 +7,7 @@ into removal spans. Nothing is shuffled. The phrases are handed out in blocks of
 block; one pass does for any test set of up to ``block_chars`` characters.
 
 Null or word-less texts have no words, no hits and no spans; null or word-less items have no windows. Equal windows of
-several items count for each of them, repeated documents are judged row by row, and an empty benchmark hits nothing.
+several items count for each of them, equal items count once, repeated documents are judged row by row, and an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muster.llm.columns import spare
 from muster.llm.fm_index import FMIndex
 from muster.llm.words import LETTERED, Words, blocks, text_buffers, words
 from muster.session import stored
@@ -189,18 +190,18 @@ def decontaminate(
 
     Spans give first and last word (from 0) and the code points from ``first_char`` up to ``end_char``.
     """
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).filter("text is not null")
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).filter("text is not null").distinct()
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-chars // block_chars))
-    result = documents
+    result, more = documents, spare(documents, "own_more")
     for block in range(n):
         own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == block) if n > 1 else items
         found = _judged(phrases(own.toArrow(), window))(F.col(text))
         if block == 0:
             result = result.withColumn(out, found)
         else:  # each block in a job of its own, so that the driver holds one block of phrases at a time
-            result = stored(result, "decontaminated").withColumn("_more", found)
-            result = result.withColumn(out, _merged(F.col(out), F.col("_more"))).drop("_more")
+            result = stored(result, "decontaminated").withColumn(more, found)
+            result = result.withColumn(out, _merged(F.col(out), F.col(more))).drop(more)
     return result
 
 
