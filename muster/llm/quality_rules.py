@@ -3,7 +3,8 @@
 Rules for unwanted documents are grown one after the other from labelled statistics. A rule starts empty and takes the
 threshold condition of the largest FOIL gain on two thirds of the rows that are left, until it covers no wanted row or gains
 nothing; then conditions are cut off its end while that does not lower its worth on the other third. A rule that is precise
-enough there joins the list, the rows it covers leave, and the next is grown. The list becomes one ordered ``CASE WHEN``.
+enough there joins the list, the rows it covers leave, and the next is grown, until no unwanted row is left or the next rule is
+not precise enough: nothing else ends the list. It becomes one ordered ``CASE WHEN``.
 
 The labelled rows are a bounded sample (``MAX_ROWS``), the verdicts cover all rows and whole texts. Texts without words fail
 the base rules. Without labels of both kinds the list is empty and only the base rules judge. Repeated documents are judged
@@ -13,6 +14,7 @@ row by row.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -23,7 +25,7 @@ from muster.llm.statistics import FEATURES, labelled, statistics
 
 #: Labelled rows that are learned from at most.
 MAX_ROWS = 20_000
-MAX_RULES, MAX_CONDITIONS, CUTS = 24, 4, 48
+MAX_CONDITIONS, CUTS = 4, 48
 #: Share of unwanted rows among those a rule covers, in growing and in pruning rows alike.
 PRECISION = 0.9
 #: Rows a rule covers at least, of both parts together.
@@ -70,14 +72,18 @@ def _best_condition(x: dict[str, np.ndarray], bad: np.ndarray, inside: np.ndarra
     return best
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray) -> list[Rule]:
-    """Rules that cover bad rows; ``part`` is True for rows that rules grow on, False for those they are pruned on."""
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray, conditions: int = MAX_CONDITIONS) -> list[Rule]:
+    """Rules of up to ``conditions`` conditions that cover bad rows.
+
+    ``part`` is True for rows that rules grow on, False for those they are pruned on. Each rule takes ``LEAST_COVERED`` rows or
+    more away, so the list ends.
+    """
     cuts = {f: np.unique(np.quantile(v, np.linspace(0, 1, CUTS + 1)[:-1])) for f, v in x.items() if len(v)}
     left, rules = np.ones(len(bad), bool), []
-    while len(rules) < MAX_RULES and (bad & left & part).any():
+    while (bad & left & part).any():
         rule: Rule = ()
         inside = left & part
-        while len(rule) < MAX_CONDITIONS and (~bad & inside).any():
+        while len(rule) < conditions and (~bad & inside).any():
             best = _best_condition(x, bad, inside, cuts)
             if best is None:
                 break
@@ -101,16 +107,14 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray) -> list[R
 
 def verdict(rules: list[Rule], stats: Column) -> Column:
     """The number of the first rule that holds, from 1; null where none does."""
-    out = F.lit(None).cast("int")
-    for k, rule in reversed(list(enumerate(rules, 1))):
-        held = rule[0].column(stats)
-        for c in rule[1:]:
-            held = held & c.column(stats)
-        out = F.when(held, F.lit(k)).otherwise(out)
-    return out
+    out = F  # conditions are added side by side, not one inside the other
+    for k, rule in enumerate(rules, 1):
+        held = reduce(Column.__and__, [c.column(stats) for c in rule])
+        out = out.when(held, F.lit(k))
+    return out if rules else F.lit(None).cast("int")
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, rows: int = MAX_ROWS, **names) -> list[Rule]:
+def fit(documents: DataFrame, labels: DataFrame, *, rows: int = MAX_ROWS, conditions: int = MAX_CONDITIONS, **names) -> list[Rule]:
     """A decision list from ``labels.quality``: what is covered is unwanted."""
     sample = labelled(documents, labels, "quality", rows, **names)
     own = sample.select("doc_id", "label", statistics(F.col("text")).alias("s")).select("doc_id", "label", "s.*")
@@ -119,7 +123,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, rows: int = MAX_ROWS, **name
     bad = table["label"].to_numpy() < 0.5
     if not len(bad) or bad.all() or not bad.any():
         return []
-    return learn({f: table[f].to_numpy(np.float64) for f in FEATURES}, bad, table["part"].to_numpy() > 0)
+    return learn({f: table[f].to_numpy(np.float64) for f in FEATURES}, bad, table["part"].to_numpy() > 0, conditions)
 
 
 def base_failed(stats: Column) -> Column:

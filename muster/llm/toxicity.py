@@ -6,9 +6,12 @@ term is swapped for the others of its list, and the squared change of the score
 rows more often than others therefore gains no weight of its own, and a neutral mention of a group stays neutral.
 
 The terms are those whose document counts differ most between the labels, counted in Spark over the labelled rows; the fit runs on
-a bounded sample (``MAX_ROWS`` rows, ``MAX_TERMS`` terms, ``MAX_SWAPS`` swapped sentences). Scores cover all rows and whole
-texts. Labels, languages, sources and ids never enter a score. An empty or null text has no words and gets the score of the
-intercept. Without labels of both kinds every score is the share of label 1 (0 without any).
+a bounded sample of them (``rows``, ``MAX_ROWS`` if not given) and its ``width`` most telling terms (``MAX_TERMS``);
+``Model.left_out`` says how many terms did not get in. Every identity term found in the sample takes part in the penalty: of a
+term that stands in more than ``swaps`` sentences (``MAX_SWAPS``) so many are swapped, those of the smallest hashes, and they
+weigh as much as all of them. Scores cover all rows and whole texts. Labels, languages, sources and ids never enter a score. An
+empty or null text has no words and gets the score of the intercept. Without labels of both kinds every score is the share of
+label 1 (0 without any). Rows of equal text are learned from as often as they occur; an id that several rows have is one.
 """
 
 from __future__ import annotations
@@ -19,14 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.llm.statistics import labelled
 from muster.llm.words import LETTERED, Words, blocks, mix, text_buffers, words
 from muster.session import stored
 
-MAX_ROWS, MAX_TERMS, MAX_SWAPS = 10_000, 1536, 50_000
+MAX_ROWS, MAX_TERMS = 10_000, 1536
+#: Sentences that are swapped at most of each identity term.
+MAX_SWAPS = 2_000
 STEMS = (4, 5, 6, 7, 8)
 RIDGE, SWAP_PENALTY, STEPS = 1e-4, 4.0, 600
 #: Labelled rows that a term stands in at least.
@@ -48,6 +53,7 @@ class Model:
     hashes: np.ndarray  # of the terms, sorted
     weights: np.ndarray  # two of each term: present, and present at least twice
     intercept: float
+    left_out: int = 0  # terms beyond the width of the model
 
 
 def word_hashes(terms: Iterable[str]) -> np.ndarray:
@@ -97,14 +103,16 @@ def _term_sets(text: Column) -> Column:
     return own.asNondeterministic()(text)
 
 
-def swapped_sentences(text: str, terms: Sequence[Sequence[str]]) -> list[tuple[str, str]]:
-    """(sentence, the sentence with one identity term swapped), for each other term of its list."""
+def swapped_sentences(text: str, terms: Sequence[Sequence[str]], only: str | None = None) -> list[tuple[str, str]]:
+    """(sentence, the sentence with one identity term swapped), for each other term of its list; ``only`` names one term."""
     partners = {t: [o for o in own if o != t] for own in terms for t in own}
     anyone = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, partners)) + r")(?!\w)", re.IGNORECASE)
     out = []
     for sentence in re.split(r"[.!?\n]+", text):
         for m in anyone.finditer(sentence):
-            out += [(sentence, sentence[:m.start()] + o + sentence[m.end():]) for o in partners.get(m[0].lower(), partners.get(m[0].casefold(), []))]
+            if only is None or m[0].lower() == only:
+                others = partners.get(m[0].lower(), partners.get(m[0].casefold(), []))
+                out += [(sentence, sentence[:m.start()] + o + sentence[m.end():]) for o in others]
     return out
 
 
@@ -145,11 +153,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _largest(design: _Design, scale: np.ndarray, rounds: int = 30) -> float:
-    """The largest eigenvalue of the design's second moments, by power iteration, with a tenth on top."""
+def _largest(design: _Design, scale: np.ndarray, share: np.ndarray | float, rounds: int = 30) -> float:
+    """The largest eigenvalue of the design's second moments, by power iteration, with a tenth on top; rows weigh ``share``."""
     v, size = scale.copy(), 0.0
     for _ in range(rounds):
-        v = scale * design.back(design.dot(v * scale)) / max(design.n, 1)
+        v = scale * design.back(share * design.dot(v * scale))
         size = float(np.linalg.norm(v))
         if size == 0:
             return 0.0
@@ -159,16 +167,19 @@ def _largest(design: _Design, scale: np.ndarray, rounds: int = 30) -> float:
 
 def train(
     design: _Design, label: np.ndarray, before: _Design, after: _Design, penalty: float, ridge: float = RIDGE, steps: int = STEPS,
+    pairs: np.ndarray | None = None,
 ) -> tuple[np.ndarray, float]:
-    """Weights and intercept, by accelerated gradient steps on the penalised loss."""
+    """Weights and intercept, by accelerated gradient steps on the penalised loss; ``pairs`` are the weights of the swaps."""
     weights, intercept = np.zeros(design.width), float(np.log(label.mean() / (1 - label.mean())))
     share = np.bincount(design.at, minlength=design.width) / max(design.n, 1)
     row = np.where(label > 0, np.sqrt((1 - label.mean()) / label.mean()), 1.0)  # the rarer label weighs more
     row /= row.sum()
     scale = 1 / np.sqrt(share + 1e-3)  # terms are rescaled so that rare ones learn as fast as frequent ones
-    bend = 0.25 * design.n * float(row.max()) * _largest(design, scale) + ridge * float(np.max(scale ** 2)) + 0.25
+    pair = np.ones(before.n) if pairs is None else pairs
+    pair = pair / max(pair.sum(), 1e-300)
+    bend = 0.25 * design.n * float(row.max()) * _largest(design, scale, 1 / max(design.n, 1)) + ridge * float(np.max(scale ** 2)) + 0.25
     if before.n:
-        bend += penalty * (_largest(before, scale) + _largest(after, scale))
+        bend += penalty * (_largest(before, scale, pair) + _largest(after, scale, pair))
     step = 1.0 / bend
     w, b, w0, b0 = weights.copy(), intercept, weights.copy(), intercept
     for k in range(steps):
@@ -178,7 +189,7 @@ def train(
         gw, gb = scale * design.back(off) + ridge * wy * scale ** 2, off.sum()
         if before.n:
             one, two = _sigmoid(before.dot(wy * scale) + by), _sigmoid(after.dot(wy * scale) + by)
-            change = 2 * penalty * (one - two) / before.n
+            change = 2 * penalty * (one - two) * pair
             d1, d2 = change * one * (1 - one), -change * two * (1 - two)
             gw = gw + scale * (before.back(d1) + after.back(d2))
             gb += d1.sum() + d2.sum()
@@ -187,13 +198,26 @@ def train(
     return w * scale, float(b)
 
 
+def _sentences(table: DataFrame, group: str, swaps: int) -> DataFrame:
+    """(s, term, share): up to ``swaps`` sentences of ``named`` for each identity term, and how many each stands for.
+
+    Tasks cut their own sentences of a term to ``swaps`` before they meet, so that a frequent term is no large group.
+    """
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("s", F.lit(group), F.lit(1)), F.lower))
+    found = table.select(F.explode("named").alias("s")).select("s", F.explode(terms).alias("term"))
+    place = F.row_number().over(Window.partitionBy("term").orderBy(F.xxhash64("s"), "s"))
+    chosen = found.select("s", "term", place.alias("place")).filter(F.col("place") <= swaps)
+    share = found.groupBy("term").agg((F.count("*") / F.least(F.count("*"), F.lit(swaps))).alias("share"))
+    return chosen.join(share, "term").orderBy("term", "place").select("s", "term", "share")
+
+
 def fit(
-    documents: DataFrame, labels: DataFrame, *, rows: int = MAX_ROWS, width: int = MAX_TERMS, learn: Column | None = None,
-    terms: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = SWAP_PENALTY, **names,
+    documents: DataFrame, labels: DataFrame, *, rows: int = MAX_ROWS, width: int = MAX_TERMS, swaps: int = MAX_SWAPS,
+    learn: Column | None = None, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = SWAP_PENALTY, **names,
 ) -> Model:
     """A model from ``labels.toxic``; ``learn`` tells which ids may be learned from."""
     sample = labelled(documents, labels, "toxic", rows, learn=learn, **names)
-    group = "(?i)(?<![\\p{L}\\p{N}_])(" + "|".join(t for own in terms for t in own) + ")(?![\\p{L}\\p{N}_])"
+    group = "(?iu)(?<![\\p{L}\\p{N}_])(" + "|".join(t for own in terms for t in own) + ")(?![\\p{L}\\p{N}_])"
     table = stored(sample.select(
         "doc_id", "label", _term_sets(F.col("text")).alias("own"),
         F.filter(F.split(F.col("text"), "[.!?\\n]+"), lambda s: s.rlike(group)).alias("named")), "labelled")
@@ -203,20 +227,24 @@ def fit(
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
 
     found = [table.select("label", F.explode(F.col("own")[k]).alias("term"), F.lit(k == "twice").alias("twice")) for k in ("once", "twice")]
-    seen = found[0].union(found[1]).groupBy("term", "twice").agg(
-        F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).filter(F.col("p") + F.col("q") >= LEAST_ROWS)
+    seen = stored(found[0].union(found[1]).groupBy("term", "twice").agg(
+        F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).filter(F.col("p") + F.col("q") >= LEAST_ROWS), "terms")
     share = (F.col("p") + F.col("q") + 1) / (n + 2)
     spread = F.abs(F.col("p") / ones - F.col("q") / (n - ones)) / F.sqrt(share * (1 - share) * (1 / ones + 1 / (n - ones)))
     told = seen.orderBy(spread.desc(), "term", "twice").limit(width).select("term").toPandas()["term"].to_numpy(np.int64)
     known = np.unique(np.concatenate([told.view(np.uint64), word_hashes(t for own in terms for t in own)]))
-    # at most ``rows`` rows of at most MAX_TERMS and the identity terms, twice
+    # at most ``rows`` rows of at most ``width`` and the identity terms, twice
     kept = table.select("doc_id", "label", _positions(F.col("own"), known).alias("at")).orderBy("doc_id", "label", "at").toPandas()
     label = kept["label"].to_numpy(np.float64)
     held = [np.asarray(x, np.int64) for x in kept["at"]]
     design = _Design(len(held), np.repeat(np.arange(len(held)), [len(x) for x in held]), np.concatenate(held), 2 * len(known))
 
-    sentences = table.select(F.explode("named").alias("s")).orderBy(F.xxhash64("s"), "s").limit(MAX_SWAPS).toPandas()["s"]
-    pairs = [p for s in sentences for p in swapped_sentences(s, terms)]
+    sampled = _sentences(table, group, swaps).toPandas()
+    pairs, weigh = [], []
+    for sentence, term, share in zip(sampled["s"], sampled["term"], sampled["share"], strict=True):
+        own = swapped_sentences(sentence, terms, term)
+        pairs += own
+        weigh += [share] * len(own)
 
     def of_texts(texts: list[str]) -> _Design:
         doc, hashes, often = _distinct(*text_buffers(pa.array(texts, pa.string())))
@@ -226,8 +254,8 @@ def fit(
         return _Design(len(texts), rows_[found], at, 2 * len(known))
 
     before, after = (of_texts([p[k] for p in pairs]) for k in (0, 1))
-    weights, intercept = train(design, label, before, after, penalty)
-    return Model(known, weights, intercept)
+    weights, intercept = train(design, label, before, after, penalty, pairs=np.array(weigh))
+    return Model(known, weights, intercept, max(seen.count() - width, 0))
 
 
 def scores_of(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:

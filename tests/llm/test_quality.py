@@ -74,6 +74,72 @@ def test_rules_learn_and_are_ordered(spark):
         assert got[r[0]].rule == first
 
 
+def _plain_list(x, bad, part, conditions):
+    """Sequential covering row by row, every cut tried on its own."""
+    n, rules, left = len(bad), [], set(range(len(bad)))
+    cuts = {f: sorted(set(np.quantile(v, np.linspace(0, 1, qr.CUTS + 1)[:-1]))) for f, v in x.items()}
+
+    def held(rule, rows):
+        return [i for i in rows if all((x[f][i] > c) == above for f, above, c in rule)]
+
+    def split(rows):
+        p = sum(bool(bad[i]) for i in rows)
+        return p, len(rows) - p
+
+    while any(bad[i] and part[i] for i in left):
+        rule, inside = [], [i for i in left if part[i]]
+        while len(rule) < conditions and split(inside)[1]:
+            p0, n0 = split(inside)
+            tried = []
+            for f in x:
+                for above in (False, True):
+                    for c in cuts[f]:
+                        p, m = split(held([(f, above, c)], inside))
+                        if p:
+                            tried.append((p * (np.log2(p / (p + m)) - np.log2(max(p0, 1e-9) / (p0 + n0))), (f, above, c)))
+            best = max((g for g, _ in tried), default=0)
+            if best <= 1e-9:
+                break
+            rule.append(next(c for g, c in tried if g == best))
+            inside = held(rule[-1:], inside)
+
+        def worth(own):
+            p, m = split([i for i in held(own, left) if not part[i]])
+            return (p - m) / (p + m) if p + m else -1.0
+
+        while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
+            rule.pop()
+        inside = held(rule, left)
+        sides = [split([i for i in inside if part[i] == side]) for side in (True, False)]
+        if not rule or any(p < qr.PRECISION * (p + m) for p, m in sides) or len(inside) < qr.LEAST_COVERED:
+            break
+        rules.append(tuple(rule))
+        left -= set(inside)
+    return rules
+
+
+def test_list_equals_plain_covering():
+    rng = np.random.default_rng(3)
+    for k in range(6):
+        n = 150
+        x = {f: rng.integers(0, 12, n).astype(float) for f in "abcd"}
+        bad = (x["a"] > 8) & (x["b"] < 7) | (x["c"] == 0) | (rng.random(n) < 0.04 * (k % 3))
+        part = rng.random(n) < 0.67
+        got = [tuple((c.feature, c.above, c.cut) for c in rule) for rule in qr.learn(x, bad, part, 3)]
+        assert got == _plain_list(x, bad, part, 3) and (k % 3 or got)
+
+
+def test_list_goes_on_while_rules_are_precise(spark):
+    own = np.repeat(np.arange(45), 12)
+    x = {f"f{k}": np.concatenate([np.zeros(400), (own == k) * 1.0]) for k in range(45)}
+    bad, part = np.arange(400 + len(own)) >= 400, np.arange(400 + len(own)) % 3 > 0
+    rules = qr.learn(x, bad, part)
+    assert len(rules) == 45
+    rows = spark.createDataFrame([tuple(float(x[f][i]) for f in x) for i in range(400 + len(own))], list(x))
+    got = rows.select(qr.verdict(rules, F.struct(*x)).alias("rule")).groupBy("rule").count().collect()
+    assert {r.rule: r["count"] for r in got} == {None: 400, **{k: 12 for k in range(1, 46)}}
+
+
 def test_rules_on_odd_tables(spark):
     documents = odd.documents(spark)
     assert qr.fit(documents, spark.createDataFrame([], "doc_id bigint, quality int")) == []

@@ -53,6 +53,50 @@ def test_neutral_mentions_are_not_toxic(spark):
     assert mean(held, insulting) > max(0.5, 3 * mean(held, neutral))
 
 
+def test_every_identity_term_takes_part_and_weighs_as_much_as_all_its_sentences(spark):
+    own = [f"{k} women sing" for k in range(40)] + ["men and Men sing", "girlſ here", "MÄNNER women sing", "men and Men sing"]
+    table = spark.createDataFrame([(own,)], "named array<string>")
+    group = r"(?iu)(?<![\p{L}\p{N}_])(women|men|girls|männer)(?![\p{L}\p{N}_])"
+    whole = tx._sentences(table, group, 1000).collect()
+    assert sorted((r.term, r.s, r.share) for r in whole) == sorted(
+        [("women", s, 1.0) for s in own if "women" in s] + [("men", "men and Men sing", 1.0)] * 2
+        + [("girlſ", "girlſ here", 1.0), ("männer", "MÄNNER women sing", 1.0)])
+    part = tx._sentences(table, group, 4).collect()
+    assert {r.term for r in part} == {r.term for r in whole} and sum(r.share for r in part) == sum(r.share for r in whole)
+    assert sum(r.term == "women" for r in part) == 4 and {r.s for r in part} <= set(own)
+    terms = [("women", "men", "girls"), ("frauen", "männer")]
+    assert len(tx.swapped_sentences("men and Men sing", terms, "men")) == 4
+    assert tx.swapped_sentences("MÄNNER women sing", terms, "männer") == [("MÄNNER women sing", "frauen women sing")]
+    assert len(tx.swapped_sentences("girlſ here", terms, "girlſ")) == 2
+
+
+def _dense(x):
+    rows, at = np.nonzero(x)
+    return tx._Design(len(x), rows, at, x.shape[1])
+
+
+def test_penalised_fit_equals_plain_descent():
+    rng = np.random.default_rng(5)
+    x, before, after = (rng.integers(0, 2, (n, 6)) for n in (80, 9, 9))
+    label = (x[:, 0] + x[:, 1] * (rng.random(80) < 0.8) > 1).astype(float)
+    times = rng.integers(1, 4, 9)
+    row = np.where(label > 0, np.sqrt((1 - label.mean()) / label.mean()), 1.0)
+    row /= row.sum()
+    ridge, penalty, pair = 1e-2, 4.0, times / times.sum()
+    w, b = np.zeros(6), 0.0
+    for _ in range(60_000):
+        off = (1 / (1 + np.exp(-(x @ w + b))) - label) * row
+        one, two = (1 / (1 + np.exp(-(y @ w + b))) for y in (before, after))
+        d1, d2 = (2 * penalty * (one - two) * pair * s * y * (1 - y) for s, y in ((1, one), (-1, two)))
+        w = w - 0.3 * (x.T @ off + ridge * w + before.T @ d1 + after.T @ d2)
+        b -= 0.3 * (off.sum() + d1.sum() + d2.sum())
+    got, cut = tx.train(_dense(x), label, _dense(before), _dense(after), penalty, ridge, 20_000, times.astype(float))
+    assert np.allclose(got, w, atol=2e-3) and abs(cut - b) < 2e-3
+    again = [np.repeat(y, times, axis=0) for y in (before, after)]
+    same, cut2 = tx.train(_dense(x), label, _dense(again[0]), _dense(again[1]), penalty, ridge, 20_000)
+    assert np.allclose(same, w, atol=2e-3) and abs(cut2 - b) < 2e-3
+
+
 def test_terms_equal_brute_force():
     texts = ["Straße straßen x", "", "aaaaaaaaaa aaaaaaaaaa aaaaa", "ABCDEFGH abcdefghi"]
     data, offsets = text_buffers(__import__("pyarrow").array(texts))
@@ -71,6 +115,8 @@ def test_terms_equal_brute_force():
 def test_score_is_the_sum_of_the_terms(spark):
     documents, labels = _tables(spark, _rows(120))
     model = tx.fit(documents, labels)
+    narrow = tx.fit(documents, labels, width=10)
+    assert model.left_out == 0 and narrow.left_out > 0 and len(narrow.hashes) < len(model.hashes)
     for text, score in tx.classify(documents, model).select("text", "toxicity").limit(20).collect():
         _, hashes, often = tx._distinct(*text_buffers(__import__("pyarrow").array([text])))
         total = model.intercept
