@@ -42,7 +42,7 @@ _YEARLY = """select scenario_id, "Year", "Total_Salary", "End_Employees" from v_
 
 @query("project_yearly", _YEARLY)
 def project_yearly(d: Domain) -> DataFrame:
-    yearly = projection.project_yearly(d.scenarios(), d.yearly_formula())
+    yearly = projection.project_yearly(scenarios.spread(d.scenarios()), d.yearly_formula())
     return yearly.select("scenario_id", "Year", "Total_Salary", "End_Employees")
 
 

@@ -9,7 +9,7 @@ from muster.catalog.domain import Domain
 from muster.catalog.registry import query, sig
 from muster.catalog.views_sql import money as money_sql
 from muster.catalog.views_sql import sig as sig_sql
-from muster.operators import projection, regression, scoring, series
+from muster.operators import projection, regression, scenarios, scoring, series
 from muster.operators.regression import FOREST, GBT_EXPORT, GBT_MONTHLY, GBT_YEARLY, LINEAR, ModelSpec
 from muster.plans import training
 from muster.plans.training import Training
@@ -201,7 +201,7 @@ def model_load(d: Domain) -> DataFrame:
     select scenario_id, yr as base_year, {sig_sql('greatest(0.0::double, w.n * f.slope + f.intercept)', 9)} as prediction
     from v_yearly_walk w, v_yearly_fit f where yr <= greatest(start_year, least(end_year, 2020))""")
 def score(d: Domain) -> DataFrame:
-    scored = projection.score(projection.yearly_model_rows(d.scenarios()), _loaded(d, "line_yearly"))
+    scored = projection.score(projection.yearly_model_rows(scenarios.spread(d.scenarios())), _loaded(d, "line_yearly"))
     return scored.select("scenario_id", "base_year", sig(F.col("prediction"), 9).alias("prediction"))
 
 
@@ -226,7 +226,7 @@ def rank_importance(d: Domain) -> DataFrame:
       end as growth, "End_Employees" from v_projected""")
 def project_yearly_trained(d: Domain) -> DataFrame:
     """A trained model's figures up to 2020 are its own; what follows them, and all that starts later, is arithmetic."""
-    out = projection.project_yearly(d.scenarios(), _loaded(d, "yearly"))
+    out = projection.project_yearly(scenarios.spread(d.scenarios()), _loaded(d, "yearly"))
     before = F.lag("salary").over(Window.partitionBy("scenario_id").orderBy("Year"))
     growth = F.when(F.col("Year") > F.greatest("start_year", F.lit(2020)), F.try_divide(F.col("salary"), before))
     return out.select(
