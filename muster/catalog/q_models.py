@@ -242,7 +242,7 @@ def project_yearly_trained(d: Domain) -> DataFrame:
     from v_monthly_walk, v_train_fit group by all""")
 def choose_engine(d: Domain) -> DataFrame:
     model = models.load_model(d.spark, workspace(d.spark, "none"), _saved(d, "line_monthly"))
-    _, yearly = projection.project(d.scenarios(), model)
+    _, yearly = projection.project(scenarios.spread(d.scenarios()), model)
     return yearly.select(
         F.lit(model.kind).alias("engine"), "scenario_id", "Year",
         F.round("Total_Salary", 0).alias("Total_Salary"), "End_Employees",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 
 
-@pytest.mark.parametrize("name", ["project_yearly", "project_yearly_trained", "score"])
+@pytest.mark.parametrize("name", ["project_yearly", "project_yearly_trained", "score", "choose_engine"])
 def test_scenarios_of_one_file_are_expanded_by_many_tasks(spark, name):
     out = queries()[name](spark, SF_DIR)
     tasks = out.groupBy(F.spark_partition_id().alias("task")).agg(F.collect_set("scenario_id").alias("own")).collect()
