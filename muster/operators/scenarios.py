@@ -86,15 +86,15 @@ def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter("ok").drop("ok", "message"), checked.filter("NOT ok").drop("ok")
 
 
-def spread(scenarios: DataFrame) -> DataFrame:
+def spread(scenarios: DataFrame, key: str = "scenario_id") -> DataFrame:
     """Hand scenarios out to every core before they are expanded.
 
     A scenario is one short row and becomes up to 252; a table of them read from one file would be
-    expanded by one task.
+    expanded by one task. The same holds for other short rows of a unique ``key`` that cost much work.
     """
     spark = scenarios.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return scenarios.repartition(tasks, "scenario_id")
+    return scenarios.repartition(tasks, key)
 
 
 def expand_years(scenarios: DataFrame, name: str = "Year") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from muster.operators import changes, intake
 from muster.operators.joins import orphans
 from muster.operators.rollups import duplicate_keys, row_counts
+from muster.operators.scenarios import spread
 from muster.schemas import ALREADY_TERMINATED, KEY_TAKEN, NOT_FOUND
 from muster.session import stored
 from muster.sources import snapshots
@@ -29,9 +30,16 @@ def _reasons(rows: DataFrame, reason=None) -> DataFrame:
     return rows.select("seq", "matricule", said.alias("reason"))
 
 
+def _checked(forms: DataFrame, editing: bool = False) -> DataFrame:
+    """Validated forms, read by all cores and once: what is applied and what is refused both start from them."""
+    checked = intake.validate_forms(spread(forms, "seq"), editing)
+    used = {"seq", "reason", *changes.COLUMNS}
+    return stored(checked.select(*[c for c, kind in checked.dtypes if c in used and kind != "void"]), "checked")
+
+
 def add_employees(employees: DataFrame, forms: DataFrame) -> Changed:
     """Hire forms (text). Of several accepted forms for a new key the first counts."""
-    checked = intake.validate_forms(forms)
+    checked = _checked(forms)
     fine = intake.accepted(checked)
     first = fine.groupBy("matricule").agg(F.min("seq").alias("first"))
     known = employees.select("matricule", F.lit(True).alias("known"))
@@ -44,7 +52,7 @@ def add_employees(employees: DataFrame, forms: DataFrame) -> Changed:
 def edit_employees(employees: DataFrame, forms: DataFrame) -> Changed:
     """Edit forms (text) of existing employees; a terminated one is closed, also by an earlier edit of the batch."""
     keyed = forms.withColumn("matricule", F.col("matricule").try_cast("bigint"))
-    checked = intake.validate_forms(keyed, editing=True)
+    checked = _checked(keyed, editing=True)
     fine = intake.accepted(checked)
     closing = fine.filter("date_left IS NOT NULL").groupBy("matricule").agg(F.min("seq").alias("closing"))
     state = employees.select("matricule", F.col("date_left").alias("left_before"), F.lit(True).alias("known"))
