@@ -184,3 +184,27 @@ def test_addresses_and_registries_link_no_owners(spark):
     got = {(r.src, r.dst) for r in uf.edges_of(pages.select(uf.host_of(F.col("url")).alias("host"), "html")).collect()}
     pairs = [("bank.co.uk:8080", "bank.co.uk"), ("a.b.co.uk", "b.co.uk")]
     assert got == {p for a, b in pairs for p in ((a, b), (b, a))}
+
+
+def _exchange_threads(spark):
+    names = [t.getName() for t in spark._jvm.Thread.getAllStackTraces().keySet()]
+    return {n for n in names if n.startswith(("shuffle-exchange", "broadcast-exchange"))}
+
+
+def test_iterations_leave_the_driver_no_threads(spark):
+    """A thread for every shuffle and broadcast, each living on for a minute, took the driver past its memory."""
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust double, distrust double")
+    before, settings = _exchange_threads(spark), spark.conf.getAll
+    ranks = uf.spread(edges, seeds)
+    assert len(_exchange_threads(spark) - before) < 20
+    assert spark.conf.getAll == settings and ranks.sparkSession is spark
+
+
+def test_ranks_do_not_depend_on_the_number_of_tasks(spark, monkeypatch):
+    own = _random_pages(3)
+    pages = spark.createDataFrame(own, "page_id bigint, url string, html string")
+    monkeypatch.setattr(uf, "STEPS", 20)
+    got = {r.page_id: tuple(r) for r in uf.judge(pages).collect()}
+    for r in brute(own):
+        assert got[r[0]][:5] == r[:5] and got[r[0]][5:] == pytest.approx(r[5:], rel=1e-5, abs=0)
